@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from firmament.dims.vocab import NICKNAMES
 from firmament.functions import geo, kinds, names
 from firmament.functions.names import normalize_designation
-from firmament.session import cut_lineage, hint_small, literal_map
+from firmament.session import cut_lineage, hint_small, literal_map, pin
 
 TIE = ("src_rank", "row_idx")
 CAPS = {"star": 2, "cluster": 2, "nebula": 2, "galaxy": 1}
@@ -33,7 +33,7 @@ def nickname_overlay(candidates: DataFrame, nicknames: DataFrame | None = None,
             F.transform(_identity_strings(), normalize_designation),
             lambda d: d.isin(*[k.upper() for k in NICKNAMES]),
         )
-        out = candidates.withColumn("_hit", F.try_element_at(hits, F.lit(1)))
+        out = pin(candidates, _hit=F.try_element_at(hits, F.lit(1)))
         nick_en, nick_zh = F.try_element_at(en, F.col("_hit")), F.try_element_at(zh, F.col("_hit"))
         out = out.withColumn("_en", nick_en).withColumn("_zh", nick_zh)
     else:
@@ -58,8 +58,8 @@ def gate_candidates(
     candidates_px: DataFrame, margin: float = 0.05, min_cover: float = 0.5
 ) -> DataFrame:
     """Optical, of a known category, in the frame, and not mostly outside it."""
-    c = candidates_px.where(kinds.is_optical(F.col("otype"))).withColumn(
-        "category", kinds.object_category(F.col("otype"))
+    c = pin(
+        candidates_px.where(kinds.is_optical(F.col("otype"))), category=kinds.object_category(F.col("otype"))
     ).where(F.col("category").isNotNull())
     c = c.where(geo.in_image(geo.wcs_of(), F.col("px"), F.col("py"), margin * F.greatest("width", "height")))
     r = geo.size_to_px(F.col("size_major"), F.col("scale_deg"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from firmament.functions import geo
 from firmament.functions.kinds import object_category
-from firmament.session import cut_lineage
+from firmament.session import cut_lineage, pin
 
 EPS = 1e-7
 
@@ -69,7 +69,7 @@ def cone_search_join(
     joined = cones.join(_with_cells(catalog, zone_deg), ["_zone", "_ra"])
     sep = geo.ang_sep_deg(F.col("ra0"), F.col("dec0"), F.col("ra_deg"), F.col("dec_deg"))
     return (
-        joined.withColumn("sep_deg", sep).where(F.col("sep_deg") <= F.col("_r")).drop("_zone", "_ra", "_r")
+        pin(joined, sep_deg=sep).where(F.col("sep_deg") <= F.col("_r")).drop("_zone", "_ra", "_r")
     )
 
 
@@ -79,7 +79,7 @@ def in_frame_join(
     """Cone search, projection to pixels, and the in-frame test with a margin."""
     cone = cone_search_join(frames, catalog, zone_deg)
     wcs = geo.wcs_of()
-    xy = cone.withColumn("_xy", geo.world_to_pixel(wcs, F.col("ra_deg"), F.col("dec_deg")))
+    xy = pin(cone, _xy=geo.world_to_pixel(wcs, F.col("ra_deg"), F.col("dec_deg")))
     xy = xy.withColumn("px", F.col("_xy.px")).withColumn("py", F.col("_xy.py")).drop("_xy")
     edge = margin * F.greatest("width", "height")
     return xy.where(geo.in_image(wcs, F.col("px"), F.col("py"), edge))

@@ -74,6 +74,8 @@ def sql_df(spark: SparkSession, sf: str, sql: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    if name in TABLES:
+        return table(spark, sf, name)
     return sql_df(spark, sf, f"SELECT * FROM {name}")
 
 

@@ -49,3 +49,15 @@ def is_small(df: DataFrame, max_rows: int = 100_000) -> bool:
 def hint_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast `df` when its size is proven; otherwise leave the join to the optimizer."""
     return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def pin(df: DataFrame, **columns) -> DataFrame:
+    """Add columns computed exactly once.
+
+    A later filter on an ordinary computed column is pushed below it as a copy of its whole
+    expression, once per mention. Emitting the values through a one-row generator keeps
+    trigonometry and higher-order expressions from being repeated that way.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    keep = [c for c in df.columns if c not in columns]
+    return df.select(*keep, F.inline(F.array(row)))
