@@ -101,7 +101,7 @@ def _cube(ra: Column, dec: Column, side: Column) -> list[Column]:
 
 def _around(cells: list[Column]) -> Column:
     """The 27 cells around a cell, as an array of structs."""
-    axes = [F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d, c=c: c + d) for c in cells]
+    axes = [F.array(c - 1, c, c + 1) for c in cells]
     return F.flatten(F.transform(axes[0], lambda x: F.flatten(F.transform(
         axes[1], lambda y: F.transform(axes[2], lambda z: F.struct(
             x.alias("x"), y.alias("y"), z.alias("z")))))))

@@ -138,7 +138,9 @@ def values_sql(rows) -> str:
             return "NULL"
         if isinstance(v, bool):
             return "TRUE" if v else "FALSE"
-        if isinstance(v, (int, float)):
+        if isinstance(v, float):
+            return f"CAST({v!r} AS DOUBLE)"
+        if isinstance(v, int):
             return repr(v)
         return "'" + str(v).replace("'", "''") + "'"
     return "VALUES " + ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)

@@ -57,7 +57,7 @@ def compare(spark, con, key, fn, sql, sf):
     if got != want:
         extra = [g for g in got if g not in set(want)][:3]
         missing = [w for w in want if w not in set(got)][:3]
-        return False, len(got), spark_s, duck_s, f"{len(got)} vs {len(want)} rows; only spark {extra}; only sql {missing}"
+        return False, len(got), spark_s, duck_s, f"{len(got)} vs {len(want)} rows; only spark {str(extra)[:600]}; only sql {str(missing)[:600]}"
     return True, len(got), spark_s, duck_s, ""
 
 
