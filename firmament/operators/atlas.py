@@ -136,7 +136,7 @@ def export_registry(annotations: DataFrame) -> DataFrame:
     ok = annotations.where(F.col("status") == "approved")
     return ok.groupBy("entry_ord", "primary_id").agg(
         F.first("aliases").alias("aliases"),
-        F.transform(F.array_sort(F.collect_list(slim), lambda a, b: a["anno_ord"] - b["anno_ord"]), lambda x: x.dropFields("anno_ord")).alias("annotations"))
+        F.transform(F.array_sort(F.collect_list(slim), lambda a, b: (a["anno_ord"] - b["anno_ord"]).cast("int")), lambda x: x.dropFields("anno_ord")).alias("annotations"))
 
 
 def registry_counts(annotations: DataFrame) -> DataFrame:

@@ -151,31 +151,27 @@ def duplicate_reach_arcmin(size_major: Column) -> Column:
     return F.greatest(F.lit(10.0), 1.2 * F.coalesce(size_major, F.lit(0.0))) * 1.05
 
 
-def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 200) -> DataFrame:
-    """(node, component) by hooking to the smallest neighbour label and pointer jumping.
+def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
+    """(node, component): the least node id of each component.
 
-    Labels halve their distance to the component's minimum each round, so rounds grow with
-    the logarithm of its diameter; each round is checkpointed.
+    Every round each tree hooks onto the smallest label next to any of its members, then all
+    labels jump to their label's label, so rounds grow with the logarithm of a component's
+    diameter. Each round is checkpointed; ids are integers.
     """
-    both = edges.select(F.col(src).alias("node"), F.col(dst).alias("other"))
-    both = cut_lineage(both.union(both.select(F.col("other"), F.col("node"))).distinct())
-    labels = cut_lineage(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")))
+    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
+    e = cut_lineage(pairs.union(pairs.select(F.col("v"), F.col("u"))).distinct())
+    p = cut_lineage(e.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")))
     for _ in range(max_rounds):
-        seen = both.join(labels.withColumnRenamed("node", "other"), "other")
-        hooked = seen.groupBy("node").agg(F.min("component").alias("c1"))
-        near = labels.join(hooked, "node").select(
-            "node", F.col("component").alias("old"), F.least("component", "c1").alias("c")
-        )
-        jump = near.join(
-            labels.select(F.col("node").alias("c"), F.col("component").alias("up")), "c", "left"
-        )
-        nxt = cut_lineage(
-            jump.select("node", "old", F.least("c", F.coalesce("up", "c")).alias("component"))
-        )
-        changed = nxt.where(F.col("component") != F.col("old")).limit(1).count()
-        labels = nxt.drop("old")
-        if not changed:
-            return labels
+        near = e.join(p.select(F.col("u").alias("v"), "p"), "v").groupBy("u").agg(F.min("p").alias("m"))
+        step = p.join(near, "u").select("u", "p", F.least("p", "m").alias("m"))
+        hook = step.groupBy("p").agg(F.min("m").alias("h"))
+        hooked = cut_lineage(step.join(hook, "p").select("u", F.col("p").alias("old"), F.least("m", "h").alias("p")))
+        root = hooked.select(F.col("u").alias("p"), F.col("p").alias("up"))
+        jumped = hooked.join(root, "p", "left").select("u", "old", F.least("p", F.coalesce("up", "p")).alias("p"))
+        jumped = cut_lineage(jumped)
+        if jumped.where("p <> old").isEmpty():
+            return jumped.select(F.col("u").alias("node"), F.col("p").alias("component"))
+        p = jumped.drop("old")
     raise RuntimeError(f"components did not converge in {max_rounds} rounds")
 
 
@@ -203,7 +199,7 @@ def duplicate_components(catalog: DataFrame, key: str = "obj_id", max_level: int
         return F.when(lv > max_level, 4.0).otherwise(arc)
 
     def vertex(kind: str, lv: Column, x: Column, y: Column, z: Column) -> Column:
-        return F.concat_ws("/", F.col("block"), F.lit(kind), lv, x, y, z)
+        return F.xxhash64(F.col("block"), F.lit(kind), lv, x, y, z)
 
     cells = _cube(F.col("ra_deg"), F.col("dec_deg"), side(F.col("_level")))
     sky = sky.withColumn("_node", vertex("n", F.col("_level"), *cells))
@@ -218,11 +214,14 @@ def duplicate_components(catalog: DataFrame, key: str = "obj_id", max_level: int
     up_cells = _cube(F.col("ra_deg"), F.col("dec_deg"), side(F.col("_up")))
     upward = upward.select("_node", vertex("c", F.col("_up"), *up_cells).alias("_vertex")).distinct()
     upward = upward.join(touched.select("_vertex").distinct(), "_vertex", "left_semi")
-    edges = touched.select(F.col("_node").alias("a"), F.col("_vertex").alias("b")).union(
-        upward.select(F.col("_node").alias("a"), F.col("_vertex").alias("b"))
-    )
+    # Nodes meeting in a cell all link to the least of them; a cell met by one node links nothing.
+    meet = cut_lineage(touched.union(upward))
+    hub = meet.groupBy("_vertex").agg(F.min("_node").alias("b"), F.count("*").alias("n")).where("n > 1")
+    edges = meet.join(hub, "_vertex").select(F.col("_node").alias("a"), "b")
     comp = connected_components(edges).withColumnRenamed("node", "_node")
-    return sky.select(key, "_node").join(comp, "_node").select(key, "component")
+    # A node without neighbours is its own component.
+    return sky.select(key, "_node").join(comp, "_node", "left").select(
+        key, F.coalesce("component", "_node").alias("component"))
 
 
 def merge_block(catalog: DataFrame) -> DataFrame:
