@@ -76,7 +76,7 @@ def facts_warnings(frames: DataFrame, objects: DataFrame, unmatched: DataFrame)
         F.concat(F.lit("Plate solve failed and no target name was given."), reason, F.lit(" No objects, identity is never invented.")))
     solved = F.col("status") == "solved"
     empty = F.when(F.col("_some").isNull(), "No prominent catalogued object with an optical counterpart in the field.")
-    return f.select("fid", F.when(~solved, "user_provided" if False else F.when(target.isNotNull(), "user_provided").otherwise("failed")).otherwise("solved").alias("status"),
+    return f.select("fid", F.when(solved, "solved").when(target.isNotNull(), "user_provided").otherwise("failed").alias("status"),
                     F.when(solved, F.concat(F.array_compact(F.array(empty)), F.coalesce("_missing", F.array().cast("array<string>"))))
                     .otherwise(F.array(failed)).alias("warnings"))
 
@@ -128,7 +128,7 @@ def object_detail_line(lang: str = "en") -> Column:
     code = F.nullif(F.col("otype"), F.lit(""))
     gloss = kinds.otype_label(F.col("otype"))[lang]
     kind = F.coalesce(F.concat(code, F.lit(" ("), gloss, F.lit(")")), code)
-    fixed = lambda c: F.format_number(c, "0.00")
+    fixed = lambda c: F.format_string("%.2f", c)
     trust = F.concat(F.lit("type "), fixed(F.col("type_confidence")), F.when(F.col("type_source") == "wiki", " · wiki").otherwise(""))
     plain = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
     return F.concat_ws(
