@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,60 +74,131 @@ def background_level(r: dict[str, Column], n: int = 24) -> Column:
     return upper_median(F.flatten(F.transform(idx, lambda i: F.transform(idx, lambda j: sample(r, i / float(n) * w, j / float(n) * h)))))
 
 
+def _sorted_upper(values: np.ndarray) -> np.ndarray:
+    """Upper median of each row, NaN cells left out (NaN where a row has none)."""
+    ordered = np.sort(values, axis=1)  # NaN sorts last
+    n = np.count_nonzero(~np.isnan(ordered), axis=1)
+    picked = ordered[np.arange(len(ordered)), np.minimum(n // 2, ordered.shape[1] - 1)]
+    return np.where(n > 0, picked, np.nan)
+
+
+def _as_list(values: np.ndarray) -> list:
+    return [None if v != v else float(v) for v in values]
+
+
+def _window_medians(lum, gw, gh, width, height, xs, ys, win) -> list:
+    """7 x 7 window medians at many image points of one raster, vectorised."""
+    o = np.arange(-3, 4) * (win / 3.0)
+    x = np.asarray(xs, dtype=float)[:, None] + np.repeat(o, 7)[None, :]
+    y = np.asarray(ys, dtype=float)[:, None] + np.tile(o, 7)[None, :]
+    inside = (x >= 0) & (y >= 0) & (x < width) & (y < height)
+    gx = np.clip(np.floor(x / width * gw), 0, gw - 1).astype(int)
+    gy = np.clip(np.floor(y / height * gh), 0, gh - 1).astype(int)
+    return _as_list(_sorted_upper(np.where(inside, np.asarray(lum, dtype=float)[gy * gw + gx], np.nan)))
+
+
+def _cell_medians(lum, gw, gh, xs, ys) -> list:
+    """3 x 3 cell medians at many grid cells of one raster, coordinates clamped."""
+    gx = np.clip(np.asarray(xs, dtype=int)[:, None] + np.repeat([-1, 0, 1], 3)[None, :], 0, gw - 1)
+    gy = np.clip(np.asarray(ys, dtype=int)[:, None] + np.tile([-1, 0, 1], 3)[None, :], 0, gh - 1)
+    return _as_list(_sorted_upper(np.asarray(lum, dtype=float)[gy * gw + gx]))
+
+
+def local_medians(r: dict[str, Column], xs: Column, ys: Column, win: Column) -> Column:
+    """Array of window medians at arrays of points; one Arrow batch carries many frames."""
+    @F.pandas_udf("array<double>")
+    def run(lum: pd.Series, gw: pd.Series, gh: pd.Series, w: pd.Series, h: pd.Series, x: pd.Series, y: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([_window_medians(*row) if len(row[5]) else [] for row in zip(lum, gw, gh, w, h, x, y, n)])
+
+    return run(r["lum"], r["gw"], r["gh"], r["width"], r["height"], xs, ys, win)
+
+
+def cell_medians(r: dict[str, Column], xs: Column, ys: Column) -> Column:
+    @F.pandas_udf("array<double>")
+    def run(lum: pd.Series, gw: pd.Series, gh: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_cell_medians(*row) if len(row[3]) else [] for row in zip(lum, gw, gh, x, y)])
+
+    return run(r["lum"], r["gw"], r["gh"], xs, ys)
+
+
 def local_median(r: dict[str, Column], x: Column, y: Column, win: Column) -> Column:
-    """Upper median of 7 x 7 samples spaced a third of the window."""
-    step = win / 3.0
-    at = F.sequence(F.lit(-3), F.lit(3))
-    return upper_median(F.flatten(F.transform(at, lambda i: F.transform(at, lambda j: sample(r, x + i * step, y + j * step)))))
+    """Upper median of 7 x 7 samples spaced a third of the window; NULL off the frame."""
+    return F.get(local_medians(r, F.array(x), F.array(y), win), F.lit(0))
 
 
 def vis_window(width: Column, height: Column, parts: float = 50.0) -> Column:
     return F.greatest(F.lit(8.0), geo.half_up(F.least(width, height) / parts))
 
 
-def visible_radius(r: dict[str, Column], x: Column, y: Column, max_r: Column, bg: Column, win: Column) -> Column:
-    """Pixel radius of the glow around a point: 24 rays of 40 steps, 70th-percentile reach; 0 if none."""
-    thr = bg * 1.15
-    rays = F.sequence(F.lit(0), F.lit(23))
-    steps = F.sequence(F.lit(1), F.lit(40))
+def ray_points(x: Column, y: Column, max_r: Column, rays: int = 24, steps: int = 40) -> Column:
+    """Array of struct(x, y, rad) along rays, ray by ray."""
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(rays - 1)), lambda k: F.transform(
+        F.sequence(F.lit(1), F.lit(steps)), lambda i: F.struct(
+            (x + max_r * i / float(steps) * F.cos(k / float(rays) * (2 * math.pi))).alias("x"),
+            (y + max_r * i / float(steps) * F.sin(k / float(rays) * (2 * math.pi))).alias("y"),
+            (max_r * i / float(steps)).alias("rad")))))
+
+
+def _fields(points: Column, name: str) -> Column:
+    return F.transform(points, lambda p: p[name])
+
+
+def glow_radius(points: Column, medians: Column, centre: Column, width: Column, height: Column, thr: Column) -> Column:
+    """Glow reach from ray samples: 4-gap stop per ray, 12 rays needed, 70th percentile; else 0."""
+    cells = F.zip_with(points, medians, lambda p, m: F.struct(
+        p["rad"].alias("rad"), ((p["x"] < 0) | (p["y"] < 0) | (p["x"] >= width) | (p["y"] >= height)).alias("off"),
+        F.coalesce(m > thr, F.lit(False)).alias("bright")))
     start = F.struct(F.lit(0.0).alias("edge"), F.lit(0).alias("gap"), F.lit(False).alias("stop"))
 
-    def reach(k: Column) -> Column:
-        a = k / 24.0 * (2 * math.pi)
+    def walk(acc: Column, c: Column) -> Column:
+        gap = F.when(c["bright"], 0).otherwise(acc["gap"] + 1)
+        return F.when(acc["stop"], acc).when(c["off"], F.struct(acc["edge"].alias("edge"), acc["gap"].alias("gap"), F.lit(True).alias("stop"))).otherwise(
+            F.struct(F.when(c["bright"], c["rad"]).otherwise(acc["edge"]).alias("edge"), gap.alias("gap"), (gap >= 4).alias("stop")))
 
-        def walk(acc: Column, i: Column) -> Column:
-            rad = max_r * i / 40.0
-            px, py = x + rad * F.cos(a), y + rad * F.sin(a)
-            off = (px < 0) | (py < 0) | (px >= r["width"]) | (py >= r["height"])
-            m = F.when(acc["stop"] | off, None).otherwise(local_median(r, px, py, win))
-            bright = F.coalesce(m > thr, F.lit(False))
-            gap = F.when(bright, 0).otherwise(acc["gap"] + 1)
-            return F.when(acc["stop"], acc).otherwise(F.struct(
-                F.when(bright, rad).otherwise(acc["edge"]).alias("edge"), gap.alias("gap"), (off | (gap >= 4)).alias("stop")))
+    edges = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda k: F.aggregate(F.slice(cells, k * 40 + 1, F.lit(40)), start, walk, lambda acc: acc["edge"]))
+    lit = F.array_sort(F.filter(edges, lambda e: e > 0))
+    found = F.transform(F.array(lit), lambda v: F.when(F.size(v) >= 12, F.get(v, F.floor(F.size(v) * 0.7).cast("int"))))
+    return F.when(F.coalesce(centre > thr, F.lit(False)), F.coalesce(F.get(found, F.lit(0)), F.lit(0.0))).otherwise(0.0)
 
-        return F.aggregate(steps, start, walk, lambda acc: acc["edge"])
 
-    edges = F.array_sort(F.filter(F.transform(rays, reach), lambda e: e > 0))
-    centre = F.coalesce(local_median(r, x, y, win) > thr, F.lit(False))
-    found = F.get(edges, F.floor(F.size(edges) * 0.7).cast("int"))
-    return F.when(centre & (F.size(edges) >= 12), found).otherwise(0.0)
+def visible_radius(centres: DataFrame, x: str = "px", y: str = "py", max_r: str = "max_r", bg: str = "bg", win: str = "win") -> DataFrame:
+    """Adds `visible_r`: pixel radius of the glow around each point (raster columns alongside); 0 if none."""
+    r = raster_of()
+    d = centres.withColumn("_pts", ray_points(F.col(x), F.col(y), F.col(max_r)))
+    here = F.array(F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(0.0).alias("rad")))
+    d = d.withColumn("_pts", F.concat(here, F.col("_pts")))
+    d = d.withColumn("_m", local_medians(r, _fields(F.col("_pts"), "x"), _fields(F.col("_pts"), "y"), F.col(win)))
+    out = glow_radius(F.slice("_pts", 2, 960), F.slice("_m", 2, 960), F.get("_m", F.lit(0)), F.col("width"), F.col("height"), F.col(bg) * 1.15)
+    return d.withColumn("visible_r", out).drop("_pts", "_m")
 
 
 FRACS = (0.55, 0.65, 0.75, 0.85, 0.95, 1.0)
 
 
-def brightest_rim(r: dict[str, Column], x: Column, y: Column, radius: Column, win: Column, avoid: Column) -> Column:
-    """struct(px, py, lum) of the brightest annulus point clear of `avoid` (array of struct(x, y)), or NULL."""
-    spots = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(47)), lambda k: F.transform(
+def rim_points(x: Column, y: Column, radius: Column) -> Column:
+    """The 48 x 6 annulus points in search order."""
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(47)), lambda k: F.transform(
         F.array(*[F.lit(f) for f in FRACS]), lambda f, j: F.struct(
-            (-(k * 6 + j)).alias("order"),
-            (x + radius * f * F.cos(k / 48.0 * (2 * math.pi))).alias("x"), (y + radius * f * F.sin(k / 48.0 * (2 * math.pi))).alias("y")))))
-    usable = F.filter(spots, lambda p: (p["x"] >= 0) & (p["y"] >= 0) & (p["x"] < r["width"]) & (p["y"] < r["height"]) & ~F.exists(
+            (x + radius * f * F.cos(k / 48.0 * (2 * math.pi))).alias("x"), (y + radius * f * F.sin(k / 48.0 * (2 * math.pi))).alias("y"),
+            (-(k * 6 + j)).alias("order")))))
+
+
+def pick_rim(points: Column, medians: Column, width: Column, height: Column, win: Column, avoid: Column) -> Column:
+    """struct(px, py, lum): the brightest point on the frame and clear of `avoid`, first in order on ties; or NULL."""
+    spots = F.zip_with(points, medians, lambda p, m: F.struct(m.alias("lum"), p["order"].alias("order"), p["x"].alias("x"), p["y"].alias("y")))
+    usable = F.filter(spots, lambda p: p["lum"].isNotNull() & (p["x"] >= 0) & (p["y"] >= 0) & (p["x"] < width) & (p["y"] < height) & ~F.exists(
         avoid, lambda q: F.hypot(q["x"] - p["x"], q["y"] - p["y"]) < win * 1.6))
-    measured = F.filter(F.transform(usable, lambda p: F.struct(
-        local_median(r, p["x"], p["y"], win).alias("lum"), p["order"].alias("order"), p["x"].alias("x"), p["y"].alias("y"))), lambda m: m["lum"].isNotNull())
-    best = F.array_max(measured)
-    return F.when(best.isNotNull(), F.struct(geo.half_up(best["x"]).alias("px"), geo.half_up(best["y"]).alias("py"), best["lum"].alias("lum")))
+    best = F.transform(F.array(F.array_max(usable)), lambda b: F.when(b.isNotNull(), F.struct(
+        geo.half_up(b["x"]).alias("px"), geo.half_up(b["y"]).alias("py"), b["lum"].alias("lum"))))
+    return F.get(best, F.lit(0))
+
+
+def brightest_rim(centres: DataFrame, avoid: Column, x: str = "px", y: str = "py", radius: str = "radius", win: str = "win") -> DataFrame:
+    """Adds `rim`: the brightest annulus point of each centre (raster columns alongside)."""
+    r = raster_of()
+    d = centres.withColumn("_pts", rim_points(F.col(x), F.col(y), F.col(radius)))
+    d = d.withColumn("_m", local_medians(r, _fields(F.col("_pts"), "x"), _fields(F.col("_pts"), "y"), F.col(win)))
+    return d.withColumn("rim", pick_rim(F.col("_pts"), F.col("_m"), F.col("width"), F.col("height"), F.col(win), avoid)).drop("_pts", "_m")
 
 
 def rim_toward_centre(x: Column, y: Column, radius: Column, width: Column, height: Column) -> Column:
@@ -142,50 +215,58 @@ def rim_fronts(objects: DataFrame, rasters: DataFrame) -> DataFrame:
     an ordered fold over the few objects a fact sheet lists. rasters add width, height, scale_deg.
     """
     neb = (F.col("category") == "emission_nebula") & F.col("size_major").isNotNull()
-    o = objects.where(F.col("px").isNotNull()).groupBy("fid").agg(
-        F.collect_list(F.struct(F.col("px").alias("x"), F.col("py").alias("y"))).alias("_taken"),
-        F.array_sort(F.collect_list(F.when(neb, F.struct("ord", "id", "px", "py", "size_major")))).alias("_neb"))
-    d = o.where(F.size("_neb") > 0).join(rasters, "fid")
+    n = objects.where(neb & F.col("px").isNotNull()).select("fid", F.col("ord").cast("long").alias("ord"), "id", "px", "py", "size_major").join(rasters, "fid")
     r = raster_of()
-    d = d.withColumn("_win", vis_window(F.col("width"), F.col("height"), 35.0)).withColumn("_bg", background_level(r))
-    reach = F.transform("_neb", lambda n: n.withField("radius", F.coalesce(visible_radius(
-        r, n["px"], n["py"], geo.size_to_px(n["size_major"], F.col("scale_deg")), F.col("_bg"), F.col("_win")), F.lit(0.0))))
-    d = d.withColumn("_neb", reach)
+    n = n.withColumn("win", vis_window(F.col("width"), F.col("height"), 35.0)).withColumn("bg", background_level(r)).withColumn(
+        "max_r", geo.size_to_px(F.col("size_major"), F.col("scale_deg")))
+    n = visible_radius(n).where(F.col("visible_r") > F.col("win"))
+    n = n.withColumn("_pts", rim_points(F.col("px"), F.col("py"), F.col("visible_r")))
+    n = n.withColumn("_m", local_medians(r, _fields(F.col("_pts"), "x"), _fields(F.col("_pts"), "y"), F.col("win")))
+    per = n.groupBy("fid").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "id", "_pts", "_m"))).alias("_neb"),
+        *[F.first(c).alias(c) for c in ("width", "height", "win", "bg")])
+    taken = objects.where(F.col("px").isNotNull()).groupBy("fid").agg(F.collect_list(F.struct(F.col("px").alias("x"), F.col("py").alias("y"))).alias("_taken"))
+    d = per.join(taken, "fid")
     hit_t = "array<struct<ord:bigint,id:string,px:double,py:double,lum:double>>"
     taken_t = "array<struct<x:double,y:double>>"
 
-    def place(acc: Column, n: Column) -> Column:
-        hit = F.when(n["radius"] > F.col("_win"), brightest_rim(r, n["px"], n["py"], n["radius"], F.col("_win"), acc["taken"]))
-        ok = F.coalesce(hit["lum"] > F.col("_bg") * 1.25, F.lit(False))
-        return F.when(ok, F.struct(
-            F.concat(acc["taken"], F.array(F.struct(hit["px"].alias("x"), hit["py"].alias("y")))).cast(taken_t).alias("taken"),
-            F.concat(acc["out"], F.array(F.struct(n["ord"].cast("long").alias("ord"), n["id"].alias("id"), hit["px"].alias("px"), hit["py"].alias("py"), hit["lum"].alias("lum")))).cast(hit_t).alias("out"),
-        )).otherwise(acc)
+    def place(acc: Column, nb: Column) -> Column:
+        hit = pick_rim(nb["_pts"], nb["_m"], F.col("width"), F.col("height"), F.col("win"), acc["taken"])
+        # A one-row list around the hit, so that it is computed once.
+        good = F.filter(F.array(hit), lambda x: F.coalesce(x["lum"] > F.col("bg") * 1.25, F.lit(False)))
+        return F.struct(
+            F.concat(acc["taken"], F.transform(good, lambda x: F.struct(x["px"].alias("x"), x["py"].alias("y")))).cast(taken_t).alias("taken"),
+            F.concat(acc["out"], F.transform(good, lambda x: F.struct(nb["ord"].alias("ord"), nb["id"].alias("id"), x["px"].alias("px"), x["py"].alias("py"), x["lum"].alias("lum")))).cast(hit_t).alias("out"),
+        )
 
     zero = F.struct(F.col("_taken").cast(taken_t).alias("taken"), F.array().cast(hit_t).alias("out"))
     hits = F.aggregate("_neb", zero, place, lambda acc: acc["out"])
-    d = d.select("fid", "_bg", F.posexplode(hits).alias("_i", "h"))
+    d = d.select("fid", F.col("bg").alias("_bg"), F.posexplode(hits).alias("_i", "h"))
     contrast = F.when(F.col("_bg") != 0, F.least(F.lit(0.7), F.col("h.lum") / (F.col("_bg") * 2.0))).otherwise(0.5)
     return d.select("fid", F.concat(F.lit("bcv"), (F.col("_i") + 1).cast("string")).alias("id"), F.col("h.id").alias("parent_object_id"),
                     F.lit("ionization_front").alias("feature_type"), "h.px", "h.py", "h.lum",
                     F.greatest(F.lit(0.3), geo.half_up(contrast * 100.0) / 100.0).alias("confidence"), F.lit("cv").alias("detection_source"))
 
 
+def _centroid(lum, gw, gh, w, h, x, y, radius, bg) -> tuple[float, float]:
+    step = max(6.0, math.floor(radius / 40.0 + 0.5))
+    xs = np.arange(max(0.0, x - radius), min(w - 1, x + radius) + 1e-9, step)
+    ys = np.arange(max(0.0, y - radius), min(h - 1, y + radius) + 1e-9, step)
+    gx, gy = np.meshgrid(xs, ys)
+    at = np.minimum(gh - 1, np.floor(gy / h * gh)).astype(int) * gw + np.minimum(gw - 1, np.floor(gx / w * gw)).astype(int)
+    wt = np.asarray(lum, dtype=float)[at] - bg
+    wt = np.where(((gx - x) ** 2 + (gy - y) ** 2 <= radius * radius) & (wt > 0), wt, 0.0)
+    total = wt.sum()
+    return (float((gx * wt).sum() / total), float((gy * wt).sum() / total)) if total > 0 else (float(x), float(y))
+
+
 def bright_centroid(r: dict[str, Column], x: Column, y: Column, radius: Column, bg: Column) -> Column:
     """struct(px, py): brightness-above-background centroid of the glow; the point itself if there is none."""
-    step = F.greatest(F.lit(6.0), geo.half_up(radius / 40.0))
-
-    def axis(c: Column, size: Column) -> Column:
-        lo, hi = F.greatest(F.lit(0.0), c - radius), F.least(size - 1.0, c + radius)
-        n = F.floor((hi - lo) / step + 1e-9).cast("int")
-        return F.when(hi >= lo, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: lo + i * step)).otherwise(F.array().cast("array<double>"))
+    @F.pandas_udf("px double, py double")
+    def run(lum: pd.Series, gw: pd.Series, gh: pd.Series, w: pd.Series, h: pd.Series, cx: pd.Series, cy: pd.Series, rad: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_centroid(*row) for row in zip(lum, gw, gh, w, h, cx, cy, rad, b)], columns=["px", "py"])
 
-    spots = F.flatten(F.transform(axis(y, r["height"]), lambda sy: F.transform(axis(x, r["width"]), lambda sx: F.struct(
-        sx.alias("x"), sy.alias("y"), F.when((sx - x) * (sx - x) + (sy - y) * (sy - y) <= radius * radius, sample(r, sx, sy) - bg).alias("w")))))
-    lit = F.filter(spots, lambda s: s["w"] > 0)
-    zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("w"))
-    total = F.aggregate(lit, zero, lambda a, s: F.struct((a["x"] + s["x"] * s["w"]).alias("x"), (a["y"] + s["y"] * s["w"]).alias("y"), (a["w"] + s["w"]).alias("w")))
-    return F.struct(F.when(total["w"] > 0, total["x"] / total["w"]).otherwise(x).alias("px"), F.when(total["w"] > 0, total["y"] / total["w"]).otherwise(y).alias("py"))
+    return run(r["lum"], r["gw"], r["gh"], r["width"], r["height"], x, y, radius, bg)
 
 
 def ray_runs(samples: DataFrame, max_gap: int) -> DataFrame:
@@ -245,26 +326,39 @@ def median3(r: dict[str, Column], gx: Column, gy: Column) -> Column:
     return upper_median(_around(r, gx, gy))
 
 
-def ray_extents(r: dict[str, Column], hx: Column, hy: Column, coma: Column, thr: Column, rays: int = 72) -> Column:
-    """Array of how far a sustained streak runs in each direction (0 when none)."""
-    last = F.ceil(F.hypot(r["gw"].cast("double"), r["gh"].cast("double"))).cast("int") - 1
+def streak_points(hx: Column, hy: Column, coma: Column, gw: Column, gh: Column, rays: int = 72) -> Column:
+    """Array of struct(x, y, d) of grid cells along each direction, ray by ray."""
+    last = F.ceil(F.hypot(gw.cast("double"), gh.cast("double"))).cast("int") - 1
     steps = F.when(coma + 2 <= last, F.sequence(coma + 2, last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.sequence(F.lit(0), F.lit(rays - 1)), lambda a: F.transform(steps, lambda d: F.struct(
+        geo.half_up(hx + d * F.cos(a / float(rays) * (2 * math.pi))).cast("int").alias("x"),
+        geo.half_up(hy + d * F.sin(a / float(rays) * (2 * math.pi))).cast("int").alias("y"), d.alias("d"))))
+
+
+def ray_extents(heads: DataFrame, rays: int = 72) -> DataFrame:
+    """Adds `extents`: how far a sustained streak runs in each direction (0 when none).
+
+    heads carry the raster and head_x, head_y, coma, tail_thr.
+    """
+    r = {c: F.col(c) for c in ("gw", "gh", "lum")}
+    d = heads.withColumn("_rays", streak_points(F.col("head_x"), F.col("head_y"), F.col("coma"), F.col("gw"), F.col("gh"), rays))
+    flat = F.flatten("_rays")
+    d = d.withColumn("_m", cell_medians(r, _fields(flat, "x"), _fields(flat, "y")))
     zero = F.struct(F.lit(0).alias("far"), F.lit(0).alias("gap"), F.lit(False).alias("stop"))
 
-    def reach(a: Column) -> Column:
-        t = a / float(rays) * (2 * math.pi)
+    def reach(ray: Column, k: Column) -> Column:
+        cells = F.zip_with(ray, F.slice("_m", k * F.size(ray) + 1, F.size(ray)), lambda p, m: F.struct(
+            p["d"].alias("d"), ((p["x"] < 1) | (p["y"] < 1) | (p["x"] >= F.col("gw") - 1) | (p["y"] >= F.col("gh") - 1)).alias("off"),
+            (m > F.col("tail_thr")).alias("bright")))
 
-        def walk(acc: Column, d: Column) -> Column:
-            gx, gy = geo.half_up(hx + d * F.cos(t)), geo.half_up(hy + d * F.sin(t))
-            off = (gx < 1) | (gy < 1) | (gx >= r["gw"] - 1) | (gy >= r["gh"] - 1)
-            bright = F.when(acc["stop"] | off, False).otherwise(median3(r, gx, gy) > thr)
-            gap = F.when(bright, 0).otherwise(acc["gap"] + 1)
-            return F.when(acc["stop"], acc).otherwise(F.struct(
-                F.when(bright, d).otherwise(acc["far"]).alias("far"), gap.alias("gap"), (off | (gap > 5)).alias("stop")))
+        def walk(acc: Column, c: Column) -> Column:
+            gap = F.when(c["bright"], 0).otherwise(acc["gap"] + 1)
+            return F.when(acc["stop"], acc).when(c["off"], F.struct(acc["far"].alias("far"), acc["gap"].alias("gap"), F.lit(True).alias("stop"))).otherwise(
+                F.struct(F.when(c["bright"], c["d"]).otherwise(acc["far"]).alias("far"), gap.alias("gap"), (gap > 5).alias("stop")))
 
-        return F.aggregate(steps, zero, walk, lambda acc: acc["far"])
+        return F.aggregate(cells, zero, walk, lambda acc: acc["far"])
 
-    return F.transform(F.sequence(F.lit(0), F.lit(rays - 1)), reach)
+    return d.withColumn("extents", F.transform("_rays", reach)).drop("_rays", "_m")
 
 
 def raster_background(r: dict[str, Column]) -> Column:
@@ -300,7 +394,7 @@ def detect_comets(pixels: DataFrame, frames: DataFrame, k: int | None = None, mi
     d = d.withColumn("nuc", F.array_max(order))
     d = d.withColumn("coma", half_max_radius(r, hx, hy, F.col("bg") + F.col("peak") * 0.5, F.lit(k)))
     d = d.where(F.col("coma") <= 0.12 * F.least("gw", "gh"))
-    d = d.withColumn("extents", ray_extents(r, hx, hy, F.col("coma"), F.col("bg") + F.greatest(F.lit(6.0), F.col("peak") * 0.06)))
+    d = ray_extents(d.withColumn("tail_thr", F.col("bg") + F.greatest(F.lit(6.0), F.col("peak") * 0.06)))
     ranked = F.transform("extents", lambda e, a: F.struct(e.alias("e"), (-a).alias("a")))
     d = d.withColumn("ranked", ranked).withColumn("main", F.array_max("ranked"))
     d = comet_guards(d, r)

@@ -73,16 +73,17 @@ r AS (SELECT fid, list_sort(list(edge) FILTER (edge > 0)) AS es FROM e GROUP BY
 @query("visible_radius", RAYS + f"SELECT fid, {s6('CASE WHEN lit AND len(es) >= 12 THEN es[CAST(floor(len(es) * 0.7) AS BIGINT) + 1] ELSE 0 END')} AS r FROM c JOIN r USING (fid)")
 def visible_radius(spark, sf):
     d = rasters(spark, sf).withColumn("bg", P.background_level(P.raster_of()))
-    return rounded(d.select("fid", P.visible_radius(P.raster_of(), C("x"), C("y"), L(400.0), C("bg"), L(90.0)).alias("r")))
+    d = P.visible_radius(d.withColumn("max_r", L(400.0)).withColumn("win", L(90.0)), "x", "y")
+    return rounded(d.select("fid", C("visible_r").alias("r")))
 
 
 @query("ray_runs", RAYS + "SELECT fid, k AS ray, max(CASE WHEN bright AND broken = 0 THEN i END) AS extent FROM g GROUP BY fid, k")
 def ray_runs(spark, sf):
     d = rasters(spark, sf).withColumn("bg", P.background_level(P.raster_of()))
-    s = d.withColumn("ray", F.explode(F.sequence(L(0), L(23)))).withColumn("step", F.explode(F.sequence(L(1), L(40))))
-    a, rad = C("ray") / 24.0 * (2 * F.pi()), 400.0 * C("step") / 40.0
-    m = P.local_median(P.raster_of(), C("x") + rad * F.cos(a), C("y") + rad * F.sin(a), L(90.0))
-    s = s.select("fid", "ray", "step", F.coalesce(m > C("bg") * 1.15, L(False)).alias("bright"))
+    d = d.withColumn("pts", P.ray_points(C("x"), C("y"), L(400.0)))
+    med = P.local_medians(P.raster_of(), F.transform("pts", lambda p: p["x"]), F.transform("pts", lambda p: p["y"]), L(90.0))
+    s = d.select("fid", "bg", F.posexplode(med).alias("i", "m"))
+    s = s.select("fid", F.floor(C("i") / 40).alias("ray"), (C("i") % 40 + 1).alias("step"), F.coalesce(C("m") > C("bg") * 1.15, L(False)).alias("bright"))
     return rounded(P.ray_runs(s, 4))
 
 
@@ -93,14 +94,14 @@ m AS (SELECT fid, o, px, py, {lm('px', 'py', 90)} AS lum FROM s WHERE px >= 0 AN
 SELECT fid, {half_up_sql('px')} AS px, {half_up_sql('py')} AS py, {s6('lum')} AS lum FROM m WHERE lum IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fid ORDER BY lum DESC, o) = 1""")
 def brightest_rim(spark, sf):
     avoid = F.array(F.struct(L(400.0).alias("x"), L(400.0).alias("y")))
-    d = rasters(spark, sf).select("fid", P.brightest_rim(P.raster_of(), C("x"), C("y"), L(300.0), L(90.0), avoid).alias("h"))
-    return rounded(d.where("h IS NOT NULL").select("fid", "h.px", "h.py", "h.lum"))
+    d = P.brightest_rim(rasters(spark, sf).withColumn("radius", L(300.0)).withColumn("win", L(90.0)), avoid, "x", "y")
+    return rounded(d.where("rim IS NOT NULL").select("fid", "rim.px", "rim.py", "rim.lum"))
 
 
 @query("rim_fronts")
 def rim_fronts(spark, sf):
     r = rasters(spark, sf)
-    o = r.select("fid", F.explode(F.sequence(L(1), L(2))).cast("long").alias("ord"), L("emission_nebula").alias("category"), "x", "y", L(6000.0).alias("size_major"))
+    o = r.select("fid", F.explode(F.array(L(1).cast("long"), L(2).cast("long"))).alias("ord"), L("emission_nebula").alias("category"), "x", "y", L(6000.0).alias("size_major"))
     o = o.select("fid", "ord", F.concat(L("obj"), C("ord").cast("string")).alias("id"), "category", F.pmod(C("x") + 150 * C("ord"), L(800.0)).alias("px"), C("y").alias("py"), "size_major")
     return rounded(P.rim_fronts(o, r.drop("x", "y")))
 
@@ -150,8 +151,8 @@ o AS (SELECT *, max(CAST(off AS INTEGER)) OVER w AS gone FROM m WINDOW w AS (PAR
 SELECT fid, k AS ray, coalesce(max(CASE WHEN bright AND gone = 0 THEN d END), 0) AS extent FROM o GROUP BY fid, k""")
 def ray_extents(spark, sf):
     # The grid is smaller than the gap limit, so only the frame edge ends a ray here; gaps are unit-tested.
-    d = rasters(spark, sf).select("fid", F.posexplode(P.ray_extents(P.raster_of(), L(3), L(4), L(0), L(118.0))).alias("ray", "extent"))
-    return rounded(d)
+    d = rasters(spark, sf).withColumn("head_x", L(3)).withColumn("head_y", L(4)).withColumn("coma", L(0)).withColumn("tail_thr", L(118.0))
+    return rounded(P.ray_extents(d).select("fid", F.posexplode("extents").alias("ray", "extent")))
 
 
 @query("detect_comets")
