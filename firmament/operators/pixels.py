@@ -110,7 +110,8 @@ def local_medians(r: dict[str, Column], xs: Column, ys: Column, win: Column) ->
     def run(lum: pd.Series, gw: pd.Series, gh: pd.Series, w: pd.Series, h: pd.Series, x: pd.Series, y: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([_window_medians(*row) if len(row[5]) else [] for row in zip(lum, gw, gh, w, h, x, y, n)])
 
-    return run(r["lum"], r["gw"], r["gh"], r["width"], r["height"], xs, ys, win)
+    # Marked so that the optimizer computes it once, in place, and never copies it into a lambda or a filter.
+    return run.asNondeterministic()(r["lum"], r["gw"], r["gh"], r["width"], r["height"], xs, ys, win)
 
 
 def cell_medians(r: dict[str, Column], xs: Column, ys: Column) -> Column:
@@ -118,7 +119,8 @@ def cell_medians(r: dict[str, Column], xs: Column, ys: Column) -> Column:
     def run(lum: pd.Series, gw: pd.Series, gh: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([_cell_medians(*row) if len(row[3]) else [] for row in zip(lum, gw, gh, x, y)])
 
-    return run(r["lum"], r["gw"], r["gh"], xs, ys)
+    # Marked so that the optimizer computes it once, in place, and never copies it into a lambda or a filter.
+    return run.asNondeterministic()(r["lum"], r["gw"], r["gh"], xs, ys)
 
 
 def local_median(r: dict[str, Column], x: Column, y: Column, win: Column) -> Column:
@@ -266,7 +268,8 @@ def bright_centroid(r: dict[str, Column], x: Column, y: Column, radius: Column,
     def run(lum: pd.Series, gw: pd.Series, gh: pd.Series, w: pd.Series, h: pd.Series, cx: pd.Series, cy: pd.Series, rad: pd.Series, b: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_centroid(*row) for row in zip(lum, gw, gh, w, h, cx, cy, rad, b)], columns=["px", "py"])
 
-    return run(r["lum"], r["gw"], r["gh"], r["width"], r["height"], x, y, radius, bg)
+    # Marked so that the optimizer computes it once, in place, and never copies it into a lambda or a filter.
+    return run.asNondeterministic()(r["lum"], r["gw"], r["gh"], r["width"], r["height"], x, y, radius, bg)
 
 
 def ray_runs(samples: DataFrame, max_gap: int) -> DataFrame:

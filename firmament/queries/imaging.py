@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from firmament.operators import pixels as P
 from firmament.operators import regions as RG
 from firmament.queries.facts import objects
+from firmament.session import pin
 from firmament.queries.kit import define_view, half_up_sql, query, r6, rounded, s6, sep_sql, table, view
 
 C = F.col
@@ -112,7 +113,7 @@ s AS (SELECT fid, x, y, sx, sy, {smp('sx', 'sy')} - bg AS w FROM (SELECT *, grea
  WHERE sx <= least(799.0, x + 200) AND sy <= least(799.0, y + 200) AND power(sx - x, 2) + power(sy - y, 2) <= 40000)
 SELECT fid, {s6('coalesce(sum(sx * w) FILTER (w > 0) / sum(w) FILTER (w > 0), any_value(x))')} AS px, {s6('coalesce(sum(sy * w) FILTER (w > 0) / sum(w) FILTER (w > 0), any_value(y))')} AS py FROM s GROUP BY fid""")
 def bright_centroid(spark, sf):
-    d = rasters(spark, sf).withColumn("bg", P.background_level(P.raster_of()))
+    d = pin(rasters(spark, sf), bg=P.background_level(P.raster_of()))
     return rounded(d.select("fid", P.bright_centroid(P.raster_of(), C("x"), C("y"), L(200.0), C("bg")).alias("c")).select("fid", "c.px", "c.py"))
 
 
