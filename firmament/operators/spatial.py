@@ -215,7 +215,7 @@ def duplicate_components(catalog: DataFrame, key: str = "obj_id", max_level: int
     upward = upward.select("_node", vertex("c", F.col("_up"), *up_cells).alias("_vertex")).distinct()
     upward = upward.join(touched.select("_vertex").distinct(), "_vertex", "left_semi")
     # Nodes meeting in a cell all link to the least of them; a cell met by one node links nothing.
-    meet = cut_lineage(touched.union(upward))
+    meet = cut_lineage(touched.unionByName(upward))
     hub = meet.groupBy("_vertex").agg(F.min("_node").alias("b"), F.count("*").alias("n")).where("n > 1")
     edges = meet.join(hub, "_vertex").select(F.col("_node").alias("a"), "b")
     comp = connected_components(edges).withColumnRenamed("node", "_node")
