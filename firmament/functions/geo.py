@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmament.dims.vocab import CARDINALS, NICE_STEPS
@@ -64,17 +64,34 @@ def bearing(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
     )
 
 
+TRIG_FIELDS = ("sin_dec0", "cos_dec0", "sin_th", "cos_th", "scale_rad")
+
+
+def frame_trig(frames: DataFrame) -> DataFrame:
+    """Adds a frame's own trigonometry, for projections of arrays inside lambdas."""
+    return frames.withColumns({
+        "sin_dec0": F.sin(F.radians("dec0")), "cos_dec0": F.cos(F.radians("dec0")), "sin_th": F.sin(F.radians("orientation_deg")),
+        "cos_th": F.cos(F.radians("orientation_deg")), "scale_rad": F.radians("scale_deg"),
+    })
+
+
 def world_to_pixel(wcs: dict[str, Column], ra: Column, dec: Column) -> Column:
-    """struct(px, py) of a sky point in a tangent-plane frame; NULL behind the plane."""
-    d0, d, dra = F.radians(wcs["dec0"]), F.radians(dec), F.radians(ra - wcs["ra0"])
-    depth = F.sin(d0) * F.sin(d) + F.cos(d0) * F.cos(d) * F.cos(dra)
-    scale = F.radians(wcs["scale_deg"])
+    """struct(px, py) of a sky point in a tangent-plane frame; NULL behind the plane.
+
+    `wcs` may carry the columns of frame_trig, which then are not computed again.
+    """
+    sin0 = wcs.get("sin_dec0", F.sin(F.radians(wcs["dec0"])))
+    cos0 = wcs.get("cos_dec0", F.cos(F.radians(wcs["dec0"])))
+    sin_th = wcs.get("sin_th", F.sin(F.radians(wcs["orientation_deg"])))
+    cos_th = wcs.get("cos_th", F.cos(F.radians(wcs["orientation_deg"])))
+    scale = wcs.get("scale_rad", F.radians(wcs["scale_deg"]))
+    d, dra = F.radians(dec), F.radians(ra - wcs["ra0"])
+    depth = sin0 * F.sin(d) + cos0 * F.cos(d) * F.cos(dra)
     xi = F.cos(d) * F.sin(dra) / depth / scale
-    eta = (F.cos(d0) * F.sin(d) - F.sin(d0) * F.cos(d) * F.cos(dra)) / depth / scale
-    th = F.radians(wcs["orientation_deg"])
+    eta = (cos0 * F.sin(d) - sin0 * F.cos(d) * F.cos(dra)) / depth / scale
     # The rotation is orthonormal up to parity, so its inverse is its transpose.
-    dx = wcs["parity"] * (F.cos(th) * xi + F.sin(th) * eta)
-    dy = F.cos(th) * eta - F.sin(th) * xi
+    dx = wcs["parity"] * (cos_th * xi + sin_th * eta)
+    dy = cos_th * eta - sin_th * xi
     return F.when(
         depth > 0,
         F.struct((wcs["crpix_x"] + dx).alias("px"), (wcs["crpix_y"] - dy).alias("py")),

@@ -60,12 +60,19 @@ def project_registry(hosts: DataFrame, registry: DataFrame, frames: DataFrame, m
     annos = registry.where(F.col("vertices").isNotNull()).withColumn("_u", unnamed)
     totals = annos.where("_u").groupBy("entry_ord", "feature_type").agg(F.count("*").alias("n_unnamed"))
     annos = annos.join(totals, ["entry_ord", "feature_type"], "left").drop("_u")
-    rows = matched.join(hint_small(annos), "entry_ord").join(frames, "fid")
+    rows = matched.join(frames, "fid").join(hint_small(annos), "entry_ord")
     wcs = geo.wcs_of()
-    points = F.filter(F.transform("vertices", lambda v: geo.world_to_pixel(wcs, v["ra"], v["dec"])), lambda p: p.isNotNull())
-    rows = pin(rows, _pts=points).where(F.exists("_pts", lambda p: geo.in_image(wcs, p["px"], p["py"])))
-    rows = rows.withColumn("polygon", F.transform("_pts", lambda p: F.struct(
-        geo.half_up(p["px"]).alias("x"), geo.half_up(p["py"]).alias("y"))))
+    # Vertices are projected as plain rows, in generated code, and gathered again by shape:
+    # the gather's partial aggregate runs where the rows are made.
+    shape = ["fid", "host_id", "entry_ord", "anno_ord"]
+    keep = ["feature_type", "geom_type", "label", "n_unnamed"]
+    flat = rows.select(*shape, *keep, *geo.WCS_FIELDS, F.posexplode("vertices").alias("_i", "_v"))
+    flat = pin(flat, _p=geo.world_to_pixel(wcs, F.col("_v.ra"), F.col("_v.dec"))).where(F.col("_p").isNotNull())
+    vertex = F.struct("_i", geo.half_up(F.col("_p.px")).alias("x"), geo.half_up(F.col("_p.py")).alias("y"))
+    rows = flat.groupBy(*shape).agg(
+        F.array_sort(F.collect_list(vertex)).alias("_pts"), F.max(geo.in_image(wcs, F.col("_p.px"), F.col("_p.py"))).alias("_seen"),
+        *[F.first(c).alias(c) for c in (*keep, *geo.WCS_FIELDS)])
+    rows = rows.where("_seen").withColumn("polygon", F.transform("_pts", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
     rows = unnamed_ordinals(rows, ("fid", "host_id"))
     rows = rows.withColumn("pipeline_type", kinds.atlas_to_pipeline_type(F.col("feature_type")))
     tax = kinds.taxonomy_label(F.col("pipeline_type"))

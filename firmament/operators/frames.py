@@ -29,9 +29,9 @@ def graticule(frames: DataFrame) -> DataFrame:
 
     All lines of a frame are built inside its own row: no shuffle.
     """
-    wcs = geo.wcs_of()
+    wcs = {**geo.wcs_of(), **{c: F.col(c) for c in geo.TRIG_FIELDS}}
     radius = geo.field_radius_deg(wcs)
-    f = frames.withColumn("_r", radius).withColumn("_step", geo.nice_step(radius))
+    f = geo.frame_trig(frames).withColumn("_r", radius).withColumn("_step", geo.nice_step(radius))
     f = f.withColumn("_dr", F.col("_r") / F.greatest(F.lit(0.05), F.cos(F.radians("dec0"))))
 
     def lines(lo: Column, hi: Column, point) -> Column:

@@ -15,6 +15,8 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
         .appName("firmament")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # Test tables are tiny: keep the few tasks they yield apart.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
