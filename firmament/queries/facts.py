@@ -34,8 +34,7 @@ SELECT obj_id, CAST(floor(obj_id / 10.0) AS BIGINT) AS fid, concat('obj', CAST(o
 FROM v_cat""")
 
 define_view("v_objects", f"""
-SELECT *, CASE WHEN tier = 'A' AND obj_id % 31 = 0 THEN 'comet' ELSE coalesce({CATEGORY_SQL}, 'star') END AS category,
-  2000.0 + 0 AS unused FROM v_obj0""")
+SELECT *, CASE WHEN tier = 'A' AND obj_id % 31 = 0 THEN 'comet' ELSE coalesce({CATEGORY_SQL}, 'star') END AS category FROM v_obj0""")
 
 
 def objects(spark, sf):

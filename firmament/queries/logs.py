@@ -193,7 +193,7 @@ def retry_prompts(spark, sf):
     return MI.retry_prompts(prompts, errors).select("reading_id", "attempt")
 
 
-@query("apply_tailoring", """SELECT report AS reading_id, feature_id AS id, CASE WHEN k < 3 THEN concat('new ', report) ELSE '' END AS en, CASE WHEN k < 3 THEN NULL ELSE 'p' END AS unused FROM v_feats""".replace(", CASE WHEN k < 3 THEN NULL ELSE 'p' END AS unused", ""))
+@query("apply_tailoring", """SELECT report AS reading_id, feature_id AS id, CASE WHEN k < 3 THEN concat('new ', report) ELSE '' END AS en FROM v_feats""")
 def apply_tailoring(spark, sf):
     f = feats(spark, sf).withColumnsRenamed({"report": "reading_id", "feature_id": "id"}).withColumn("physics", L(None).cast("struct<zh:string,en:string>")).withColumn("interesting", L(None).cast("struct<zh:string,en:string>"))
     txt = F.concat(L("new "), C("reading_id").cast("string"))

@@ -30,7 +30,9 @@ def scan_ngc_csv(spark, sf):
     s = lambda c: c.cast("string")
     raw = view(spark, sf, "v_catalog").select(
         o.alias("row_idx"),
-        F.when(o % 13 == 0, "MESSIER031").otherwise(F.concat(F.when(o % 2 == 0, "NGC").otherwise("IC"), F.lpad(s(o), 4, "0"), s(F.when(o > 9999, o % 10).otherwise(L(None))) if False else L(""), F.when(o % 7 == 0, "a").otherwise(""))).alias("Name"),
+        F.when(o % 13 == 0, "MESSIER031").otherwise(F.concat(
+            F.when(o % 2 == 0, "NGC").otherwise("IC"), F.when(o < 10000, F.lpad(s(o), 4, "0")).otherwise(s(o)),
+            F.when(o % 7 == 0, "a").otherwise(""))).alias("Name"),
         pick(TYPES, o).alias("Type"),
         F.concat(s(o % 24), L(":"), s(o % 60), L(":1.5")).alias("RA"),
         F.concat(F.when(o % 2 == 0, "-").otherwise("+"), s(o % 90), L(":"), s(o % 60), L(":2.25")).alias("Dec"),
@@ -41,11 +43,6 @@ def scan_ngc_csv(spark, sf):
         F.when(o % 50 == 0, F.lpad(s(o % 110), 3, "0")).otherwise("").alias("M"),
         F.when(o % 11 == 0, "the Big Nebula,Other Name").otherwise("").alias("Common names"),
     )
-    # Longer numbers than four digits are kept whole.
-    raw = raw.withColumn("Name", F.when(C("Name") == "MESSIER031", C("Name")).otherwise(F.concat(
-        F.when(C("row_idx") % 2 == 0, "NGC").otherwise("IC"),
-        F.when(C("row_idx") < 10000, F.lpad(C("row_idx").cast("string"), 4, "0")).otherwise(C("row_idx").cast("string")),
-        F.when(C("row_idx") % 7 == 0, "a").otherwise(""))))
     d = R.ngc_candidates(raw)
     return rounded(d.select("row_idx", "main_id", F.array_join("names", "|").alias("names"), "otype", "ra_deg", "dec_deg", "size_major", "size_minor", "mag", C("common_name.en").alias("common_en")))
 

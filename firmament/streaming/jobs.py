@@ -94,9 +94,9 @@ def job_status(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
 def job_status_batch(events: DataFrame) -> DataFrame:
     """Final state per job; running jobs older than the timeout at the end of the data have failed."""
     last = events.groupBy("job").agg(F.max_by(F.struct("state", "ts", "seq"), "seq").alias("l"))
-    end = events.agg(F.max("ts").alias("_end"))
-    late = (F.col("l.state") == "running") & (F.unix_micros(F.col("_end").cast("timestamp")) - F.unix_micros(F.col("l.ts").cast("timestamp")) > TIMEOUT_S * 1_000_000)
-    return last.join(F.broadcast(end)).select("job", F.when(late, "failed").otherwise(F.col("l.state")).alias("state"), "l.seq")
+    end = events.agg(F.max(F.col("ts").cast("timestamp")).alias("end")).scalar()
+    late = (F.col("l.state") == "running") & (F.unix_micros(end) - F.unix_micros(F.col("l.ts").cast("timestamp")) > TIMEOUT_S * 1_000_000)
+    return last.select("job", F.when(late, "failed").otherwise(F.col("l.state")).alias("state"), "l.seq")
 
 
 def start_job_status(events: DataFrame, path: str, checkpoint: str, watermark: str = "10 minutes") -> StreamingQuery:

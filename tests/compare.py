@@ -18,7 +18,6 @@ TABLES = (
 
 def duck(sf: str):
     con = duckdb.connect()
-    con.execute("SET TimeZone='UTC'") if False else None
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     return con
