@@ -33,7 +33,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        configured = sc.getConf().get("spark.checkpoint.dir")
+        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="firmament-checkpoint-"))
     return df.checkpoint(eager=True)
 
