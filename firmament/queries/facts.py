@@ -9,6 +9,8 @@ from firmament.operators import factsheet as FS
 from firmament.operators import select as S
 from firmament.operators import spatial
 from firmament.queries.kit import CATEGORY_SQL, case_sql, catalog, define_view, frames, gated, half_up_sql, query, r6, rounded, s6, selected, table, view
+from firmament.queries.geometry import P2, RA_H, _carry_sql
+from firmament.queries.scalars import EN, gloss_sql
 from firmament.queries.sources import entity_dump
 from firmament.sources import readers as R
 
@@ -202,7 +204,14 @@ def cross_id_summary(spark, sf):
     return rounded(d.select("obj_id", "s.n", "s.same_object", F.array_join("s.items", "|").alias("items")))
 
 
-@query("object_detail_line")
+_PLAIN = "regexp_replace(CAST(o.size_major AS VARCHAR), '\\.0$', '')"
+
+
+@query("object_detail_line", f"""
+SELECT o.fid, o.id, concat_ws(' · ', coalesce(concat(o.otype, ' (') || {gloss_sql(EN, ' (cand.)').replace('otype', 'o.otype')} || ')', o.otype),
+  concat('id ', CASE WHEN o.messier IS NOT NULL THEN '0.97' WHEN o.ngc IS NOT NULL THEN '0.90' WHEN o.sharpless IS NOT NULL THEN '0.82' WHEN o.mag IS NOT NULL THEN '0.85' ELSE '0.70' END), 'type 0.70 · wiki',
+  concat({P2('a.h2 % 24')}, 'h', {P2('a.m3')}, 'm', {P2('a.s2')}, 's ', CASE WHEN o.dec_deg < 0 THEN '−' ELSE '+' END, b.h2, '°', {P2('b.m3')}, '′', {P2('b.s2')}, '″'), {_PLAIN} || '′', {_PLAIN} || ' pc') AS line
+FROM v_objects o JOIN ({_carry_sql(RA_H)}) a USING (obj_id) JOIN ({_carry_sql('abs(dec_deg)')}) b USING (obj_id)""")
 def object_detail_line(spark, sf):
     o = objects(spark, sf).withColumn("confidence", kinds.identity_confidence(C("catalog_ids"), C("mag"))).withColumn("type_confidence", L(0.7)).withColumn("type_source", L("wiki"))
     o = o.withColumn("distance", F.struct(C("size_major").alias("value"), L("pc").alias("unit")))
