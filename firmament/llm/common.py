@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from firmament.session import cut_lineage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -118,3 +120,73 @@ def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
 
 def packed(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array([a.tobytes() for a in arrays], pa.binary())
+
+
+def marks(keys: DataFrame, key: Column, bits: int = 23) -> DataFrame:
+    """A bitmap of fixed size (2**bits bits; 1 MB as set, whatever the input) of the hashed `key` of every row, for `marked`."""
+    spot = keys.select(F.pmod(F.xxhash64(key), F.lit(1 << bits)).alias("_spot"))
+    rows = spot.groupBy(F.floor(F.col("_spot") / 32768).alias("_bucket")).agg(F.expr("bitmap_construct_agg(_spot % 32768)").alias("_bitmap"))
+    return F.broadcast(cut_lineage(rows))
+
+
+def marked(df: DataFrame, key: Column, bitmap: DataFrame, bits: int = 23) -> DataFrame:
+    """`df` with _maybe: false only where the key is surely not among the marked ones. A cheap filter before an exact join."""
+    spot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(floor(_spot % 32768 / 8) as int) + 1, 1)")), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.expr("shiftleft(1, cast(_spot % 8 as int))")) > 0
+    joined = df.withColumn("_spot", spot).withColumn("_bucket", F.floor(F.col("_spot") / 32768)).join(bitmap, "_bucket", "left")
+    return joined.withColumn("_maybe", F.coalesce(bit, F.lit(False))).drop("_spot", "_bucket", "_bitmap")
+
+
+def merge_counts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the summed rows of `counts` (keys x columns)."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts[order], first, axis=0, dtype=counts.dtype)
+
+
+def key_counts(src: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], columns: int,
+               reduce: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str, text: int = 0,
+               held: int = 1 << 21) -> DataFrame:
+    """Count 64-bit keys over a whole table.
+
+    `keys_of` gives the keys of a few rows and their counts (keys x `columns`, uint32). Counts are merged within a task while they fit
+    in `held` keys, then travel as sorted arrays, one row for each key range; `reduce` gets the distinct keys of one range with
+    their totals and returns columns of `schema`. Ranges are of hashed keys, so a frequent key is no hot task, and their number follows
+    spark.sql.shuffle.partitions.
+    """
+    shards = 4 * max(1, int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def pack(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        shard = (mix(keys) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+        order = np.lexsort((keys, shard))
+        keys, counts, shard = keys[order], counts[order], shard[order]
+        at = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+        ends = [*at[1:], len(keys)]
+        return pa.RecordBatch.from_arrays([pa.array(shard[at].astype(np.int32)), packed([keys[a:b] for a, b in zip(at, ends)]),
+                                           packed([counts[a:b] for a, b in zip(at, ends)])], ["shard", "keys", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n, kept = [], 0, (np.zeros(0, np.uint64), np.zeros((0, columns), np.uint32))
+        for part in slices(batches, text=text):
+            waiting.append(merge_counts(*keys_of(part)))
+            n += len(waiting[-1][0])
+            if n > held:
+                kept = merge_counts(np.concatenate([kept[0], *(k for k, _ in waiting)]), np.concatenate([kept[1], *(c for _, c in waiting)]))
+                waiting, n = [], 0
+                if len(kept[0]) > held:
+                    yield pack(*kept)
+                    kept = kept[0][:0], kept[1][:0]
+        kept = merge_counts(np.concatenate([kept[0], *(k for k, _ in waiting)]), np.concatenate([kept[1], *(c for _, c in waiting)]))
+        if len(kept[0]):
+            yield pack(*kept)
+
+    def total(group: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(b, np.uint64) for b in group.column("keys").to_pylist()])
+        counts = np.concatenate([np.frombuffer(b, np.uint32).reshape(-1, columns) for b in group.column("counts").to_pylist()])
+        return pa.table(reduce(*merge_counts(keys, counts.astype(np.uint64))))
+
+    return src.mapInArrow(count, "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(total, schema)

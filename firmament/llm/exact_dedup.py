@@ -15,40 +15,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmament.llm.common import table
+from firmament.llm.common import marked, marks, table
 from firmament.llm.registry import query
 from firmament.session import cut_lineage
 
-BITMAP_BITS = 32768
-
-
 def one_space(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _is_set(bitmap: Column, position: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_position % 8 as int))")) > 0, F.lit(False))
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_chars: int = 64,
                 filter_bits: int = 23, digest: bool = False) -> DataFrame:
     """One row per input row: id, keep_id (least id of the group), group_size, kept; with `digest` also every row's text_sha256."""
     base = docs.select(F.col(id_col).alias("_id"), one_space(F.col(text_col)).alias("_text"))
-    spot = F.pmod(F.xxhash64("_len", "_head"), F.lit(1 << filter_bits))
     seen = base.select("_id", "_text", F.length("_text").alias("_len"), F.xxhash64(F.substring("_text", 1, head_chars)).alias("_head"))
 
     keys = cut_lineage(seen.select("_len", "_head"))
     lengths = keys.groupBy("_len").agg(F.count("*").alias("_n")).where("_n > 1").select("_len")
     heads = keys.join(lengths, "_len").groupBy("_len", "_head").agg(F.count("*").alias("_n")).where("_n > 1")
-    marks = heads.select(spot.alias("_spot")).groupBy(F.floor(F.col("_spot") / BITMAP_BITS).alias("_bucket")).agg(
-        F.expr(f"bitmap_construct_agg(_spot % {BITMAP_BITS})").alias("_bitmap"))
-    # At most 2**filter_bits / 32768 rows of 4 kB whatever the input.
-    marks = F.broadcast(cut_lineage(marks))
-
-    rows = seen.withColumn("_spot", spot).withColumn("_bucket", F.floor(F.col("_spot") / BITMAP_BITS)).withColumn(
-        "_position", F.col("_spot") % BITMAP_BITS).join(marks, "_bucket", "left")
-    rows = rows.withColumn("_alive", _is_set(F.col("_bitmap"), F.col("_position")))
+    group = F.struct("_len", "_head")
+    rows = marked(seen, group, marks(heads, group, filter_bits), filter_bits).withColumnRenamed("_maybe", "_alive")
     hashed = F.sha2(F.col("_text"), 256)
     rows = cut_lineage(rows.select("_id", "_alive", (hashed if digest else F.when(F.col("_alive"), hashed)).alias("_sha")))
 
