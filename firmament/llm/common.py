@@ -148,25 +148,35 @@ def merge_counts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(counts[order], first, axis=0, dtype=counts.dtype)
 
 
+def _deltas(keys: np.ndarray) -> bytes:
+    """Sorted keys as byte planes of their differences, which the shuffle's compression shrinks."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _undelta(b: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def key_counts(src: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], columns: int,
                reduce: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str, text: int = 0,
-               held: int = 1 << 21) -> DataFrame:
+               held: int = 1 << 21, uniform_bits: int = 0) -> DataFrame:
     """Count 64-bit keys over a whole table.
 
     `keys_of` gives the keys of a few rows and their counts (keys x `columns`, uint32). Counts are merged within a task while they fit
     in `held` keys, then travel as sorted arrays, one row for each key range; `reduce` gets the distinct keys of one range with
     their totals and returns columns of `schema`. Ranges are of hashed keys, so a frequent key is no hot task, and their number follows
-    spark.sql.shuffle.partitions.
+    spark.sql.shuffle.partitions. `uniform_bits`: keys are themselves hashes of so many bits, so ranges may be of the keys.
     """
     shards = 4 * max(1, int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def pack(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        shard = (mix(keys) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+        spread = keys >> np.uint64(uniform_bits - 32) if uniform_bits else mix(keys) >> np.uint64(32)
+        shard = spread * np.uint64(shards) >> np.uint64(32)
         order = np.lexsort((keys, shard))
         keys, counts, shard = keys[order], counts[order], shard[order]
         at = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
         ends = [*at[1:], len(keys)]
-        return pa.RecordBatch.from_arrays([pa.array(shard[at].astype(np.int32)), packed([keys[a:b] for a, b in zip(at, ends)]),
+        return pa.RecordBatch.from_arrays([pa.array(shard[at].astype(np.int32)), pa.array([_deltas(keys[a:b]) for a, b in zip(at, ends)], pa.binary()),
                                            packed([counts[a:b] for a, b in zip(at, ends)])], ["shard", "keys", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +195,7 @@ def key_counts(src: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.ndar
             yield pack(*kept)
 
     def total(group: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(b, np.uint64) for b in group.column("keys").to_pylist()])
+        keys = np.concatenate([_undelta(b) for b in group.column("keys").to_pylist()])
         counts = np.concatenate([np.frombuffer(b, np.uint32).reshape(-1, columns) for b in group.column("counts").to_pylist()])
         return pa.table(reduce(*merge_counts(keys, counts.astype(np.uint64))))
 
