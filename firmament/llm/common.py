@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -200,3 +201,15 @@ def key_counts(src: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.ndar
         return pa.table(reduce(*merge_counts(keys, counts.astype(np.uint64))))
 
     return src.mapInArrow(count, "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(total, schema)
+
+
+def write_table(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet to the shared folder (spark.checkpoint.dir) and read back: lineage is cut and Spark knows its size."""
+    sc = df.sparkSession.sparkContext
+    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not shared:
+        cut_lineage(df.sparkSession.range(0))  # sets a folder of our own, as in tests
+        shared = sc.getCheckpointDir()
+    path = f"{shared}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
