@@ -7,12 +7,13 @@ positions still allow T, and the lists set aside are then probed by binary searc
 
 In Spark:
 
-1. `profiles`: one scan gives each document's set size, a 128-bit digest of its set, and minima of its shingle hashes. Equal sets
-   become one class with its least id; only classes are joined.
-2. Star links: classes that share a minimum are compared with the most central of them, exactly. Linked classes carry its label, so
-   a large group of near copies is one label instead of all its pairs. This only saves work: step 4 misses no link between labels.
-3. `list_lengths`: one scan counts the documents of every shingle (packed key counts). Two bitmaps of fixed size come of it: the shingles
+1. `profiles`: one scan gives each document's set size and a 128-bit digest of its set. Equal sets become one class with its least
+   id; only classes are joined.
+2. `list_lengths`: one scan counts the documents of every shingle (packed key counts). Two bitmaps of fixed size come of it: the shingles
    of two documents or more, and the order of magnitude of long lists. Bits shared by chance only lengthen some lists.
+3. `short_lists` picks every class's lists to merge. Star links: classes that share a shingle minimum are compared, exactly, with the
+   most central of them, and carry its label if linked, so a large group of near copies is one label instead of all its pairs. This only
+   saves work: step 4 misses no link between labels.
 4. Short lists travel to ranges of shingle hashes and are merged there: pairs of different labels that pass size and positions
    come out with their occurrences. No pair within a label, of equal sets, or from a list that was set aside is ever formed.
 5. Candidates are verified on whole sets; components of all links (reliable checkpoints each round) name the groups.
@@ -64,24 +65,18 @@ def _sources(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def profiles(src: DataFrame, width: int, bands: int = 8) -> DataFrame:
-    """id, n, two digest words of the set and `bands` minima (null where a band is empty)."""
+def profiles(src: DataFrame, width: int) -> DataFrame:
+    """id, set size n and two digest words of the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            n, d1, d2, low = [], [], [], []
+            n, d1, d2 = [], [], []
             for s in shingle_sets(part.column(1), width):
                 n.append(len(s))
                 d1.append(_digest(s))
                 d2.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
-                at = np.searchsorted(s, np.arange(bands, dtype=np.uint64) << np.uint64(61))
-                edge = np.append(at[1:], len(s))
-                low.append([int(s[a].view(np.int64)) if a < b else None for a, b in zip(at.tolist(), edge.tolist())])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-                                              pa.array(low, pa.list_(pa.int64()))], ["id", "n", "d1", "d2", "minima"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in (n, d1, d2))], ["id", "n", "d1", "d2"])
 
-    if bands > 8:
-        raise ValueError("at most 8 bands")
-    return src.mapInArrow(run, "id long, n long, d1 long, d2 long, minima array<long>")
+    return src.mapInArrow(run, "id long, n long, d1 long, d2 long")
 
 
 def _sets(src: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -116,20 +111,6 @@ def _verify(pairs: DataFrame, src: DataFrame, width: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
-def star_links(classes: DataFrame, src: DataFrame, width: int) -> DataFrame:
-    """Verified links (a, b) of classes to the most central class they share minima with; b is the more central."""
-    keys = classes.select("id", "n", F.posexplode("minima").alias("band", "low")).where("low is not null")
-    shared = keys.groupBy("band", "low").agg(F.count("*").alias("c")).where("c > 1")
-    keys = cut_lineage(keys.join(shared, ["band", "low"]))
-    central = keys.groupBy("id").agg(F.sum("c").alias("score"))
-    keys = keys.join(central, "id")
-    head = keys.groupBy("band", "low").agg(F.max(F.struct("score", "id", "n")).alias("head"))
-    met = keys.join(head, ["band", "low"]).where("head.id <> id and 4 * least(n, head.n) >= 3 * greatest(n, head.n)")
-    votes = met.groupBy("id", "head").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("id").agg(F.max(F.struct("votes", "head")).alias("m")).select(F.col("id").alias("a"), F.col("m.head.id").alias("b"))
-    return cut_lineage(_verify(cut_lineage(best), src, width))
-
-
 def _labels(links: DataFrame) -> DataFrame:
     """(id, label): a linked class takes the label of its centre, that of the centre's own centre if there is one."""
     up = links.select(F.col("a").alias("b"), F.col("b").alias("top"))
@@ -178,20 +159,19 @@ def _spot(keys: np.ndarray) -> np.ndarray:
     return mix(keys) >> np.uint64(64 - FILTER_BITS)
 
 
-def candidates(src: DataFrame, classes: DataFrame, labels: DataFrame, lengths: tuple[np.ndarray, np.ndarray], width: int) -> DataFrame:
-    """Pairs (a, b) of classes of different labels that meet in a merged list and may reach T."""
+def short_lists(src: DataFrame, classes: DataFrame, lengths: tuple[np.ndarray, np.ndarray], width: int, bands: int = 8) -> DataFrame:
+    """Per class, the keys of its shortest lists that other documents are in, and their places among its shortest lists; own: how many
+    of those no other document is in; minima: the least shingle hash of each of `bands` ranges (null where there is none)."""
     bitmap, cells = lengths
     drop = np.uint64(64 - KEY_BITS)
-    shards = 2 * max(1, int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if bands > 8:
+        raise ValueError("at most 8 bands")
 
-    def short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per document, the keys of its shortest lists that other documents are in, and their positions."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            out, where, size, d1 = [], [], [], []
+            out, where, size, d1, own, low = [], [], [], [], [], []
             for s in shingle_sets(part.column(1), width):
                 n = len(s)
-                size.append(n)
-                d1.append(_digest(s))
                 keys = s >> drop
                 level = cells[keys >> np.uint64(KEY_BITS - CELL_BITS)]
                 order = np.lexsort((keys, level))[:n - int(needed(n)) + 1] if n else np.zeros(0, np.int64)
@@ -199,12 +179,37 @@ def candidates(src: DataFrame, classes: DataFrame, labels: DataFrame, lengths: t
                 met = np.flatnonzero((bitmap[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1)
                 out.append(keys[order[met]])
                 where.append(met.astype(np.uint32))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), packed(out), packed(where)], ["id", "n", "d1", "keys", "at"]).filter(
-                pa.array([len(k) > 0 for k in out], pa.bool_()))
+                size.append(n)
+                d1.append(_digest(s))
+                own.append(len(order) - len(met))
+                at = np.searchsorted(s, np.arange(bands, dtype=np.uint64) << np.uint64(61))
+                low.append([int(s[a].view(np.int64)) if a < b else None for a, b in zip(at.tolist(), [*at[1:].tolist(), n])])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), *(pa.array(x, pa.int64()) for x in (size, d1, own)), pa.array(low, pa.list_(pa.int64())), packed(out), packed(where)],
+                ["id", "n", "d1", "own", "minima", "keys", "at"]).filter(pa.array([len(k) > 0 for k in out], pa.bool_()))
+
+    lists = src.mapInArrow(run, "id long, n long, d1 long, own long, minima array<long>, keys binary, at binary")
+    return cut_lineage(lists.join(classes.select("id", "n", "d1"), ["id", "n", "d1"], "left_semi"))
+
+
+def star_links(lists: DataFrame, src: DataFrame, width: int) -> DataFrame:
+    """Verified links (a, b) of classes to a more central class b they share a shingle minimum with.
 
-    lists = src.mapInArrow(short_lists, "id long, n long, d1 long, keys binary, at binary")
-    named = classes.select("id", "n", "d1").join(labels, "id", "left").select("id", "n", "d1", F.coalesce("label", "id").alias("label"))
-    lists = lists.join(named, ["id", "n", "d1"]).select("id", "n", "label", "keys", "at")
+    Central is who has the fewest lists to itself: of a text and its edited copies, the text all were made from.
+    """
+    place = F.struct((-F.col("own") / F.col("n")).alias("rank"), "id", "n")
+    keys = lists.select("id", "n", place.alias("place"), F.posexplode("minima").alias("band", "low")).where("low is not null")
+    head = keys.groupBy("band", "low").agg(F.max("place").alias("head"), F.count("*").alias("c")).where("c > 1")
+    met = keys.join(head, ["band", "low"]).where("head.id <> id and 4 * least(n, head.n) >= 3 * greatest(n, head.n)")
+    votes = met.groupBy("id", "head").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("id").agg(F.max(F.struct("votes", "head")).alias("m")).select(F.col("id").alias("a"), F.col("m.head.id").alias("b"))
+    return cut_lineage(_verify(cut_lineage(best), src, width))
+
+
+def candidates(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes of different labels that meet in a merged list and may reach T."""
+    shards = 2 * max(1, int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    lists = lists.join(labels, "id", "left").select("id", "n", F.coalesce("label", "id").alias("label"), "keys", "at")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,9 +266,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = cut_lineage(profiles(src, width))
     digest = ["n", "d1", "d2"]
     full = rows.where("n > 0 and id is not null")
-    classes = cut_lineage(full.groupBy(*digest).agg(F.min(F.struct("id", "minima")).alias("m")).select(*digest, "m.*"))
-    links = star_links(classes, src, width)
-    pairs = candidates(src, classes, _labels(links), list_lengths(src, width), width)
+    classes = cut_lineage(full.groupBy(*digest).agg(F.min("id").alias("id")))
+    lists = short_lists(src, classes, list_lengths(src, width), width)
+    links = star_links(lists, src, width)
+    pairs = candidates(lists, _labels(links))
     # A class keeps its id as node. An id that repeats with other texts ties the classes it is in together.
     more = _verify(cut_lineage(pairs.select("a", "b")), src, width)
     member = full.join(classes.select(*digest, F.col("id").alias("rep")), digest).select("id", "rep").distinct()
