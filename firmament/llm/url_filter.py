@@ -124,7 +124,7 @@ WITH cut AS (SELECT page_id, html, coalesce(regexp_extract(url, '(?s)^.*?://([^/
         count(*) FILTER (action = 'block') AS blocked FROM judged WHERE host <> '' GROUP BY host),
     edges AS MATERIALIZED (SELECT host AS src, dst, count(*)::DOUBLE AS n FROM (
         SELECT host, unnest(list_distinct(list_transform(regexp_extract_all(html, '{LINK.replace("'", "''")}', 1),
-            x -> translate(x, '{UPPER}', '{LOWER}')))) AS dst FROM named WHERE host <> '') WHERE host <> dst GROUP BY host, dst),
+            lambda x: translate(x, '{UPPER}', '{LOWER}')))) AS dst FROM named WHERE host <> '') WHERE host <> dst GROUP BY host, dst),
     {_rank_sql("trust", "allowed", "src", "dst")}, {_rank_sql("distrust", "blocked", "dst", "src")}
 SELECT page_id, j.host, path, rule, coalesce(action, CASE WHEN coalesce(d.rank, 0) > {THRESHOLD} * coalesce(t.rank, 0) THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged j LEFT JOIN trust_{ROUNDS} t ON t.host = j.host LEFT JOIN distrust_{ROUNDS} d ON d.host = j.host"""
