@@ -213,3 +213,14 @@ def write_table(df: DataFrame) -> DataFrame:
     path = f"{shared}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """`docs` without the rows whose id is among `ids`; rows without id stay.
+
+    A bitmap of the ids tells which rows cannot be among them; those pass without a shuffle of their text.
+    """
+    gone = cut_lineage(ids.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct())
+    near = marked(docs.withColumn("_key", F.col(id_col)), F.col("_key"), marks(gone, F.col(id_col)))
+    columns = [F.col(c) for c in docs.columns]
+    return near.where("not _maybe").select(*columns).unionByName(near.where("_maybe").select(*columns).join(gone, id_col, "left_anti").select(*columns))
