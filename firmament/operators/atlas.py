@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from firmament.functions import geo, kinds
 from firmament.functions.names import annotation_name, normalize_id
-from firmament.session import hint_small, pin
+from firmament.session import pin
 
 
 def entry_keys(registry: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def project_registry(hosts: DataFrame, registry: DataFrame, frames: DataFrame, m
     annos = registry.where(F.col("vertices").isNotNull()).withColumn("_u", unnamed)
     totals = annos.where("_u").groupBy("entry_ord", "feature_type").agg(F.count("*").alias("n_unnamed"))
     annos = annos.join(totals, ["entry_ord", "feature_type"], "left").drop("_u")
-    rows = matched.join(frames, "fid").join(hint_small(annos), "entry_ord")
+    rows = matched.join(frames, "fid").join(annos, "entry_ord")
     wcs = geo.wcs_of()
     # Vertices are projected as plain rows, in generated code, and gathered again by shape:
     # the gather's partial aggregate runs where the rows are made.
@@ -139,7 +139,8 @@ def export_registry(annotations: DataFrame) -> DataFrame:
 
     An entry is one document, so its annotations form one array.
     """
-    slim = F.struct("anno_ord", "feature_type", F.struct(F.col("geom_type").alias("type"), "vertices").alias("geometry"), "label", "note")
+    vertices = F.transform("vertices", lambda v: F.array(v["ra"].cast("double"), v["dec"].cast("double")))
+    slim = F.struct("anno_ord", "feature_type", F.struct(F.col("geom_type").alias("type"), vertices.alias("vertices")).alias("geometry"), "label", "note")
     ok = annotations.where(F.col("status") == "approved")
     return ok.groupBy("entry_ord", "primary_id").agg(
         F.first("aliases").alias("aliases"),
@@ -167,7 +168,7 @@ def seed_target_list(seeds: DataFrame, entries: DataFrame) -> DataFrame:
     extra = unclaimed_entries(entries, hit).select(
         F.concat(F.lit("entry:"), F.col("primary_id")).alias("key"), F.col("primary_id").alias("designation"),
         F.col("primary_id").alias("name_en"), F.col("primary_id").alias("name_zh"), F.lit("—").alias("kind_en"), F.lit("—").alias("kind_zh"),
-        F.lit("Added outside the seed pool.").alias("note_en"), F.lit("清单之外自行添加的条目。").alias("note_zh"),
+        F.lit("Not in the target list; entered by hand.").alias("note_en"), F.lit("不在目标清单中,由人工录入。").alias("note_zh"),
         F.lit("").alias("hemisphere"), F.array().cast("array<string>").alias("features"),
         F.concat(F.array("primary_id"), F.col("aliases")).alias("match"), F.lit(False).alias("seed"), "primary_id", "entry_ord", *counts)
     return listed.unionByName(extra, allowMissingColumns=True)

@@ -53,7 +53,7 @@ def fact_objects(selected: DataFrame, comets: DataFrame | None = None) -> DataFr
         names.designations(F.col("catalog_ids"), F.col("main_id")).alias("designations"), F.col("_t.category").alias("category"),
         "otype", F.col("_t.zh").alias("type_zh"), F.col("_t.en").alias("type_en"), F.col("_t.source").alias("type_source"),
         "ra_deg", "dec_deg", "px", "py", "size_major", "size_minor", "catalog_ids",
-        kinds.identity_confidence(F.col("catalog_ids"), F.col("mag")).alias("confidence"),
+        kinds.identity_confidence(F.col("catalog_ids"), F.col("mag")).alias("confidence"), *(["cross_match"] if "cross_match" in o.columns else []),
         F.col("_t.type_confidence").alias("type_confidence"), F.col("_t.type_needs_review").alias("type_needs_review"),
         F.lit("catalog").alias("detection_source"), F.lit(False).alias("needs_human_review"),
     )
@@ -66,14 +66,14 @@ def facts_warnings(frames: DataFrame, objects: DataFrame, unmatched: DataFrame)
     """
     missing = unmatched.where(F.col("category").isin(*NEBULA_LIKE)).groupBy("fid").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("ord", F.coalesce(F.try_element_at("names", F.lit(1)), F.col("id")).alias("n")))),
-        lambda x: F.concat(F.lit("No baseline annotations for "), x["n"], F.lit(" yet."))).alias("_missing"))
+        lambda x: F.concat(F.lit("The registry has no outline of "), x["n"], F.lit(" so far."))).alias("_missing"))
     some = objects.select("fid").distinct().withColumn("_some", F.lit(True))
     f = frames.join(some, "fid", "left").join(missing, "fid", "left")
     reason = F.coalesce(F.concat(F.lit(" Reason: "), F.col("error"), F.lit(".")), F.lit(""))
     target = F.nullif(F.col("target_name"), F.lit(""))
     failed = F.when(target.isNotNull(), F.concat(F.lit("Plate solve failed."), reason, F.lit(" Target name "), target, F.lit(
-        " was given, but a name alone is not resolved; no objects, identity is never invented."))).otherwise(
-        F.concat(F.lit("Plate solve failed and no target name was given."), reason, F.lit(" No objects, identity is never invented.")))
+        " was given; names are not looked up here, so no object is claimed."))).otherwise(
+        F.concat(F.lit("Plate solve failed and no target name was given."), reason, F.lit(" No object is claimed.")))
     solved = F.col("status") == "solved"
     empty = F.when(F.col("_some").isNull(), "No prominent catalogued object with an optical counterpart in the field.")
     return f.select("fid", F.when(solved, "solved").when(target.isNotNull(), "user_provided").otherwise("failed").alias("status"),
@@ -95,12 +95,21 @@ def collect_factsheet(frames: DataFrame, objects: DataFrame, warnings: DataFrame
     docs = objects.groupBy("fid").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("ord", "id", F.struct(*cols).alias("o"))), _by_ord), lambda x: x["o"]).alias("objects"))
     f = frames.join(docs, "fid", "left").join(warnings.select("fid", "warnings"), "fid", "left")
-    wcs = F.struct(*[c for c in ("ra0", "dec0", "crpix_x", "crpix_y", "scale_deg", "orientation_deg", "parity", "width", "height")])
+    known = lambda name, kind, source=None: (F.col(source or name) if (source or name) in frames.columns else F.lit(None)).cast(kind).alias(name)
+    solved = F.col("status") if "status" in frames.columns else F.when(F.col("ra0").isNotNull(), "solved").otherwise("failed")
+    wcs = F.struct(known("ra0_deg", "double", "ra0"), known("dec0_deg", "double", "dec0"), *[
+        known(c, "double") for c in ("crpix_x", "crpix_y", "scale_deg", "orientation_deg")], known("parity", "int"), known("width", "double"), known("height", "double"))
+    image = F.struct(known("src", "string"), known("width", "double"), known("height", "double"), known("hash", "string"), known("band", "string"), known("starless", "boolean"))
+    solve = F.struct(
+        solved.alias("status"), known("ra_deg", "double", "ra0"), known("dec_deg", "double", "dec0"), known("radius_deg", "double"),
+        known("pixscale_arcsec", "double", "pixscale"), known("orientation_deg", "double"), known("solve_ms", "double"),
+        known("solve_cached", "boolean", "cached"), known("solver", "string"), F.when(F.col("ra0").isNotNull(), wcs).alias("wcs"), known("frame", "string"))
     return f.select(
-        "fid", F.lit("1.0").alias("version"), wcs.alias("wcs"),
+        "fid", F.lit("1.0").alias("version"), image.alias("image"), solve.alias("solve"),
         F.coalesce("objects", F.array().cast(docs.schema["objects"].dataType)).alias("objects"),
         F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"),
-        F.struct((F.col("solver") if "solver" in frames.columns else F.lit("remote")).alias("solver"),
+        F.struct((F.col("queries") if "queries" in frames.columns else F.array().cast("array<string>")).alias("queries"),
+                 (F.col("solver") if "solver" in frames.columns else F.lit("remote")).alias("solver"),
                  (timestamp if timestamp is not None else F.current_timestamp()).alias("timestamp")).alias("provenance"),
     )
 

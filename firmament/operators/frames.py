@@ -79,10 +79,10 @@ def solve_plan(images: DataFrame, solves: DataFrame, version: int = 2) -> tuple[
 
 
 def solver_timing(solves: DataFrame) -> DataFrame:
-    """Per solver: runs, mean and median time, share answered from the cache."""
+    """Per solver: runs, mean and median time (a value that occurs; rank error at most n / 10000), share answered from the cache."""
     return solves.groupBy("solver").agg(
         F.count("*").alias("n"), F.avg("solve_ms").alias("avg_ms"),
-        F.percentile("solve_ms", 0.5).alias("median_ms"),
+        F.percentile_approx("solve_ms", 0.5, 10000).alias("median_ms"),
         F.count_if(F.coalesce("cached", F.lit(False))).alias("n_cached"),
         F.count_if(F.col("status") == "solved").alias("n_solved"),
     )

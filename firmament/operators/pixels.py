@@ -284,16 +284,28 @@ def ray_runs(samples: DataFrame, max_gap: int) -> DataFrame:
     return s.groupBy("fid", "ray").agg(F.max(F.when(F.col("bright") & (F.col("_broken") == 0), F.col("step"))).alias("extent"))
 
 
-def smooth_mean(pixels: DataFrame, k: int) -> DataFrame:
-    """(2k+1)^2 box means of interior cells, as two one-dimensional passes."""
-    across = Window.partitionBy("fid", "gy").orderBy("gx").rangeBetween(-k, k)
-    down = Window.partitionBy("fid", "gx").orderBy("gy").rangeBetween(-k, k)
-    p = pixels.withColumn("_m", F.avg("lum").over(across)).withColumn("_n", F.count("*").over(across)).where(F.col("_n") == 2 * k + 1)
-    p = p.withColumn("smooth", F.avg("_m").over(down)).withColumn("_n", F.count("*").over(down)).where(F.col("_n") == 2 * k + 1)
+def smooth_mean(pixels: DataFrame, k: int | None = None) -> DataFrame:
+    """(2k+1)^2 box means of interior cells, as two one-dimensional passes.
+
+    Without `k` every frame has its own in column `k`: cells are then ordered by their place in units of k, and
+    the frame reaches a little over one unit each way (cells lie at least 1 / k apart).
+    """
+    def near(part: str, place: str) -> tuple:
+        if k is not None:
+            w = Window.partitionBy("fid", part).orderBy(place).rangeBetween(-k, k)
+            return lambda c: F.avg(c).over(w), lambda: F.count("*").over(w)
+        over = f"OVER (PARTITION BY fid, {part} ORDER BY CAST({place} AS DOUBLE) / k RANGE BETWEEN 1.000001D PRECEDING AND 1.000001D FOLLOWING)"
+        return lambda c: F.expr(f"avg({c}) {over}"), lambda: F.expr(f"count(*) {over}")
+
+    whole = 2 * (F.lit(k) if k is not None else F.col("k")) + 1
+    mean, count = near("gy", "gx")
+    p = pixels.withColumn("_m", mean("lum")).withColumn("_n", count()).where(F.col("_n") == whole)
+    mean, count = near("gx", "gy")
+    p = p.withColumn("smooth", mean("_m")).withColumn("_n", count()).where(F.col("_n") == whole)
     return p.select("fid", "gx", "gy", "smooth")
 
 
-def brightest_blob(pixels: DataFrame, k: int) -> DataFrame:
+def brightest_blob(pixels: DataFrame, k: int | None = None) -> DataFrame:
     """(fid, head_x, head_y, head_val): the brightest smoothed cell, column by column on ties."""
     best = smooth_mean(pixels, k).groupBy("fid").agg(F.max(F.struct("smooth", (-F.col("gx")).alias("x"), (-F.col("gy")).alias("y"))).alias("h"))
     return best.select("fid", (-F.col("h.x")).alias("head_x"), (-F.col("h.y")).alias("head_y"), F.col("h.smooth").alias("head_val"))
@@ -375,27 +387,22 @@ def detect_comets(pixels: DataFrame, frames: DataFrame, k: int | None = None, mi
     """One row per frame with a comet: nucleus, coma, confidence and an array of tails.
 
     pixels(fid, gx, gy, lum, r, g, b); frames(fid, width, height, pixscale) plus WCS columns.
-    Frames of one grid size share the smoothing radius `k`, derived from the grid when not given.
+    Every frame has its own smoothing radius, derived from its grid when `k` is not given; frames of all sizes run in one plan.
     """
-    if k is None:
-        grid = pixels.groupBy("fid").agg((F.max("gx") + 1).alias("w"), (F.max("gy") + 1).alias("h"))
-        sizes = [row.k for row in grid.select(F.greatest(F.lit(2), geo.half_up(F.least("w", "h") / 60.0)).cast("int").alias("k")).distinct().limit(64).collect()]
-        parts = [detect_comets(pixels.join(grid.where(F.greatest(F.lit(2), geo.half_up(F.least("w", "h") / 60.0)).cast("int") == kk).select("fid"), "fid", "left_semi"), frames, kk, min_peak) for kk in sizes]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    head = brightest_blob(pixels, k)
+    grid = pixels.groupBy("fid").agg((F.max("gx") + 1).alias("_w"), (F.max("gy") + 1).alias("_h"))
+    radius = F.lit(k) if k is not None else F.greatest(F.lit(2), geo.half_up(F.least("_w", "_h") / 60.0)).cast("int")
+    grid = grid.select("fid", radius.alias("k"))
+    head = brightest_blob(pixels.join(grid, "fid"))
     raster = to_raster(pixels, ("lum", "r", "b"))
-    d = head.join(raster, "fid").join(frames, "fid")
+    d = head.join(grid, "fid").join(raster, "fid").join(frames, "fid")
     r = {c: F.col(c) for c in ("gw", "gh", "lum", "r", "b", "width", "height")}
     hx, hy = F.col("head_x"), F.col("head_y")
     d = d.withColumn("bg", raster_background(r)).withColumn("peak", F.col("head_val") - F.col("bg")).where(F.col("peak") > min_peak)
-    off = F.sequence(F.lit(-k), F.lit(k))
+    off = F.sequence(-F.col("k"), F.col("k"))
     order = F.flatten(F.transform(off, lambda i: F.transform(off, lambda j: F.struct(
         cell(r, hx + i, hy + j).alias("v"), (-(i * 1000 + j)).alias("o"), (hx + i).alias("x"), (hy + j).alias("y")))))
     d = d.withColumn("nuc", F.array_max(order))
-    d = d.withColumn("coma", half_max_radius(r, hx, hy, F.col("bg") + F.col("peak") * 0.5, F.lit(k)))
+    d = d.withColumn("coma", half_max_radius(r, hx, hy, F.col("bg") + F.col("peak") * 0.5, F.col("k")))
     d = d.where(F.col("coma") <= 0.12 * F.least("gw", "gh"))
     d = ray_extents(d.withColumn("tail_thr", F.col("bg") + F.greatest(F.lit(6.0), F.col("peak") * 0.06)))
     ranked = F.transform("extents", lambda e, a: F.struct(e.alias("e"), (-a).alias("a")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from firmament.dims.vocab import NICKNAMES
 from firmament.functions import geo, kinds, names
 from firmament.functions.names import normalize_designation
-from firmament.session import cut_lineage, hint_small, literal_map, pin
+from firmament.session import cut_lineage, literal_map, pin
 
 TIE = ("src_rank", "row_idx")
 CAPS = {"star": 2, "cluster": 2, "nebula": 2, "galaxy": 1}
@@ -41,7 +41,7 @@ def nickname_overlay(candidates: DataFrame, nicknames: DataFrame | None = None,
         hit = (
             candidates.select(*key, F.posexplode(_identity_strings()).alias("_pos", "_id"))
             .withColumn("_d", normalize_designation(F.col("_id")))
-            .join(hint_small(table), "_d")
+            .join(table, "_d")
             .groupBy(*key).agg(F.min_by(F.struct("en", "zh"), "_pos").alias("_nick"))
         )
         out = candidates.join(hit, list(key), "left")
@@ -115,20 +115,21 @@ def top_per_kind(gated: DataFrame, caps: dict[str, int] | None = None, tie: tupl
 def bubble_star(selected: DataFrame, gated: DataFrame, key: str = "obj_id", tie: tuple[str, ...] = TIE) -> DataFrame:
     """For each selected wind bubble, the nearest exciting star inside it not yet selected.
 
-    Bubbles of a frame choose in rank order; a star is given once. A frame selects at most
-    a handful of objects, so the eight nearest stars per bubble always suffice.
+    Bubbles of a frame choose in rank order; a star is given once. The k-th bubble finds at most
+    k - 1 of its stars taken, so its k nearest always suffice.
     """
     bubbles = selected.where(
         (F.col("category") == "emission_nebula") & F.col("size_major").isNotNull() & names.is_wind_bubble(F.col("names"))
     ).select("fid", F.col("rank").alias("_neb"), F.col("ra_deg").alias("_ra"), F.col("dec_deg").alias("_dec"),
              (F.col("size_major") / 120.0).alias("_r"))
+    bubbles = bubbles.withColumn("_turn", F.row_number().over(Window.partitionBy("fid").orderBy("_neb")))
     stars = gated.where(names.is_exciting_star(F.col("otype"))).join(
         selected.select("fid", key), ["fid", key], "left_anti"
     )
     sep = geo.ang_sep_deg(F.col("_ra"), F.col("_dec"), F.col("ra_deg"), F.col("dec_deg"))
     near = stars.join(bubbles, "fid").withColumn("_sep", sep).where(F.col("_sep") < F.col("_r"))
     w = Window.partitionBy("fid", "_neb").orderBy("_sep", *tie)
-    near = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= 8)
+    near = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= F.col("_turn"))
     lists = near.groupBy("fid", "_neb").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_n", key))), lambda x: x[key]).alias("_stars")
     ).groupBy("fid").agg(F.array_sort(F.collect_list(F.struct("_neb", "_stars"))).alias("_all"))
@@ -190,51 +191,53 @@ def dedup_by_key(df: DataFrame, by: tuple[str, ...] = ("fid",), tie: tuple[str,
     return first_hit(keyed, [*by, "_key"], list(tie), F.lit(True)).drop("_key")
 
 
-def sized_objects_topn(cone: DataFrame, n: int = 100, tie: tuple[str, ...] = TIE) -> DataFrame:
-    """The n largest sized objects of each frame's cone."""
+def sized_objects_topn(cone: DataFrame, n: int | None = None, tie: tuple[str, ...] = TIE) -> DataFrame:
+    """The sized objects of each frame's cone by size; only the n largest where n is given."""
     w = Window.partitionBy("fid").orderBy(F.desc("size_major"), *tie)
-    return cone.where(F.col("size_major").isNotNull()).withColumn("size_rank", F.row_number().over(w)).where(
-        F.col("size_rank") <= n
-    )
+    ranked = cone.where(F.col("size_major").isNotNull()).withColumn("size_rank", F.row_number().over(w))
+    return ranked if n is None else ranked.where(F.col("size_rank") <= n)
 
 
-def capped_fetch(cone: DataFrame, part: list[str], order: list, n: int) -> DataFrame:
-    """At most n rows per group of a cone query, in a stated order."""
+def capped_fetch(cone: DataFrame, part: list[str], order: list, n: int | None = None) -> DataFrame:
+    """Rows of a cone query ranked within their group in a stated order; at most n of each where n is given."""
     w = Window.partitionBy(*part).orderBy(*order)
-    return cone.withColumn("fetch_rank", F.row_number().over(w)).where(F.col("fetch_rank") <= n)
+    ranked = cone.withColumn("fetch_rank", F.row_number().over(w))
+    return ranked if n is None else ranked.where(F.col("fetch_rank") <= n)
 
 
 def fluxes_join(
     basic: DataFrame, fluxes: DataFrame, ident: DataFrame, frames: DataFrame, star_mag_max: float = 6.0,
-    curated_ids=tuple(NICKNAMES), limits: tuple[int, int, int, int] = (100, 30, 10, 20), zone_deg: float = 2.0,
+    curated_ids=tuple(NICKNAMES), limits: tuple[int | None, ...] = (None, None, None, None), zone_deg: float = 2.0,
 ) -> DataFrame:
-    """The four sub-queries of a catalogue cone, merged in order, with proper names.
+    """The four sub-queries of a catalogue cone (sized, bright, exciting, curated), merged in order, with proper names.
 
-    basic(oid, main_id, otype, ra_deg, dec_deg, size_major, size_minor), fluxes(oid, v_mag),
-    ident(oid, id, id_ord). Sub-queries are filters of one cone join, not four scans.
+    basic(oid, main_id, otype, ra_deg, dec_deg, size_major, size_minor), fluxes(oid, v_mag), ident(oid, id, id_ord). Fluxes, names
+    and the curated mark are joined to the catalogue once per object, before the cone; the sub-queries are conditions of one pass
+    over it. A row belongs to the first sub-query it meets. `limits` cuts a sub-query to so many rows per frame, as a remote service
+    would; nothing is cut unless asked.
     """
     from firmament.operators.spatial import cone_search_join
 
-    cone = cone_search_join(frames, basic, zone_deg)
-    rows = cone.join(fluxes, "oid", "left")
-    wanted = ident.where(F.col("id").isin(*curated_ids)).select("oid").distinct().withColumn("_cur", F.lit(True))
-    rows = rows.join(wanted, "oid", "left")
+    by_id = ident.groupBy("oid").agg(
+        F.max(F.col("id").isin(*curated_ids)).alias("_cur"),
+        F.min_by(F.when(F.col("id").like("NAME %"), F.trim(F.regexp_replace("id", r"^NAME\s+", ""))),
+                 F.when(F.col("id").like("NAME %"), F.col("id_ord"))).alias("proper_name"))
+    rows = cone_search_join(frames, basic.join(fluxes, "oid", "left").join(by_id, "oid", "left"), zone_deg)
     sub = [
-        (F.col("size_major").isNotNull(), [F.desc("size_major"), "oid"], limits[0], F.lit(None).cast("double")),
-        (F.col("v_mag") < star_mag_max, ["v_mag", "oid"], limits[1], F.col("v_mag")),
-        (names.is_exciting_star(F.col("otype")), [F.col("v_mag").asc_nulls_last(), "oid"], limits[2], F.col("v_mag")),
-        (F.col("_cur"), ["oid"], limits[3], F.col("v_mag")),
-    ]
-    parts = [
-        capped_fetch(rows.where(pred), ["fid"], order, n).withColumn("query", F.lit(i)).withColumn("mag", mag)
-        for i, (pred, order, n, mag) in enumerate(sub)
+        (F.col("size_major").isNotNull(), [F.desc("size_major"), "oid"]),
+        (F.col("v_mag") < star_mag_max, ["v_mag", "oid"]),
+        (names.is_exciting_star(F.col("otype")), [F.col("v_mag").asc_nulls_last(), "oid"]),
+        (F.col("_cur"), ["oid"]),
     ]
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
-    first = first_hit(merged, ["fid", "oid"], ["query"], F.lit(True))
-    proper = (
-        ident.where(F.col("id").like("NAME %"))
-        .groupBy("oid").agg(F.min_by(F.trim(F.regexp_replace("id", r"^NAME\s+", "")), "id_ord").alias("proper_name"))
-    )
-    return first.join(proper, "oid", "left").drop("_cur", "fetch_rank", "v_mag")
+    met = []
+    for i, ((pred, order), n) in enumerate(zip(sub, limits)):
+        inside = F.coalesce(pred, F.lit(False))
+        if n is not None:
+            rows = rows.withColumn(f"_in{i}", inside)
+            place = F.row_number().over(Window.partitionBy("fid", f"_in{i}").orderBy(*order))
+            rows = rows.withColumn(f"_at{i}", place)
+            inside = F.col(f"_in{i}") & (F.col(f"_at{i}") <= n)
+        met.append(F.when(inside, F.lit(i)))
+    rows = rows.withColumn("query", F.coalesce(*met)).where(F.col("query").isNotNull())
+    rows = rows.withColumn("mag", F.when(F.col("query") > 0, F.col("v_mag")))
+    return rows.drop("_cur", "v_mag", *[f"_{k}{i}" for i in range(4) for k in ("in", "at")])

@@ -1,8 +1,11 @@
 """Whole identification and the document outputs."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from firmament.operators import atlas as A
+from firmament.operators import factsheet as FS
 from firmament.plans import identify as ID
 from firmament.queries.atlas import registry, seeds
 from firmament.queries.facts import features, objects
@@ -10,6 +13,7 @@ from firmament.queries.kit import catalog, frames, query, r6, rounded, s6, table
 from firmament.queries.sources import registry_docs
 from firmament.sources import readers as R
 from firmament.sources import sinks as K
+from firmament.session import shared_folder
 
 C = F.col
 L = F.lit
@@ -81,4 +85,46 @@ def write_registry(spark, sf):
     return K.documents(A.export_registry(registry(spark, sf)), "primary_id").select("primary_id", F.size(F.from_json(F.get_json_object("document", "$.annotations"), "array<struct<feature_type:string>>")).cast("long").alias("n"))
 
 
+def fresh_folder(spark) -> str:
+    """A new place in the shared folder; every run writes to one of its own."""
+    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+
+
+@query("factsheet_round_trip", f"""
+SELECT o.fid, id, names, category, {s6('px')} AS px, {s6('py')} AS py, 'solved' AS status, {s6('f.ra0')} AS ra0, {s6('f.crpix_x')} AS crpix_x, {s6('f.width')} AS width
+FROM (SELECT fid, id, main_id AS names, category, px, py FROM v_objects) o JOIN v_frames f USING (fid)""")
+def factsheet_round_trip(spark, sf):
+    """Sheets written to a folder and read back by path, field by field; many documents a file."""
+    o = objects(spark, sf)
+    fr = frames(spark, sf).withColumn("src", C("fid").cast("string"))
+    w = FS.facts_warnings(fr.withColumn("status", L("solved")).withColumn("error", L(None).cast("string")).withColumn("target_name", L(None).cast("string")), o, o.where("1 = 0"))
+    path = fresh_folder(spark)
+    K.write_factsheets(FS.collect_factsheet(fr, o.select("fid", "ord", "id", "tier", "names", "category", "px", "py"), w), path)
+    d = R.scan_factsheet(spark, path)
+    rows = d.select(C("image.src").cast("long").alias("fid"), C("solve.status").alias("status"), C("solve.wcs.ra0_deg").alias("ra0"), C("solve.wcs.crpix_x").alias("crpix_x"),
+                    C("image.width").cast("double").alias("width"), F.explode("objects").alias("o"))
+    return rounded(rows.select("fid", C("o.id").alias("id"), C("o.names")[0].alias("names"), C("o.category").alias("category"), C("o.coord.pixel")[0].alias("px"), C("o.coord.pixel")[1].alias("py"),
+                               "status", "ra0", "crpix_x", "width"))
+
+
+@query("registry_round_trip", f"""
+SELECT primary_id, entry_ord, feature_type, label_en, geom_type, n AS anno_ord FROM (SELECT *, row_number() OVER (PARTITION BY entry_ord, primary_id ORDER BY anno_ord) - 1 AS n FROM v_registry WHERE status = 'approved')""")
+def registry_round_trip(spark, sf):
+    path = fresh_folder(spark)
+    K.write_registry(registry(spark, sf), path)
+    d = R.scan_registry(spark, [path])
+    return d.select("primary_id", "entry_ord", "feature_type", C("label.en").alias("label_en"), "geom_type", "anno_ord")
+
+
+@query("reading_round_trip", "SELECT fid AS reading_id, count(*) AS n, count(*) AS named, count(*) AS numbered FROM v_objects WHERE NOT (category = 'comet' AND tier <> 'B') GROUP BY fid")
+def reading_round_trip(spark, sf):
+    f = features(spark, sf).withColumnRenamed("fid", "reading_id")
+    r = f.select("reading_id").distinct().withColumn("version", L("2.0")).withColumn("image", F.struct(C("reading_id").cast("string").alias("src")))
+    path = fresh_folder(spark)
+    K.write_readings(f, r, path)
+    d = R.scan_reading(spark, path)
+    return d.select(C("image_src").cast("long").alias("reading_id"), F.size("features").cast("long").alias("n"), F.size(F.filter("features", lambda x: x["id"].isNotNull())).cast("long").alias("named"),
+                    F.size(F.filter("features", lambda x: x["badge"]["num"].isNotNull())).cast("long").alias("numbered"))
+
+
 __all__ = ["r6"]

@@ -179,10 +179,10 @@ def solve_frames(spark, sf):
 @query("facts_warnings", """
 SELECT f.fid, CASE WHEN f.fid % 21 = 0 THEN 'user_provided' WHEN f.fid % 7 = 0 THEN 'failed' ELSE 'solved' END AS status,
  CASE WHEN f.fid % 7 = 0 THEN concat(CASE WHEN f.fid % 21 = 0 THEN 'Plate solve failed.' ELSE 'Plate solve failed and no target name was given.' END, CASE WHEN f.fid % 14 = 0 THEN ' Reason: timeout.' ELSE '' END,
-   CASE WHEN f.fid % 21 = 0 THEN ' Target name M 1 was given, but a name alone is not resolved; no objects, identity is never invented.' ELSE ' No objects, identity is never invented.' END)
+   CASE WHEN f.fid % 21 = 0 THEN ' Target name M 1 was given; names are not looked up here, so no object is claimed.' ELSE ' No object is claimed.' END)
  ELSE concat_ws('|', CASE WHEN o.n IS NULL THEN 'No prominent catalogued object with an optical counterpart in the field.' END, o.w) END AS warnings
 FROM v_frames f LEFT JOIN (SELECT fid, count(*) AS n, string_agg(CASE WHEN category IN ('emission_nebula', 'reflection_nebula', 'planetary_nebula', 'supernova_remnant', 'dark_nebula', 'galaxy') AND obj_id % 2 = 0
-   THEN concat('No baseline annotations for ', main_id, ' yet.') END, '|' ORDER BY ord) AS w FROM v_objects GROUP BY fid) o USING (fid)""")
+   THEN concat('The registry has no outline of ', main_id, ' so far.') END, '|' ORDER BY ord) AS w FROM v_objects GROUP BY fid) o USING (fid)""")
 def facts_warnings(spark, sf):
     o = objects(spark, sf)
     return FS.facts_warnings(solve_frames(spark, sf), o, o.where("obj_id % 2 = 0")).select("fid", "status", F.array_join("warnings", "|").alias("warnings"))

@@ -68,7 +68,7 @@ def images(spark, sf):
     return table(spark, sf, "documents").select(C("doc_id").alias("path"), F.timestamp_seconds(C("doc_id")).alias("modificationTime"), F.encode("text", "UTF-8").alias("content"))
 
 
-@query("ingest_images", "SELECT concat('sha256:', substring(sha256(text), 1, 16)) AS hash, min(doc_id) AS path FROM documents GROUP BY 1")
+@query("ingest_images", "SELECT concat('sha256:', substring(sha256(text), 1, 16)) AS hash, min(doc_id) AS path FROM documents GROUP BY sha256(text)")
 def ingest_images(spark, sf):
     return J.ingest_images(images(spark, sf)).select("hash", "path")
 
@@ -131,7 +131,7 @@ def solve_plan_stream(spark, sf):
     return J.solve_plan_stream(*solve_tables(spark, sf))
 
 
-@query("solver_timing", f"SELECT solver, count(*) AS n, {s6('avg(solve_ms)')} AS avg_ms, {s6('quantile_cont(solve_ms, 0.5)')} AS median_ms, count_if(doc_id % 4 = 0) AS n_cached, count_if(status = 'solved') AS n_solved FROM v_solves GROUP BY 1")
+@query("solver_timing", f"SELECT solver, count(*) AS n, {s6('avg(solve_ms)')} AS avg_ms, {s6('quantile_disc(solve_ms, 0.5)')} AS median_ms, count_if(doc_id % 4 = 0) AS n_cached, count_if(status = 'solved') AS n_solved FROM v_solves GROUP BY 1")
 def solver_timing(spark, sf):
     return rounded(FR.solver_timing(view(spark, sf, "v_solves").withColumn("cached", C("doc_id") % 4 == 0)))
 

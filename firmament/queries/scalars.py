@@ -208,14 +208,14 @@ def luminance(spark, sf):
 
 
 @query("prestige_sort", """
-SELECT obj_id, row_number() OVER (ORDER BY CASE WHEN messier IS NOT NULL THEN 5 WHEN ngc IS NOT NULL THEN 4 WHEN sharpless IS NOT NULL THEN 3.5 WHEN source = 'SIMBAD' THEN 3 ELSE 1 END DESC,
- coalesce(size_major, 0) DESC, coalesce(mag, 99), src_rank, row_idx) AS place FROM v_cat QUALIFY place <= 1000""")
+SELECT obj_id, row_number() OVER (PARTITION BY floor(dec_deg) ORDER BY CASE WHEN messier IS NOT NULL THEN 5 WHEN ngc IS NOT NULL THEN 4 WHEN sharpless IS NOT NULL THEN 3.5 WHEN source = 'SIMBAD' THEN 3 ELSE 1 END DESC,
+ coalesce(size_major, 0) DESC, coalesce(mag, 99), src_rank, row_idx) AS place FROM v_cat""")
 def prestige_sort(spark, sf):
-    # The 1000 foremost rows of the merge order (a top-k report).
+    # Every row's place in the merge order of its degree of declination.
     key = kinds.prestige_sort(C("catalog_ids"), C("source"), C("famous"), C("size_major"), C("mag"), C("src_rank"), C("row_idx"))
-    top = catalog(spark, sf).withColumn("key", key).orderBy("key").limit(1000)
     from pyspark.sql import Window
-    return rounded(top.select("obj_id", F.row_number().over(Window.orderBy("key")).alias("place")))
+    ranked = catalog(spark, sf).withColumn("key", key).withColumn("zone", F.floor("dec_deg"))
+    return rounded(ranked.select("obj_id", F.row_number().over(Window.partitionBy("zone").orderBy("key")).alias("place")))
 
 
 @query("taxonomy_check", f"""

@@ -98,7 +98,7 @@ def dedup_by_key(spark, sf):
 
 @query("sized_objects_topn", """
 SELECT fid, obj_id, size_rank FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY size_major DESC, src_rank, row_idx) AS size_rank
- FROM q_cone WHERE size_major IS NOT NULL) WHERE size_rank <= 100""")
+ FROM q_cone WHERE size_major IS NOT NULL)""")
 def sized_objects_topn(spark, sf):
     cone = spatial.cone_search_join(frames(spark, sf), catalog(spark, sf))
     return rounded(S.sized_objects_topn(cone).select("fid", "obj_id", "size_rank"))
@@ -117,11 +117,11 @@ def capped_fetch(spark, sf):
 WITH flux AS (SELECT obj_id, mag AS v_mag FROM v_cat WHERE mag IS NOT NULL),
 j AS (SELECT q.fid, q.obj_id, q.otype, q.size_major, f.v_mag FROM q_cone q LEFT JOIN flux f USING (obj_id)),
 parts AS (
- SELECT *, 0 AS query, row_number() OVER (PARTITION BY fid ORDER BY size_major DESC, obj_id) AS n, 100 AS cap, NULL AS mag FROM j WHERE size_major IS NOT NULL
- UNION ALL SELECT *, 1, row_number() OVER (PARTITION BY fid ORDER BY v_mag, obj_id), 30, v_mag FROM j WHERE v_mag < 6
- UNION ALL SELECT *, 2, row_number() OVER (PARTITION BY fid ORDER BY v_mag NULLS LAST, obj_id), 10, v_mag FROM j WHERE otype IN ('WR*', 'WR?')
- UNION ALL SELECT *, 3, row_number() OVER (PARTITION BY fid ORDER BY obj_id), 20, v_mag FROM j WHERE obj_id IN (SELECT obj_id FROM v_cat WHERE main_id IN {in_sql(V.NICKNAMES)})),
-firsts AS (SELECT *, row_number() OVER (PARTITION BY fid, obj_id ORDER BY query) AS k FROM parts WHERE n <= cap)
+ SELECT *, 0 AS query, NULL AS mag FROM j WHERE size_major IS NOT NULL
+ UNION ALL SELECT *, 1, v_mag FROM j WHERE v_mag < 6
+ UNION ALL SELECT *, 2, v_mag FROM j WHERE otype IN ('WR*', 'WR?')
+ UNION ALL SELECT *, 3, v_mag FROM j WHERE obj_id IN (SELECT obj_id FROM v_cat WHERE main_id IN {in_sql(V.NICKNAMES)})),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY fid, obj_id ORDER BY query) AS k FROM parts)
 SELECT fid, obj_id AS oid, query, {s6('mag')} AS mag, CASE WHEN obj_id % 10 = 0 THEN concat('Star ', CAST(obj_id AS VARCHAR)) END AS proper_name FROM firsts WHERE k = 1""")
 def fluxes_join(spark, sf):
     c = catalog(spark, sf)

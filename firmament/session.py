@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,15 +27,22 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder (`spark.checkpoint.dir`).
-
-    A folder of our own is used only where the cluster names none, as in tests.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share (`spark.checkpoint.dir`); one of our own only in local mode, as in tests."""
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not configured:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="firmament-checkpoint-")
     if not sc.getCheckpointDir():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="firmament-checkpoint-"))
+        sc.setCheckpointDir(configured)
+    return configured
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -43,16 +51,6 @@ def literal_map(mapping: dict):
     return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
 
 
-def is_small(df: DataFrame, max_rows: int = 100_000) -> bool:
-    """True when `df` provably has at most `max_rows` rows (reads no more than that)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def hint_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast `df` when its size is proven; otherwise leave the join to the optimizer."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
-
 def pin(df: DataFrame, **columns) -> DataFrame:
     """Add columns computed exactly once.
 

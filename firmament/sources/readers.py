@@ -219,11 +219,14 @@ def scan_wcsinfo(spark: SparkSession, path: str) -> DataFrame:
     return wcsinfo(files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
 
 
-def object_page(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Plain-text object page -> size_arcmin and distance_ly."""
+def object_page(texts: DataFrame, text: str = "text", reach: int | None = 400) -> DataFrame:
+    """Plain-text object page -> size_arcmin and distance_ly.
+
+    A distance counts within `reach` characters of the first mention of the word (the pages' section; None: to the page's end).
+    """
     size = F.regexp_extract(text, r"(?i)Angular size:\s*([\d.]+)", 1).try_cast("double")
     at = F.instr(F.lower(F.col(text)), "distance")
-    window = F.when(at > 0, F.substring(F.col(text), at, F.lit(400)))
+    window = F.when(at > 0, F.substring(F.col(text), at, F.lit(reach) if reach is not None else F.length(text)))
     pattern = r"([\d.]+)\s*(kpc|Mpc|pc)\b"
     value = F.regexp_extract(window, pattern, 1).try_cast("double")
     unit = F.regexp_extract(window, pattern, 2)
@@ -235,13 +238,13 @@ def object_page(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def image_files(contents: DataFrame, content: str = "content") -> DataFrame:
-    """Adds the content key: 'sha256:' and the first 16 hex digits."""
-    return contents.withColumn("hash", F.concat(F.lit("sha256:"), F.substring(F.sha2(content, 256), 1, 16)))
+    """Adds the content's digest, and its short label: 'sha256:' and the first 16 hex digits."""
+    return contents.withColumn("digest", F.sha2(content, 256)).withColumn("hash", F.concat(F.lit("sha256:"), F.substring("digest", 1, 16)))
 
 
 def scan_images(spark: SparkSession, glob: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(glob)
-    return image_files(files).select("path", "hash", "length")
+    return image_files(files).select("path", "hash", "digest", "length")
 
 
 # --- encyclopaedia entities ---------------------------------------------------------------------
@@ -298,8 +301,8 @@ FEATURE = (
 
 
 def factsheets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Fact-sheet JSON -> typed document columns with contract defaults."""
-    d = docs.withColumn("_d", F.from_json(text, FACTSHEET)).select(*[c for c in docs.columns if c != text], "_d.*")
+    """Fact-sheet JSON -> typed document columns with contract defaults; a malformed document raises."""
+    d = docs.withColumn("_d", F.from_json(text, FACTSHEET, {"mode": "FAILFAST"})).select(*[c for c in docs.columns if c != text], "_d.*")
     obj = F.transform("objects", lambda o: o.withField("tier", F.coalesce(o["tier"], F.lit("A")))
                       .withField("designations", F.coalesce(o["designations"], F.array().cast("array<string>")))
                       .withField("type_needs_review", F.coalesce(o["type_needs_review"], F.lit(False)))
@@ -310,8 +313,14 @@ def factsheets(docs: DataFrame, text: str = "text") -> DataFrame:
         .withField("starless", F.coalesce("image.starless", F.lit(False))))
 
 
-def scan_factsheet(spark: SparkSession, path: str) -> DataFrame:
-    return factsheets(spark.read.text(path, wholetext=True).select(F.col("value").alias("text")))
+def _documents(spark: SparkSession, path: str, one_per_file: bool) -> DataFrame:
+    docs = spark.read.text(path, wholetext=one_per_file).select(F.col("value").alias("text"))
+    return docs.where(F.trim("text") != "")
+
+
+def scan_factsheet(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
+    """One document per line, as the writer puts them; with `one_per_file` a file is one document, over lines or not."""
+    return factsheets(_documents(spark, path, one_per_file))
 
 
 def _localized(path: str) -> Column:
@@ -323,8 +332,8 @@ def _localized(path: str) -> Column:
 
 
 def readings(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Reading JSON -> columns; names of old documents may be plain strings."""
-    d = docs.withColumn("_v", F.try_parse_json(text)).where(F.col("_v").isNotNull())
+    """Reading JSON -> columns; names of old documents may be plain strings. A malformed document raises."""
+    d = docs.withColumn("_v", F.parse_json(text))
     get = lambda path, t: F.try_variant_get("_v", path, t)
     return d.select(
         *[c for c in docs.columns if c != text], get("$.version", "string").alias("version"),
@@ -336,21 +345,25 @@ def readings(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def scan_reading(spark: SparkSession, path: str) -> DataFrame:
-    return readings(spark.read.text(path, wholetext=True).select(F.col("value").alias("text")))
+def scan_reading(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
+    """One document per line, or with `one_per_file` one per file."""
+    return readings(_documents(spark, path, one_per_file))
 
 
 GEOMETRY = "struct<type:string,vertices:array<array<double>>,radius_arcmin:double>"
 ANNOTATION = f"struct<id:string,feature_type:string,geometry:{GEOMETRY},label:{_L},note:{_L},status:string,author:string,reviewed_by:string,created_at:string,updated_at:string>"
-REGISTRY = f"schema_version int, objects array<struct<primary_id:string,aliases:array<string>,rev:bigint,annotations:array<{ANNOTATION}>>>"
+REGISTRY = f"schema_version int, objects array<struct<entry_ord:bigint,primary_id:string,aliases:array<string>,rev:bigint,annotations:array<{ANNOTATION}>>>"
 
 
 def registry_rows(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Registry or atlas JSON -> one row per annotation with its ordinals (entries without any keep one row)."""
+    """Registry or atlas JSON -> one row per annotation with its ordinals (entries without any keep one row).
+
+    An entry's ordinal is its own where it has one, else its place in the document.
+    """
     d = docs.withColumn("_d", F.from_json(text, REGISTRY, {"mode": "FAILFAST"}))
     keep = [c for c in docs.columns if c != text]
-    e = d.select(*keep, F.posexplode("_d.objects").alias("entry_ord", "e"))
-    a = e.select(*keep, "entry_ord", "e.primary_id", F.coalesce("e.aliases", F.array().cast("array<string>")).alias("aliases"),
+    e = d.select(*keep, F.posexplode("_d.objects").alias("_pos", "e"))
+    a = e.select(*keep, F.coalesce("e.entry_ord", "_pos").alias("entry_ord"), "e.primary_id", F.coalesce("e.aliases", F.array().cast("array<string>")).alias("aliases"),
                  F.coalesce("e.rev", F.lit(0)).alias("rev"), F.posexplode_outer("e.annotations").alias("anno_ord", "a"))
     return a.select(
         *keep, "entry_ord", "primary_id", "aliases", "rev", "anno_ord", F.col("a.id").alias("anno_id"), "a.feature_type",
@@ -360,14 +373,18 @@ def registry_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def scan_registry(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Layered registries, baseline first; a missing file is skipped, a malformed one raises."""
+def scan_registry(spark: SparkSession, paths: list[str], one_per_file: bool | None = None) -> DataFrame:
+    """Layered registries, baseline first; a missing path is skipped, a malformed one raises.
+
+    A path to a folder holds a document per line, as the writer puts them; a single file is one document. `one_per_file` says otherwise.
+    """
     parts = []
     for layer, path in enumerate(paths):
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(jpath):
-            docs = spark.read.text(path, wholetext=True).select(F.lit(layer).alias("layer"), F.col("value").alias("text"))
-            parts.append(registry_rows(docs))
+        found = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(jpath)
+        if found:
+            whole = all(f.isFile() for f in found) if one_per_file is None else one_per_file
+            parts.append(registry_rows(_documents(spark, path, whole).select(F.lit(layer).alias("layer"), "text")))
     if parts:
         return union_sources(*parts)
     empty = spark.createDataFrame([], "layer int, text string")

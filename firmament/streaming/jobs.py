@@ -32,17 +32,21 @@ def _use_rocksdb(df: DataFrame) -> None:
 
 
 def ingest_images(files: DataFrame, watermark: str = "7 days") -> DataFrame:
-    """files(path, modificationTime, content, ...) -> one row per content hash; late repeats drop."""
-    keyed = files.withColumn("hash", F.concat(F.lit("sha256:"), F.substring(F.sha2("content", 256), 1, 16))).drop("content")
+    """files(path, modificationTime, content, ...) -> one row per content; late repeats drop.
+
+    Contents are told apart by the whole digest; `hash` is its short label.
+    """
+    keyed = files.withColumn("digest", F.sha2("content", 256)).drop("content")
+    keyed = keyed.withColumn("hash", F.concat(F.lit("sha256:"), F.substring("digest", 1, 16)))
     if keyed.isStreaming:
-        return keyed.withWatermark("modificationTime", watermark).dropDuplicatesWithinWatermark(["hash"])
+        return keyed.withWatermark("modificationTime", watermark).dropDuplicatesWithinWatermark(["digest"])
     return ingest_images_batch(keyed)
 
 
 def ingest_images_batch(keyed: DataFrame) -> DataFrame:
-    """The earliest arrival of each hash, by aggregate so that a hot copy group combines map-side."""
-    cols = [c for c in keyed.columns if c != "hash"]
-    return keyed.groupBy("hash").agg(F.min(F.struct("modificationTime", "path", *[c for c in cols if c not in ("modificationTime", "path")])).alias("f")).select("hash", "f.*")
+    """The earliest arrival of each content, by aggregate so that a hot copy group combines map-side."""
+    cols = [c for c in keyed.columns if c != "digest"]
+    return keyed.groupBy("digest").agg(F.min(F.struct("modificationTime", "path", *[c for c in cols if c not in ("modificationTime", "path")])).alias("f")).select("digest", "f.*")
 
 
 def start_ingest_images(files: DataFrame, path: str, checkpoint: str, watermark: str = "7 days") -> StreamingQuery:
