@@ -82,7 +82,8 @@ def rank_candidates(gated: DataFrame, tie: tuple[str, ...] = TIE) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w))
 
 
-def prominent(gated: DataFrame, star_mag_max: float = 4.0, nebula_min: float = 8.0, galaxy_min: float = 3.0) -> DataFrame:
+def is_shown(gated: DataFrame, star_mag_max: float = 4.0, nebula_min: float = 8.0, galaxy_min: float = 3.0) -> Column:
+    """Whether a candidate is prominent and, where its brightness in the picture is known, visible."""
     recognizable = names.has_recognizable_name(
         F.col("main_id"), F.col("names"), F.col("catalog_ids"), F.col("curated")
     )
@@ -92,7 +93,15 @@ def prominent(gated: DataFrame, star_mag_max: float = 4.0, nebula_min: float = 8
     )
     if "lum" in gated.columns:
         ok = ok & kinds.is_visible(F.col("category"), F.col("curated"), F.col("lum"), F.col("background"))
-    return gated.where(ok)
+    return ok
+
+
+def prominent(gated: DataFrame, star_mag_max: float = 4.0, nebula_min: float = 8.0, galaxy_min: float = 3.0) -> DataFrame:
+    return gated.where(is_shown(gated, star_mag_max, nebula_min, galaxy_min))
+
+
+def _kind_order() -> Column:
+    return F.when(F.col("kind") == "star", F.coalesce("mag", F.lit(99.0))).otherwise(-F.col("score"))
 
 
 def top_per_kind(gated: DataFrame, caps: dict[str, int] | None = None, tie: tuple[str, ...] = TIE) -> DataFrame:
@@ -103,8 +112,7 @@ def top_per_kind(gated: DataFrame, caps: dict[str, int] | None = None, tie: tupl
     caps = caps or CAPS
     scored = gated if "score" in gated.columns else score_candidates(gated)
     scored = scored.withColumn("kind", kinds.kind_of(F.col("category")))
-    star = F.when(F.col("kind") == "star", F.coalesce("mag", F.lit(99.0))).otherwise(-F.col("score"))
-    w = Window.partitionBy("fid", "kind").orderBy(star, *tie)
+    w = Window.partitionBy("fid", "kind").orderBy(_kind_order(), *tie)
     cap = F.try_element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("kind"))
     return (
         scored.withColumn("kind_rank", F.row_number().over(w))
@@ -151,13 +159,20 @@ def select_objects(
     Best of each kind, plus the best-composed object, cut to `top_n`; curated landmarks and
     a wind bubble's exciting star are added after the cut.
     """
-    # Four branches read the scored table: materialise it once, off the cone join.
-    scored = cut_lineage(score_candidates(gated))
-    best = top_per_kind(prominent(scored, star_mag_max, nebula_min, galaxy_min), caps, tie)
+    # One shuffle by frame and two ranks over it leave a few rows of each frame; those are kept, not the candidates.
+    caps = caps or CAPS
+    ranked = rank_candidates(score_candidates(gated), tie).withColumnRenamed("rank", "_first")
+    ranked = ranked.withColumn("kind", kinds.kind_of(F.col("category"))).withColumn(
+        "_shown", F.coalesce(is_shown(gated, star_mag_max, nebula_min, galaxy_min), F.lit(False)))
+    ranked = ranked.withColumn("_k", F.row_number().over(Window.partitionBy("fid", "kind", "_shown").orderBy(_kind_order(), *tie)))
+    cap = F.try_element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("kind"))
+    best = F.coalesce(F.col("_shown") & (F.col("_k") <= cap), F.lit(False))
+    few = cut_lineage(ranked.withColumn("_best", best).where(
+        F.col("_best") | (F.col("_first") == 1) | F.col("curated") | names.is_exciting_star(F.col("otype"))))
+    scored = few.drop("_first", "kind", "_shown", "_k", "_best")
     group = F.try_element_at(F.create_map(*[F.lit(x) for kv in KIND_ORDER.items() for x in kv]), F.col("kind"))
-    best = best.withColumn("_g", group).withColumn("_k", F.col("kind_rank")).drop("kind", "kind_rank")
-    top = rank_candidates(scored, tie).where(F.col("rank") <= 1).drop("rank")
-    top = top.withColumn("_g", F.lit(9)).withColumn("_k", F.lit(1))
+    best = few.where("_best").withColumn("_g", group).select(*scored.columns, "_g", "_k")
+    top = few.where("_first = 1").select(*scored.columns, F.lit(9).alias("_g"), F.lit(1).alias("_k"))
     landmarks = scored.where("curated").withColumn("_g", F.lit(10)).withColumn("_k", F.lit(1))
     # A few rows per frame from here on. A row's first route decides its place.
     once = Window.partitionBy("fid", key).orderBy("_g")
