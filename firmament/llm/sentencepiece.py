@@ -25,7 +25,8 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,15 +40,16 @@ NONE = -np.inf
 
 
 class Pieces(dict):
-    """The vocabulary, and a bounded memory of words: word -> ids of its best segmentation."""
+    """The vocabulary, and a bounded memory of words: word -> ids of its best segmentation as int32 bytes."""
 
-    def __init__(self, path: str, room: int = 300_000):
+    def __init__(self, path: str, room: int = 400_000):
         import sentencepiece
 
         super().__init__()
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.room, self.score, self.ids, self.starts = room, {}, {}, set()
+        self.room, self.score, self.ids, self.scores = room, {}, {}, {}
         self.raw: list[bytes] = []
+        self.trie: dict = {}  # character -> node; None -> score of the piece that ends here
         for i in range(sp.vocab_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -58,37 +60,46 @@ class Pieces(dict):
                 text = piece.replace("▁", " ")
                 self.raw.append(text.encode())
                 self.ids[text], self.score[text] = i, sp.get_score(i)
-                self.starts.update(text[:n] for n in range(1, len(text) + 1))
+                node = self.trie
+                for c in text:
+                    node = node.setdefault(c, {})
+                node[None] = sp.get_score(i)
                 if re.search(r"[^ ] ", text):
                     raise ValueError("a piece spans two words; this model needs another way of cutting")
         self.byte = [next(i for i in range(sp.vocab_size()) if sp.is_byte(i) and self.raw[i] == bytes([b])) for b in range(256)]
         self.longest = max(map(len, self.ids))
         self.unknown = min(self.score.values()) - 10
-
-    def pieces_at(self, text: str, at: int) -> Iterator[tuple[int, float]]:
-        """(length, score) of every piece that starts at a position; a lone uncovered character counts as one."""
-        alone = True
-        for n in range(1, min(self.longest, len(text) - at) + 1):
-            part = text[at:at + n]
-            if part not in self.starts:
-                break
-            if part in self.score:
-                alone &= n > 1
-                yield n, self.score[part]
-        if alone:
-            yield 1, self.unknown
+        self.size = np.array([len(r) for r in self.raw])
+        self.place = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(self.raw), np.uint8)
 
     def forward(self, text: str, start: int, end: int) -> tuple[list[float], list[int]]:
-        """Best score of reaching every position from `start` by pieces that start before `end`, and where the last one began."""
-        best, back = [NONE] * (len(text) + 1), [0] * (len(text) + 1)
+        """Best score of reaching every position from `start` by pieces that start before `end`, and where the last one began.
+
+        A lone character that no piece covers counts as one unknown piece.
+        """
+        n, trie, unknown = len(text), self.trie, self.unknown
+        best, back = [NONE] * (n + 1), [0] * (n + 1)
         best[start] = 0.0
         for at in range(start, end):
             have = best[at]
             if have == NONE:
                 continue
-            for n, score in self.pieces_at(text, at):
-                if have + score > best[at + n]:
-                    best[at + n], back[at + n] = have + score, at
+            node, k, alone = trie, at, True
+            while k < n:
+                node = node.get(text[k])
+                if node is None:
+                    break
+                k += 1
+                score = node.get(None)
+                if score is not None:
+                    if k == at + 1:
+                        alone = False
+                    score += have
+                    if score > best[k]:
+                        best[k], back[k] = score, at
+            if alone and have + unknown > best[at + 1]:
+                best[at + 1], back[at + 1] = have + unknown, at
         return best, back
 
     def trace(self, text: str, back: list[int], start: int, end: int) -> list[int]:
@@ -99,21 +110,33 @@ class Pieces(dict):
             end = back[end]
         return list(chain.from_iterable(reversed(out)))
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> bytes:
         _, back = self.forward(word, 0, len(word))
-        ids = self.trace(word, back, 0, len(word))
+        ids = np.array(self.trace(word, back, 0, len(word)), np.int32).tobytes()
         if len(word) <= 64:
             self[word] = ids
         return ids
 
-    def encode(self, spaced: str) -> list[int]:
-        if len(self) > self.room:
+    def word_score(self, word: str) -> float:
+        score = self.scores.get(word)
+        if score is None:
+            score = self.forward(word, 0, len(word))[0][-1]
+            if len(word) <= 64:
+                self.scores[word] = score
+        return score
+
+    def encode(self, spaced: str) -> bytes:
+        """The ids of a text that starts with its space, as int32 bytes."""
+        return b"".join(map(self.__getitem__, SEGMENT.findall(spaced)))
+
+    def tidy(self) -> None:
+        if len(self) + len(self.scores) > self.room:
             self.clear()
-        return list(chain.from_iterable(map(self.__getitem__, SEGMENT.findall(spaced))))
+            self.scores.clear()
 
     def value(self, ids: list[int]) -> float:
-        """The score of a word's segmentation."""
-        total, run = 0.0, 0
+        """The score of a segmentation."""
+        total = 0.0
         for i in ids:
             text = self.raw[i].decode(errors="replace")
             if self.ids.get(text) == i:
@@ -136,31 +159,62 @@ class Pieces(dict):
         for s in range(min(m, length + 1)):
             best[s, s] = 0.0
         for at in range(stop):
-            for n, score in self.pieces_at(text, at):
-                np.maximum(best[at + n], best[at] + score, out=best[at + n])
+            alone = True
+            node, k = self.trie, at
+            while k < len(text) and (node := node.get(text[k])) is not None:
+                k += 1
+                if None in node:
+                    alone &= k > at + 1
+                    np.maximum(best[k], best[at] + node[None], out=best[k])
+            if alone:
+                np.maximum(best[at + 1], best[at] + self.unknown, out=best[at + 1])
         if first is None:
             for j in range(min(m, len(text) - length + 1)):
                 out[:, j] = best[length + j]
             return out
-        middle = sum(self.value(self[w]) for w in SEGMENT.findall(text[first:last]))
+        middle = sum(map(self.word_score, SEGMENT.findall(text[first:last])))
         tail, _ = self.forward(text[last:], 0, length - last)
         for j in range(min(m, len(text) - length + 1)):
             out[:, j] = best[first] + middle + tail[length - last + j]
         return out
 
-    def backtrace(self, text: str, length: int, enter: int, leave: int) -> list[int]:
+    def backtrace(self, text: str, length: int, enter: int, leave: int) -> bytes:
         """The ids of a chunk whose boundary states are known."""
         cuts = [x.start() for x in re.finditer(r"(?<=[^ ]) ", text[:length])]
         cuts = [c for c in cuts if c >= enter]
         if not cuts:
             _, back = self.forward(text, enter, length)
-            return self.trace(text, back, enter, length + leave)
+            return np.array(self.trace(text, back, enter, length + leave), np.int32).tobytes()
         _, back = self.forward(text[:cuts[0]], enter, cuts[0])
-        head = self.trace(text, back, enter, cuts[0])
-        middle = list(chain.from_iterable(self[w] for w in SEGMENT.findall(text[cuts[0]:cuts[-1]])))
+        head = np.array(self.trace(text, back, enter, cuts[0]), np.int32).tobytes()
         rest = text[cuts[-1]:]
         _, back = self.forward(rest, 0, length - cuts[-1])
-        return head + middle + self.trace(rest, back, 0, length - cuts[-1] + leave)
+        tail = np.array(self.trace(rest, back, 0, length - cuts[-1] + leave), np.int32).tobytes()
+        return head + self.encode(text[cuts[0]:cuts[-1]]) + tail
+
+    def texts(self, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """The texts of rows of ids (row r has sizes[r] of them), without the space each starts with."""
+        width = self.size[ids]
+        total = np.concatenate(([0], np.cumsum(width)))
+        raw = self.bytes[np.repeat(self.place[ids] - total[:-1], width) + np.arange(total[-1])]
+        ends = total[np.cumsum(sizes)]
+        starts = np.concatenate(([0], ends[:-1]))
+        keep = np.ones(len(raw), bool)
+        led = starts[(ends > starts)]
+        keep[led[raw[led] == 32]] = False
+        offsets = np.concatenate(([0], np.cumsum(keep)))[np.concatenate(([0], ends))]
+        raw = raw[keep]
+        made = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw))
+        try:
+            made.validate(full=True)
+            return made.cast(pa.string())
+        except pa.ArrowInvalid:  # ids of bytes that are no UTF-8
+            return pa.array([raw[a:b].tobytes().decode(errors="replace") for a, b in zip(offsets, offsets[1:])], pa.string())
+
+
+def id_lists(made: list[bytes]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(b) >> 2 for b in made]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), np.int32)))
 
 
 @cache
@@ -206,8 +260,9 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(model)
         for part in slices(batches, text=1, max_bytes=1 << 21):
-            ids = [vocabulary.encode(t) if len(t) > 1 else [] for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["_row", "ids"])
+            ids = id_lists([vocabulary.encode(t) if len(t) > 1 else b"" for t in part.column(1).to_pylist()])
+            vocabulary.tidy()
+            yield pa.RecordBatch.from_arrays([part.column(0), ids], ["_row", "ids"])
 
     size = F.length("_text")
     small = src.where(size <= chunk).mapInArrow(whole, plain)
@@ -223,6 +278,7 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
         vocabulary = pieces(model)
         for part in slices(batches, text=2, max_bytes=1 << 21):
             made = [vocabulary.transfer(t, n).tobytes() for t, n in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            vocabulary.tidy()
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.binary())], ["_rid", "_k", "_matrix"])
 
     def states(group: pd.DataFrame) -> pd.DataFrame:
@@ -238,7 +294,8 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
         vocabulary = pieces(model)
         for part in slices(batches, text=3, max_bytes=1 << 21):
             ids = [vocabulary.backtrace(*x) for x in zip(*(part.column(c).to_pylist() for c in (3, 4, 5, 6)))]
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(ids, pa.list_(pa.int32()))], ["_row", "_rid", "_k", "ids"])
+            vocabulary.tidy()
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], id_lists(ids)], ["_row", "_rid", "_k", "ids"])
 
     found = parts.join(known, ["_rid", "_k"]).select("_row", "_rid", "_k", "_part", "_len", "_enter", "_leave").mapInArrow(
         traces, T.StructType([row, T.StructField("_rid", T.LongType()), T.StructField("_k", T.IntegerType()),
@@ -249,35 +306,32 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
     return small.unionByName(large).select("_row.*", "ids")
 
 
-def decode(tokens: DataFrame, ids_col: str = "ids", to: str = "text", model: str = MODEL) -> DataFrame:
+def decode(tokens: DataFrame, ids_col: str = "ids", to_name: str = "text", model: str = MODEL) -> DataFrame:
     """All columns of `tokens` and the decoded text of every row's ids; null ids give the empty text."""
-    keep = [c for c in tokens.columns if c != to]
+    keep = [c for c in tokens.columns if c != to_name]
     src = tokens.select(*keep)
     at = keep.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = pieces(model).raw
+        vocabulary = pieces(model)
         for batch in batches:
-            texts = [b"".join(map(raw.__getitem__, ids or ())).decode(errors="replace")[1:] for ids in _lists(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, to])
-
-    return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField(to, T.StringType())]))
-
-
-def _lists(column: pa.Array) -> Iterator[list[int]]:
-    for k in range(len(column)):
-        x = column[k]
-        yield x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []
-
+            size = np.nan_to_num(pc.list_value_length(batch.column(at)).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+            done, total = 0, np.cumsum(size)
+            while done < batch.num_rows:  # about half a million ids at a time
+                base = total[done - 1] if done else 0
+                to = max(done + 1, int(np.searchsorted(total, base + (1 << 19), "right")))
+                part = batch.slice(done, to - done)
+                texts = vocabulary.texts(part.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.int64), size[done:to])
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, to_name])
+                done = to
 
-def digest(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+    return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField(to_name, T.StringType())]))
 
 
 @query("op3_sentencepiece")
 def op3_sentencepiece(spark, sf_dir):
     """Per document: token count, a digest of the ids, and whether decoding them gives back the whole text."""
     docs = table(spark, sf_dir, "documents").withColumn("text_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
-    back = decode(encode(docs, keep=("doc_id", "text_hash")), to="decoded")
+    back = decode(encode(docs, keep=("doc_id", "text_hash")), to_name="decoded")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
                        F.length("decoded").cast("long").alias("n_chars"), (F.sha2("decoded", 256) == F.col("text_hash")).alias("round_trip"))
