@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmament.llm.common import key_counts, marked, marks, slices, table, words
+from firmament.llm.common import key_counts, marked, marks, slices, table, words, write_table
 from firmament.llm.registry import query
 from firmament.session import cut_lineage
 
@@ -165,14 +165,18 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The texts whose id is among `ids`. A bitmap filter goes before the join: other texts are not shuffled."""
+    """The texts whose id is among `ids`. A bitmap filter goes before the join: other texts are not shuffled.
+
+    Both sides are sorted and merged at every size, so that cost grows evenly with the input.
+    """
     wanted = ids.select(id_col).distinct()
     near = marked(docs.select(id_col, text_col), F.col(id_col), marks(wanted, F.col(id_col)))
-    return near.where("_maybe").drop("_maybe").join(wanted, id_col, "left_semi")
+    return near.where("_maybe").drop("_maybe").join(wanted.hint("merge"), id_col, "left_semi")
 
 
 @query("op5_lm_scoring")
 def op5_lm_scoring(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("x")).where("q = 1 and coalesce(x, 0) = 0")
-    return score(docs, fit(docs, texts_of(docs, good)))
+    target = write_table(texts_of(docs, good).select("text"))  # read by two counting passes
+    return score(docs, fit(docs, target))
