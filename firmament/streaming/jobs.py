@@ -56,33 +56,35 @@ def start_ingest_images(files: DataFrame, path: str, checkpoint: str, watermark:
 
 # --- job status: latest state, running jobs time out --------------------------------------------
 
-JOB_SCHEMA = "job long, state string, seq long, ts timestamp"
+JOB_SCHEMA = "job long, state string, seq long, us long"
 TIMEOUT_S = 300
 
 
 class JobTracker(StatefulProcessor):
-    """Latest state of a job; a running job without a result fails after the timeout (event time)."""
+    """Latest state of a job; a running job without a result fails after the timeout (event time).
+
+    Event times travel as microseconds since the epoch, so the session's time zone has no say.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.latest = handle.getValueState("latest", "seq long, state string, ts timestamp")
+        self.latest = handle.getValueState("latest", "seq long, state string, us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values("seq").iloc[-1]
         old = self.latest.get() if self.latest.exists() else None
         if old is None or new.seq > old[0]:
-            self.latest.update((int(new.seq), new.state, new.ts.to_pydatetime()))
+            self.latest.update((int(new.seq), new.state, int(new.us)))
             if new.state == "running":
-                self.handle.registerTimer(int(new.ts.timestamp() * 1000) + TIMEOUT_S * 1000)
-            yield pd.DataFrame({"job": [key[0]], "state": [new.state], "seq": [int(new.seq)], "ts": [new.ts]})
+                self.handle.registerTimer(int(new.us) // 1000 + TIMEOUT_S * 1000)
+            yield pd.DataFrame({"job": [key[0]], "state": [new.state], "seq": [int(new.seq)], "us": [int(new.us)]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.latest.exists():
-            seq, state, ts = self.latest.get()
-            due = int(pd.Timestamp(ts).timestamp() * 1000) + TIMEOUT_S * 1000
-            if state == "running" and due <= expiredTimerInfo.getExpiryTimeInMs():
-                self.latest.update((seq, "failed", ts))
-                yield pd.DataFrame({"job": [key[0]], "state": ["failed"], "seq": [seq], "ts": [pd.Timestamp(ts)]})
+            seq, state, us = self.latest.get()
+            if state == "running" and us // 1000 + TIMEOUT_S * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+                self.latest.update((seq, "failed", us))
+                yield pd.DataFrame({"job": [key[0]], "state": ["failed"], "seq": [seq], "us": [us]})
 
     def close(self) -> None:
         pass
@@ -91,8 +93,10 @@ class JobTracker(StatefulProcessor):
 def job_status(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """events(job, seq, ts, state) as a stream -> status changes."""
     _use_rocksdb(events)
-    return events.withWatermark("ts", watermark).groupBy("job").transformWithStateInPandas(
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    changes = timed.withColumn("us", F.unix_micros("ts")).groupBy("job").transformWithStateInPandas(
         statefulProcessor=JobTracker(), outputStructType=JOB_SCHEMA, outputMode="Append", timeMode="EventTime")
+    return changes.select("job", "state", "seq", F.timestamp_micros("us").alias("ts"))
 
 
 def job_status_batch(events: DataFrame) -> DataFrame:
@@ -108,12 +112,14 @@ def start_job_status(events: DataFrame, path: str, checkpoint: str, watermark: s
 
 
 def write_job_status(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Latest status per job, kept as one versioned table folder per batch."""
+    """Latest status per job, kept as one versioned table folder per batch; the version before the last is deleted."""
     def upsert(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         old = [spark.read.parquet(f"{path}/v{epoch - 1}")] if epoch > 0 else []
         latest = union_all([batch.select("job", "state", "seq", "ts"), *old]).groupBy("job").agg(F.max(F.struct("seq", F.when(F.col("state") == "running", 0).otherwise(1).alias("o"), "state", "ts")).alias("s"))
         latest.select("job", "s.state", "s.seq", "s.ts").write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        stale = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{epoch - 2}")
+        stale.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(stale, True)
 
     return changes.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -41,9 +41,20 @@ def test_sessions_and_metrics_equal_closed_part_of_batch(spark, run):
     assert got and got <= want and len(want - got) <= 10
 
 
-def test_job_status_latest_and_timeout(spark, run):
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles", "Asia/Shanghai"])
+def test_job_status_latest_and_timeout(spark, run, zone):
+    """A job that has run for 200 of 300 seconds is not late in any time zone."""
     base, batch, stream = run
-    ev = spark.createDataFrame([(1, 1, "running", 0), (1, 2, "done", 100), (2, 3, "running", 50), (3, 4, "queued", 5000), (3, 5, "running", 5001)], "job long, seq long, state string, s long")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        _job_status(spark, base)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def _job_status(spark, base):
+    ev = spark.createDataFrame([(1, 1, "running", 0), (1, 2, "done", 100), (2, 3, "running", 50), (3, 4, "queued", 5000), (3, 5, "running", 5001), (4, 7, "running", 8800)], "job long, seq long, state string, s long")
     ev = ev.select("job", "seq", F.timestamp_seconds("s").alias("ts"), "state")
     ev.coalesce(1).write.parquet(f"{base}/jobs")
     late = spark.createDataFrame([(9, 6, "done", 9000)], "job long, seq long, state string, s long").select("job", "seq", F.timestamp_seconds("s").alias("ts"), "state")
@@ -51,9 +62,9 @@ def test_job_status_latest_and_timeout(spark, run):
     s = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/jobs")
     J.start_job_status(s, f"{base}/js", f"{base}/jc", "1 minute").awaitTermination()
     got = {(r.job, r.state) for r in spark.read.parquet(f"{base}/js").collect()}
-    assert {(1, "done"), (2, "failed"), (9, "done")} <= got
+    assert {(1, "done"), (2, "failed"), (9, "done")} <= got and (4, "failed") not in got
     want = {r.job: r.state for r in J.job_status_batch(ev.unionByName(late)).collect()}
-    assert want == {1: "done", 2: "failed", 3: "failed", 9: "done"}
+    assert want == {1: "done", 2: "failed", 3: "failed", 4: "running", 9: "done"}
 
 
 def test_ingest_keeps_one_row_per_content(spark, run):
