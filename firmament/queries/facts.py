@@ -262,12 +262,12 @@ def union_objects(spark, sf):
     return FS.union_objects(comets, o.where("tier = 'A'"), o.where("tier = 'B'")).groupBy("fid", "tier").agg(F.count("*").alias("n"))
 
 
-@query("collect_factsheet", "SELECT fid, count(*) AS n_objects, min_by(id, ord) AS first_id, max_by(main_id, ord) AS last_name FROM v_objects WHERE fid IN (SELECT fid FROM v_frames) GROUP BY fid")
+@query("collect_factsheet", "SELECT f.fid, count(id) AS n_objects, min_by(id, ord) AS first_id, max_by(main_id, ord) AS last_name FROM v_frames f LEFT JOIN v_objects o ON o.fid = f.fid GROUP BY f.fid")
 def collect_factsheet(spark, sf):
     o = objects(spark, sf)
     w = FS.facts_warnings(solve_frames(spark, sf), o, o)
     d = FS.collect_factsheet(frames(spark, sf), o.select("fid", "ord", "id", "tier", "names", "category", "px", "py"), w)
-    return rounded(d.where(F.size("objects") > 0).select("fid", F.size("objects").alias("n_objects"), C("objects")[0]["id"].alias("first_id"), F.element_at("objects", -1)["names"][0].alias("last_name")))
+    return rounded(d.select("fid", F.size("objects").cast("long").alias("n_objects"), F.try_element_at("objects", L(1))["id"].alias("first_id"), F.try_element_at("objects", L(-1))["names"][0].alias("last_name")))
 
 
 __all__ = ["r6"]

@@ -197,9 +197,9 @@ RPX = "(size_major / 2 / (scale_deg * 60))"
 
 @query("disc_frame_coverage", f"""
 SELECT obj_id, {s6(f'greatest(0, least(x + {RPX}, width) - greatest(x - {RPX}, 0)) * greatest(0, least(y + {RPX}, height) - greatest(y - {RPX}, 0)) / (4 * {RPX} * {RPX})')} AS coverage,
- abs(x - width / 2) <= {RPX} AND abs(y - height / 2) <= {RPX} AS covers_centre FROM v_near WHERE size_major > 0""")
+ abs(x - width / 2) <= {RPX} AND abs(y - height / 2) <= {RPX} AS covers_centre FROM v_near""")
 def disc_frame_coverage(spark, sf):
-    d = near(spark, sf).where("size_major > 0")
+    d = near(spark, sf)
     c = geo.disc_frame_coverage(C("x"), C("y"), geo.size_to_px(C("size_major"), C("scale_deg")), C("width"), C("height"))
     return rounded(d.select("obj_id", c.alias("c")).select("obj_id", "c.coverage", "c.covers_centre"))
 

@@ -260,10 +260,13 @@ def outreach_top(spark, sf):
     return rounded(RG.outreach_top(*region_rows(spark, sf)).select("fid", "rid", "pick"))
 
 
-# Two anchors per frame, none for every fifth frame.
+# Twelve anchors per frame; regions are ten per frame, so the last frames have none.
 define_view("v_anchors", """
-SELECT CAST(floor(obj_id / 10.0) AS BIGINT) AS fid, obj_id % 10 AS anchor_ord, CAST((obj_id * 41) % 400 AS DOUBLE) AS ax, CAST((obj_id * 43) % 300 AS DOUBLE) AS ay, CAST(20 + obj_id % 80 AS DOUBLE) AS nr
-FROM v_catalog WHERE obj_id % 10 < 2 AND CAST(floor(obj_id / 10.0) AS BIGINT) % 5 > 0""")
+SELECT CAST(floor(obj_id / 12.0) AS BIGINT) AS fid, obj_id % 12 AS anchor_ord, CAST((obj_id * 41) % 400 AS DOUBLE) AS ax, CAST((obj_id * 43) % 300 AS DOUBLE) AS ay, CAST(20 + obj_id % 80 AS DOUBLE) AS nr
+FROM v_catalog""")
+
+# One comet per frame, amid its anchors.
+define_view("v_comets", "SELECT fid, avg(ax) AS ax, avg(ay) AS ay FROM v_anchors GROUP BY fid")
 
 
 @query("regions_in_glow", "SELECT fid, rid FROM v_regions r WHERE EXISTS (SELECT 1 FROM v_anchors a WHERE a.fid = r.fid AND sqrt(power(r.cx - a.ax, 2) + power(r.cy - a.ay, 2)) <= a.nr * 1.15)")
@@ -280,19 +283,19 @@ def illumination_prior(spark, sf):
 
 
 @query("comet_veto", """
-SELECT fid FROM (SELECT fid, ax * 10 AS nx, ay * 10 AS ny FROM v_anchors WHERE anchor_ord = 0) c WHERE NOT EXISTS (SELECT 1 FROM v_objects g WHERE g.fid = c.fid AND g.size_major IS NOT NULL AND g.obj_id % 2 = 0 AND sqrt(power(g.px - nx, 2) + power(g.py - ny, 2)) < 900)""")
+SELECT fid FROM (SELECT fid, ax * 10 AS nx, ay * 10 AS ny FROM v_comets) c WHERE NOT EXISTS (SELECT 1 FROM v_objects g WHERE g.fid = c.fid AND g.size_major IS NOT NULL AND g.obj_id % 2 = 0 AND sqrt(power(g.px - nx, 2) + power(g.py - ny, 2)) < 900)""")
 def comet_veto(spark, sf):
-    comets = view(spark, sf, "v_anchors").where("anchor_ord = 0").select("fid", (C("ax") * 10).alias("nucleus_x"), (C("ay") * 10).alias("nucleus_y"), L(300.0).alias("coma_px"))
+    comets = view(spark, sf, "v_comets").select("fid", (C("ax") * 10).alias("nucleus_x"), (C("ay") * 10).alias("nucleus_y"), L(300.0).alias("coma_px"))
     g = objects(spark, sf).withColumn("recognizable", C("obj_id") % 2 == 0)
     return P.comet_veto(comets, g).select("fid")
 
 
 @query("comet_objects", """
-SELECT a.fid, t.id, t.tier, t.ft AS feature_type, CASE WHEN t.k >= 3 THEN a.ax ELSE NULL END AS arrow_x FROM v_anchors a,
- (VALUES (0, 'comet1', 'A', NULL), (1, 'comet_coma', 'B', 'comet_coma'), (2, 'comet_nuc', 'B', 'comet_nucleus'), (3, 'comet_tail1', 'B', 'comet_ion_tail')) t(k, id, tier, ft) WHERE anchor_ord = 0""")
+SELECT a.fid, t.id, t.tier, t.ft AS feature_type, CASE WHEN t.k >= 3 THEN a.ax ELSE NULL END AS arrow_x FROM v_comets a,
+ (VALUES (0, 'comet1', 'A', NULL), (1, 'comet_coma', 'B', 'comet_coma'), (2, 'comet_nuc', 'B', 'comet_nucleus'), (3, 'comet_tail1', 'B', 'comet_ion_tail')) t(k, id, tier, ft)""")
 def comet_objects(spark, sf):
     tail = F.struct(L("ion").alias("kind"), C("ax").alias("tip_x"), C("ay").alias("tip_y"))
-    c = view(spark, sf, "v_anchors").where("anchor_ord = 0").select("fid", C("ax").alias("nucleus_x"), C("ay").alias("nucleus_y"), F.struct(L(1.0).alias("ra"), L(2.0).alias("dec")).alias("sky"), L(3.0).alias("coma_arcmin"), L(0.7).alias("confidence"), F.array(tail).alias("tails"))
+    c = view(spark, sf, "v_comets").select("fid", C("ax").alias("nucleus_x"), C("ay").alias("nucleus_y"), F.struct(L(1.0).alias("ra"), L(2.0).alias("dec")).alias("sky"), L(3.0).alias("coma_arcmin"), L(0.7).alias("confidence"), F.array(tail).alias("tails"))
     return P.comet_objects(c).select("fid", "id", "tier", "feature_type", "arrow_x")
 
 

@@ -209,7 +209,7 @@ define_view("v_solves", """
 SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN 'failed' ELSE 'solved' END AS status,
        CASE WHEN n_chars % 7 = 0 THEN 1 ELSE 2 END AS version,
        CASE WHEN lang = 'en' THEN 'remote' ELSE 'local' END AS solver, CAST(n_chars AS DOUBLE) AS solve_ms
-FROM documents WHERE doc_id % 2 = 0""")
+FROM documents""")
 
 define_view("v_outputs", """
 SELECT conv_id, turn, concat('Sure: ```json', chr(10), '{"id":"c', CAST(conv_id AS VARCHAR(20)), '","n":',

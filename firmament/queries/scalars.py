@@ -91,17 +91,17 @@ MECH = ["supernova_remnant", "planetary_nebula", "galaxy"]
 
 
 @query("resolve_type", f"""
-SELECT obj_id, {case_sql('final', CZH)} AS zh0, source, final AS category, {s6("CASE WHEN source <> 'wiki' AND final = 'emission_nebula' THEN 0.4 ELSE 0.7 END")} AS type_confidence,
+SELECT obj_id, CASE WHEN final <> 'star' THEN {case_sql('final', CZH)} END AS zh0, source, final AS category, {s6("CASE WHEN source <> 'wiki' AND final = 'emission_nebula' THEN 0.4 ELSE 0.7 END")} AS type_confidence,
  source <> 'wiki' AND final = 'emission_nebula' AS type_needs_review
 FROM (SELECT obj_id, coalesce(CASE WHEN obj_id % 9 = 0 THEN 'supernova_remnant' END, c) AS final,
-  CASE WHEN obj_id % 9 = 0 THEN 'wiki' WHEN obj_id % 5 = 1 THEN 'vizier' ELSE 'simbad' END AS source FROM (SELECT obj_id, {CAT} AS c FROM v_catalog) WHERE c IS NOT NULL)
-WHERE final <> 'star'""")
+  CASE WHEN obj_id % 9 = 0 THEN 'wiki' WHEN obj_id % 5 = 1 THEN 'vizier' ELSE 'simbad' END AS source FROM (SELECT obj_id, {CAT} AS c FROM v_catalog) WHERE c IS NOT NULL)""")
 def resolve_type(spark, sf):
     d = catalog(spark, sf).withColumn("category", kinds.object_category(C("otype"))).where("category IS NOT NULL")
     wiki = F.when(C("obj_id") % 9 == 0, F.struct(F.lit("supernova_remnant").alias("category"), F.lit(None).cast("string").alias("zh"), F.lit(None).cast("string").alias("en")))
     src = F.when(C("obj_id") % 5 == 1, "VizieR:x").otherwise(C("source"))
     d = d.select("obj_id", kinds.resolve_type(C("otype"), C("category"), src, wiki).alias("t"))
-    return rounded(d.where("t.category <> 'star'").select("obj_id", C("t.zh").alias("zh0"), "t.source", "t.category", "t.type_confidence", "t.type_needs_review"))
+    # A star's Chinese type follows its object code and is checked elsewhere.
+    return rounded(d.select("obj_id", F.when(C("t.category") != "star", C("t.zh")).alias("zh0"), "t.source", "t.category", "t.type_confidence", "t.type_needs_review"))
 
 
 @query("distance_to_ly", """
