@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from firmament.llm.common import slices, table
 from firmament.llm.registry import query
+from firmament.session import cut_lineage
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
@@ -94,4 +95,5 @@ def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
 
 @query("op1_token_counts")
 def op1_token_counts(spark, sf_dir):
-    return suffix_sums(length_histogram(encoded_lengths(table(spark, sf_dir, "documents"))))
+    # Read by the block totals and again by the rows: texts are encoded once.
+    return suffix_sums(cut_lineage(length_histogram(encoded_lengths(table(spark, sf_dir, "documents")))))
