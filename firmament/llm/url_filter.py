@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmament.llm.common import UPPER, LOWER, lower_ascii, table
+from firmament.llm.common import LOWER, UPPER, lower_ascii, table, write_table
 from firmament.llm.registry import query
 from firmament.session import cut_lineage
 
@@ -57,8 +57,8 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = D
     """(host, rank) of the hosts reached from `seeds` (host, weight) along `edges` (src, dst, n)."""
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     share = cut_lineage(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("p")))
-    total = seeds.agg(F.sum("weight").alias("total"))
-    start = cut_lineage(seeds.join(F.broadcast(total), F.lit(True)).select("host", (F.col("weight") / F.col("total")).alias("seed")))
+    total = seeds.agg(F.sum("weight")).first()[0] or 1.0  # one number
+    start = cut_lineage(seeds.select("host", (F.col("weight") / F.lit(total)).alias("seed")))
     rank = start.select("host", F.col("seed").alias("rank"))
     if share.isEmpty():
         return rank.select("host", ((1 - damping) * F.col("rank")).alias("rank"))
@@ -91,8 +91,8 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     distrust = personalised_pagerank(back, seeds("blocked")).withColumnRenamed("rank", "distrust")
     scored = reduce(lambda a, b: a.join(b, "host", "left"), [hosts.select("host"), trust, distrust])
     zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")]
-    # Every host's score meets its pages in a left join; the hot host's pages can be split.
-    out = judged.join(scored.select("host", *zero), "host", "left")
+    # Written, so that Spark knows its size: a small table of hosts goes to the pages, a large one meets them in a join that can be split.
+    out = judged.join(write_table(scored.select("host", *zero)), "host", "left")
     verdict = F.coalesce("_r.action", F.when(F.col("distrust") > threshold * F.col("trust"), "block").otherwise("allow"))
     return out.select(id_col, "host", "path", F.col("_r.rule").alias("rule"), verdict.alias("verdict"),
                       *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")])
