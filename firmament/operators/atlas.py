@@ -48,6 +48,9 @@ def unnamed_ordinals(annotations: DataFrame, part: tuple[str, ...] = ("entry_ord
     return annotations.withColumn("ordinal", F.when(unnamed & (total > 1), n))
 
 
+TRIG = ("sin_dec0", "cos_dec0", "sin_th", "cos_th", "scale_rad")
+
+
 def project_registry(hosts: DataFrame, registry: DataFrame, frames: DataFrame, matched: DataFrame | None = None) -> DataFrame:
     """Matched entries' annotations as pixel outlines on each host's frame (tier-B rows).
 
@@ -62,17 +65,14 @@ def project_registry(hosts: DataFrame, registry: DataFrame, frames: DataFrame, m
     annos = annos.join(totals, ["entry_ord", "feature_type"], "left").drop("_u")
     rows = matched.join(frames, "fid").join(annos, "entry_ord")
     wcs = geo.wcs_of()
-    # Vertices are projected as plain rows, in generated code, and gathered again by shape:
-    # the gather's partial aggregate runs where the rows are made.
-    shape = ["fid", "host_id", "entry_ord", "anno_ord"]
-    keep = ["feature_type", "geom_type", "label", "n_unnamed"]
-    flat = rows.select(*shape, *keep, *geo.WCS_FIELDS, F.posexplode("vertices").alias("_i", "_v"))
-    flat = pin(flat, _p=geo.world_to_pixel(wcs, F.col("_v.ra"), F.col("_v.dec"))).where(F.col("_p").isNotNull())
-    vertex = F.struct("_i", geo.half_up(F.col("_p.px")).alias("x"), geo.half_up(F.col("_p.py")).alias("y"))
-    rows = flat.groupBy(*shape).agg(
-        F.array_sort(F.collect_list(vertex)).alias("_pts"), F.max(geo.in_image(wcs, F.col("_p.px"), F.col("_p.py"))).alias("_seen"),
-        *[F.first(c).alias(c) for c in (*keep, *geo.WCS_FIELDS)])
-    rows = rows.where("_seen").withColumn("polygon", F.transform("_pts", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
+    # A frame's own trigonometry is computed once per row; the outline is then projected and judged inside its row, so nothing is
+    # shuffled after the match.
+    rows = geo.frame_trig(rows)
+    trig = {**wcs, **{c: F.col(c) for c in TRIG}}
+    points = F.transform("vertices", lambda v: geo.world_to_pixel(trig, v["ra"], v["dec"]))
+    rows = pin(rows, _pts=F.filter(points, lambda p: p.isNotNull()))
+    rows = rows.where(F.exists("_pts", lambda p: geo.in_image(wcs, p["px"], p["py"]))).drop("vertices", *TRIG)
+    rows = rows.withColumn("polygon", F.transform("_pts", lambda p: F.struct(geo.half_up(p["px"]).alias("x"), geo.half_up(p["py"]).alias("y")))).drop("_pts")
     rows = unnamed_ordinals(rows, ("fid", "host_id"))
     rows = rows.withColumn("pipeline_type", kinds.atlas_to_pipeline_type(F.col("feature_type")))
     tax = kinds.taxonomy_label(F.col("pipeline_type"))
