@@ -25,7 +25,10 @@ def lower_ascii(c: Column) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: int = 1, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches into runs of whole rows of about `max_bytes` of text, so that array work stays in bounded memory."""
+    """Cut batches into runs of whole rows of about `max_bytes` of text, so that array work stays in bounded memory.
+
+    At the end of a task its freed batches go back to the system: workers are kept for later tasks.
+    """
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         total = np.cumsum(size)
@@ -35,6 +38,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: int = 1, max_bytes: int = 1
             to = max(at + 1, int(np.searchsorted(total, base + max_bytes, "right")))
             yield batch.slice(at, to - at)
             at = to
+        del batch
+    pa.default_memory_pool().release_unused()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +165,7 @@ def _undelta(b: bytes) -> np.ndarray:
 
 def key_counts(src: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], columns: int,
                reduce: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str, text: int = 0,
-               held: int = 1 << 21, uniform_bits: int = 0) -> DataFrame:
+               held: int = 1 << 20, uniform_bits: int = 0) -> DataFrame:
     """Count 64-bit keys over a whole table.
 
     `keys_of` gives the keys of a few rows and their counts (keys x `columns`, uint32). Counts are merged within a task while they fit

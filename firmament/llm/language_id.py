@@ -66,7 +66,7 @@ class LanguageModel:
         out = np.zeros((len(column), self.code.shape[1]), np.float64)
         if len(cells):
             first = np.flatnonzero(np.diff(rows, prepend=-1))
-            sums = np.add.reduceat(self.weights[cells], first, axis=0, dtype=np.float64)
+            sums = np.add.reduceat(self.weights[cells], first, axis=0).astype(np.float64)
             out[rows[first]] = sums / np.diff(np.append(first, len(cells)))[:, None]
         return out * self.scale
 
@@ -166,7 +166,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "t
                            T.StructField("ambiguous", T.BooleanType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text=at):
+        for part in slices(batches, text=at, max_bytes=1 << 18):
             lang, score, close = model.decode(part.column(at), gap)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(close)],
                                              [*part.schema.names, "lang_pred", "score", "ambiguous"])

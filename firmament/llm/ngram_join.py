@@ -212,7 +212,7 @@ def candidates(lists: DataFrame, labels: DataFrame) -> DataFrame:
     lists = lists.join(labels, "id", "left").select("id", "n", F.coalesce("label", "id").alias("label"), "keys", "at")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text=3, max_bytes=1 << 22):
             cols = [batch.column(c).to_numpy() for c in range(3)]
             keys = [np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(3)]
             at = [np.frombuffer(v.as_buffer(), np.uint32) for v in batch.column(4)]

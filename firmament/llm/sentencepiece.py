@@ -42,7 +42,7 @@ NONE = -np.inf
 class Pieces(dict):
     """The vocabulary, and a bounded memory of words: word -> ids of its best segmentation as int32 bytes."""
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 120_000):
         import sentencepiece
 
         super().__init__()
@@ -113,7 +113,7 @@ class Pieces(dict):
     def __missing__(self, word: str) -> bytes:
         _, back = self.forward(word, 0, len(word))
         ids = np.array(self.trace(word, back, 0, len(word)), np.int32).tobytes()
-        if len(word) <= 64:
+        if len(word) <= 20:
             self[word] = ids
         return ids
 
@@ -121,7 +121,7 @@ class Pieces(dict):
         score = self.scores.get(word)
         if score is None:
             score = self.forward(word, 0, len(word))[0][-1]
-            if len(word) <= 64:
+            if len(word) <= 20:
                 self.scores[word] = score
         return score
 
@@ -129,8 +129,8 @@ class Pieces(dict):
         """The ids of a text that starts with its space, as int32 bytes."""
         return b"".join(map(self.__getitem__, SEGMENT.findall(spaced)))
 
-    def tidy(self) -> None:
-        if len(self) + len(self.scores) > self.room:
+    def tidy(self, room: int | None = None) -> None:
+        if len(self) + len(self.scores) > (self.room if room is None else room):
             self.clear()
             self.scores.clear()
 
@@ -263,6 +263,7 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
             ids = id_lists([vocabulary.encode(t) if len(t) > 1 else b"" for t in part.column(1).to_pylist()])
             vocabulary.tidy()
             yield pa.RecordBatch.from_arrays([part.column(0), ids], ["_row", "ids"])
+        vocabulary.tidy(0)  # the worker lives on
 
     size = F.length("_text")
     small = src.where(size <= chunk).mapInArrow(whole, plain)
@@ -280,6 +281,7 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
             made = [vocabulary.transfer(t, n).tobytes() for t, n in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
             vocabulary.tidy()
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.binary())], ["_rid", "_k", "_matrix"])
+        vocabulary.tidy(0)
 
     def states(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_k")
@@ -296,6 +298,7 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
             ids = [vocabulary.backtrace(*x) for x in zip(*(part.column(c).to_pylist() for c in (3, 4, 5, 6)))]
             vocabulary.tidy()
             yield pa.RecordBatch.from_arrays([*part.columns[:3], id_lists(ids)], ["_row", "_rid", "_k", "ids"])
+        vocabulary.tidy(0)
 
     found = parts.join(known, ["_rid", "_k"]).select("_row", "_rid", "_k", "_part", "_len", "_enter", "_leave").mapInArrow(
         traces, T.StructType([row, T.StructField("_rid", T.LongType()), T.StructField("_k", T.IntegerType()),
@@ -324,6 +327,8 @@ def decode(tokens: DataFrame, ids_col: str = "ids", to_name: str = "text", model
                 texts = vocabulary.texts(part.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.int64), size[done:to])
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, to_name])
                 done = to
+            del batch
+        pa.default_memory_pool().release_unused()
 
     return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField(to_name, T.StringType())]))
 
