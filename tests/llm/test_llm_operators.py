@@ -277,6 +277,52 @@ def test_lm_counts_equal_counting_by_hand(spark):
     assert np.exp(m.pair_log[at, 1]) == pytest.approx((c[ids["a"], ids["b"]] + 2 * p_b) / (h + 2), rel=1e-4)
 
 
+def lm_by_hand(texts, good, strength=64.0):
+    """(loss_target, loss_background) of every text that has words, by counting everything."""
+    runs = [["<s>", *low(t).split(), "</s>"] for t in texts]
+    vocabulary = {w for r in runs for w in r[1:-1]}
+    out = [[] for _ in runs]
+    for own in ([runs[k] for k in good], runs):
+        own = [r for r in own if len(r) > 2]
+        pairs = collections.Counter(p for r in own for p in zip(r, r[1:]))
+        said, after = collections.Counter(w for r in own for w in r[1:]), collections.Counter(w for r in own for w in r[:-1])
+        whole = sum(said.values()) + len(vocabulary) + 3
+        for k, r in enumerate(runs):
+            p = [(pairs[h, w] + strength * (said[w] + 1) / whole) / (after[h] + strength) for h, w in zip(r, r[1:])]
+            out[k].append(-sum(np.log(p)) / len(p))
+    return out
+
+
+@pytest.mark.parametrize("held", [40, 1 << 20])
+def test_lm_whole_models_equal_counting_by_hand(spark, held):
+    draw = random.Random(9)
+    texts = [" ".join(draw.choice("aBcdefgh") * draw.randint(1, 3) for _ in range(draw.randint(1, 30))) for _ in range(60)] + [None, "", " \n"]
+    docs = docs_of(spark, [(k, t, None) for k, t in enumerate(texts)] + [(0, texts[0], None)])
+    got = lm.score_all(docs, docs.where("doc_id between 10 and 29"), held=held).collect()
+    want = lm_by_hand([t or "" for t in [*texts, texts[0]]], range(10, 30))
+    assert len(got) == len(texts) + 1 and sum(r.doc_id == 0 for r in got) == 2
+    for r in got:
+        n = len((texts[r.doc_id] or "").split())
+        assert r.n_tokens == n and (r.loss_difference is None) == (n == 0)
+        if n:
+            assert [r.loss_target, r.loss_background] == pytest.approx(want[r.doc_id])
+    assert lm.score_all(docs.limit(0), docs.limit(0)).count() == 0
+    none = lm.score_all(docs, docs.limit(0)).where("doc_id = 5").first()
+    assert none.loss_target == pytest.approx(np.log(len({w for t in texts for w in low(t).split()}) + 3))
+
+
+def test_lm_query_keeps_rare_words(spark, tmp_path):
+    """Words that are less than a hundred thousandth of the corpus, which relative floors made one unknown word."""
+    texts = ["many common words here " * 5000 for _ in range(20)] + ["rarex raree", "rarex raree", "rarey raref", "rarey raref"]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in (0, 20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in QUERIES["op5_lm_scoring"](spark, str(tmp_path)).collect()}
+    want = lm_by_hand(texts, [0, 20])
+    assert got[21].loss_difference < got[22].loss_difference
+    for k in got:
+        assert [got[k].loss_target, got[k].loss_background] == pytest.approx(want[k])
+
+
 # 6. Licences
 
 def test_license_cases(spark):
