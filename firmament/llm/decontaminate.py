@@ -7,10 +7,12 @@ match when its edit distance to the item (in words) is at most max_edit * item l
    in their first words need no embedding. Running sums over a whole slice decide it for every start.
 2. CGK embedding: a random walk over the window repeats each word zero or more times by random bits of (step, word), which
    maps edit distance to Hamming distance. The walk is made for all live starts at once, in numpy.
-3. Bit sampling: `repeats` times, `bits` random coordinates of the embedding (of its first 64 steps at most) form a key; a window whose key equals an item's is a
+3. Bit sampling: `repeats` times, `bits` random coordinates of the whole embedding form a key; a window whose key equals an item's is a
    candidate. Coordinates are read in step order and a start leaves as soon as no item agrees. Items are grouped by octave of length
-   so that walks fit the item's size. README gives the measured recall.
-4. Every candidate is verified by an exact banded edit distance.
+   so that walks fit the item's size.
+4. Anchors, exact: an item cut into one segment more than its edits has a segment that no match edits. The first words of every segment (8
+   at most) are looked up wherever a document's word pairs are all known, so what sampling misses is a candidate too, of any length.
+5. Every candidate is verified by an exact banded edit distance, from its start or to both sides of its anchor.
 
 Items are sent to the tasks in blocks of at most `block_words` words, each block one pass over the documents, so what is sent is
 bounded for any benchmark size. Items of fewer than `min_words` words are no evidence and match nothing; null texts hold nothing;
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from firmament.llm.common import mix, slices, table, words
+from firmament.llm.common import _PLACE, mix, slices, table, words
 from firmament.llm.registry import query
 
 GAP = np.ones(256, bool)
@@ -43,6 +45,16 @@ def pair_hashes(hashes: np.ndarray) -> np.ndarray:
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> tuple[int, int]:
     """(distance, words of b used): the item `a` against the best prefix of `b`; more than `most` edits count as most + 1."""
+    if most >= 12:
+        at = np.arange(len(b) + 1)
+        line = at
+        for x in a:
+            new = line + 1
+            new[1:] = np.minimum(new[1:], line[:-1] + (b != x))
+            line = np.minimum.accumulate(new - at) + at
+            if line.min() > most:
+                return most + 1, 0
+        return (int(line.min()), int(line.argmin())) if line.min() <= most else (most + 1, 0)
     a, b = a.tolist(), b.tolist()
     row = {j: j for j in range(min(most, len(b)) + 1)}
     for i, x in enumerate(a, 1):
@@ -68,9 +80,14 @@ class Octave:
     keys: list = field(default_factory=list)  # one (coordinates, levels, owners) a repeat
 
 
-def walk_bits(hashes: np.ndarray, repeat: int) -> np.ndarray:
-    """64 random bits of every word in one repeat: bit `step` tells whether a walk that stands on the word at that step moves on."""
-    return mix(hashes ^ mix(np.array([repeat * 977 + 13], np.uint64)))
+def moves_on(hashes: np.ndarray, repeat: int, step: int) -> np.ndarray:
+    """0 or 1, a random bit of (repeat, step, word): whether a walk that stands on the word at that step moves on."""
+    bits = mix(hashes ^ mix(np.array([repeat * 977 + 13 + (step // 64 << 32)], np.uint64)))
+    return ((bits >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64)
+
+
+def anchor_hashes(hashes: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    return mix(sum(hashes[at + k] * _PLACE[k] for k in range(length)))
 
 
 class Items:
@@ -83,21 +100,29 @@ class Items:
             o = Octave(size, [w for _, w in own], [i for i, _ in own], [int(max_edit * len(w)) for _, w in own])
             draw = np.random.default_rng(seed + size)
             for r in range(repeats):
-                steps = np.sort(draw.choice(min(64, 3 * size // 2), size=min(bits, 3 * size // 2), replace=False))
+                steps = np.sort(draw.choice(max(1, 3 * size // 2), size=min(bits, max(1, 3 * size // 2)), replace=False))
                 chain, level = [], np.zeros(len(own), np.uint64)
                 at, step = np.zeros(len(own), np.int64), 0
                 flat, sizes = np.concatenate(o.items), np.array([len(w) for w in o.items])
                 base = np.cumsum([0, *map(len, o.items[:-1])])
-                moves = walk_bits(flat, r)
                 for s in steps:
                     while step < s:
-                        at = np.minimum(at + ((moves[base + at] >> np.uint64(step)) & np.uint64(1)).astype(np.int64), sizes - 1)
+                        at = np.minimum(at + moves_on(flat[base + at], r, step), sizes - 1)
                         step += 1
                     level = mix(level * _PAIR + flat[base + at])
                     chain.append(np.unique(level))
                 order = np.argsort(level, kind="stable")
                 o.keys.append((steps, chain, level[order], order))
             self.octaves.append(o)
+        self.rows = [(i, w, int(max_edit * len(w))) for i, w in rows]
+        cut: dict[int, list[tuple[int, int, int]]] = {}
+        for k, (_, w, edits) in enumerate(self.rows):
+            ends = np.linspace(0, len(w), edits + 2).astype(int).tolist()
+            for a, b in zip(ends, ends[1:]):
+                length = min(b - a, 8)
+                cut.setdefault(length, []).append((int(anchor_hashes(w, np.array([a]), length)[0]), k, a))
+        #: length -> sorted hashes, and (item, place in the item) of each
+        self.anchors = {n: (np.array([h for h, *_ in x], np.uint64), [y[1:] for y in x]) for n, x in ((n, sorted(x)) for n, x in cut.items())}
         pairs = np.concatenate([pair_hashes(w) for _, w in rows]) if rows else np.zeros(0, np.uint64)
         self.pairs = np.unique(pairs)
         self.table = np.zeros(1 << 20, bool)
@@ -113,7 +138,7 @@ class Items:
     def find(self, hashes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item id, first word, words, edits) of the best window of every (row, item)."""
         n = len(hashes)
-        if n < 2 or not self.octaves:
+        if not n or not self.octaves:
             return
         row_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         known = self.known_pairs(hashes) & (row_of[1:] == row_of[:-1])
@@ -134,8 +159,7 @@ class Items:
                 at, last, level, who, step = live, end_of[live] - 1, np.zeros(len(live), np.uint64), live, 0
                 for s, allowed in zip(steps, chain):
                     while step < s:
-                        bits = walk_bits(hashes[at], r)
-                        at = np.minimum(at + ((bits >> np.uint64(step)) & np.uint64(1)).astype(np.int64), last)
+                        at = np.minimum(at + moves_on(hashes[at], r, step), last)
                         step += 1
                     level = mix(level * _PAIR + hashes[at])
                     ok = _within(allowed, level)
@@ -155,6 +179,35 @@ class Items:
                 key = int(row_of[w]), o.ids[k]
                 if d <= edits and (key not in best or d < best[key][0]):
                     best[key] = d, w, used
+        tried: set[tuple[int, int, int]] = set()
+        for length, (keys, owners) in self.anchors.items():
+            at = np.flatnonzero(sums[length - 1:] - sums[:max(0, len(sums) - length + 1)] == length - 1)
+            if not len(at):
+                continue
+            h = anchor_hashes(hashes, at, length)
+            lo, hi = np.searchsorted(keys, h), np.searchsorted(keys, h, "right")
+            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
+                row = int(row_of[p])
+                for k, place in owners[a:b]:
+                    i, item, edits = self.rows[k]
+                    if best.get((row, i), (1,))[0] == 0:
+                        continue
+                    # Anchors of one unedited run give one alignment.
+                    same = hashes[max(int(bounds[row]), p - place):p][::-1]
+                    same = np.flatnonzero(same != item[:place][::-1][:len(same)])
+                    run = k, p - place, place - int(same[0]) if len(same) else -1
+                    if run in tried:
+                        continue
+                    tried.add(run)
+                    before = hashes[max(int(bounds[row]), p - place - edits):p][::-1]
+                    after = hashes[p + length:min(p + len(item) - place + edits, int(bounds[row + 1]))]
+                    if np.isin(item, np.concatenate((before, item[place:place + length], after))).sum() < len(item) - edits:
+                        continue
+                    d, left = edit_distance(item[:place][::-1], before, edits)
+                    if d <= edits:
+                        e, right = edit_distance(item[place + length:], after, edits - d)
+                        if d + e <= edits and ((row, i) not in best or d + e < best[row, i][0]):
+                            best[row, i] = d + e, p - left, left + length + right
         for (row, item), (d, w, used) in best.items():
             yield row, item, w - int(bounds[row]), used, d
 

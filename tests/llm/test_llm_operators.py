@@ -510,6 +510,29 @@ def test_decontamination_recall_and_precision(spark):
     assert len(blocks & planted) >= 0.97 * len(planted)
 
 
+def test_decontamination_of_long_items_with_edits_anywhere(spark):
+    """Edits up to the bound at the head, in the middle, at the tail or spread out: all found, whatever the item's length."""
+    draw = random.Random(17)
+    items, rows, planted = [], [], set()
+    for k, size in enumerate([8, 14, 40, 60, 100, 120, 200, 300, 500]):
+        item = ["i%dx%d" % (k, draw.randrange(10**6)) for _ in range(size)]
+        items.append((k, " ".join(item)))
+        n = int(0.15 * size)
+        for where in (range(n), range(size // 2, size // 2 + n), range(size - n, size), draw.sample(range(size), n)):
+            w = list(item)
+            for at in sorted(where, reverse=True):
+                kind = draw.randrange(3)
+                w[at:at + (kind != 1)] = [] if kind == 2 else ["e%d" % draw.randrange(10**6)]
+            rest = ["o%d" % draw.randrange(10**6) for _ in range(60)]
+            planted.add((len(rows), k))
+            rows.append((len(rows), " ".join(rest[:30] + w + rest[30:]), None))
+    found = dc.find_items(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == planted
+    for r in found:
+        window = rows[r.doc_id][1].split()[r.first_word:r.first_word + r.n_words]
+        assert distance(items[r.item_id][1].split(), window)[-1] == r.edits
+
+
 def test_decontamination_cases(spark):
     item = "Alpha beta, gamma delta epsilon zeta eta theta iota kappa."
     rows = [(1, "x " + item.upper() + " y", None), (1, "x " + item.upper() + " y", None), (2, None, None), (3, "", None), (4, item[:30], None),
