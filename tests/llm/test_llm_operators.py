@@ -451,6 +451,17 @@ def test_html_cases(spark):
     assert hw.extract_text(pages.limit(0), hw.infer_wrappers(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("body", [
+    "<article><div class='entry-header'><h1>Head</h1></div><p>Text</p></article>", "<article><header class='entry-header'><h1>Head</h1></header><p>Text</p></article>",
+    "<div class='layout no-sidebar'><article><h1>Head</h1><p>Text</p></article></div>", "<main class='with-sidebar'><h1>Head</h1><p>Text</p></main>",
+    "<section class='legal'><article><h1>Head</h1><p>Text</p></article></section>", "<div id='search-results-page'><article><h1>Head</h1><p>Text</p></article></div>",
+    "<article class='post related-topic'><h1>Head</h1><p>Text</p></article>", "<div class='no-sidebar'><h1>Head</h1><p>Text</p></div>"])
+def test_class_words_around_the_content_drop_nothing(body):
+    assert [t for _, t, junk in hw.blocks(page(body)) if not junk] == ["Head", "Text"]
+    inner = body.replace("<p>", "<div class='sidebar'>Side</div><p>", 1)
+    assert [t for _, t, junk in hw.blocks(page(inner)) if junk] == ["Side"]
+
+
 def test_alignment_generalises():
     a = hw.start(hw.fold(["h", "p", "p", "f"]))
     b = hw.start(hw.fold(["h", "x", "p", "f"]))
