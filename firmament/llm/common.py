@@ -104,6 +104,20 @@ def words(column: pa.Array, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.nda
     return hashes, np.searchsorted(starts, offsets)
 
 
+def word_spans(column: pa.Array, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, word starts, word ends, word hashes, row bounds) of a string column, words unchanged; null counts as empty."""
+    raw, offsets = utf8(column)
+    n = len(raw)
+    inside = ~gap[raw]
+    first = np.zeros(n + 1, bool)
+    first[offsets] = True
+    starts = np.flatnonzero(inside & (~np.concatenate(([False], inside[:-1])) | first[:n]))
+    ends = np.flatnonzero(inside & (~np.concatenate((inside[1:], [False])) | first[1:])) + 1
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * _powers("up", _BASE, n)[:n], out=total[1:])
+    return raw, starts, ends, mix((total[ends] - total[starts]) * _powers("down", _INVERSE, n)[starts]), np.searchsorted(starts, offsets)
+
+
 _PLACE = mix(np.arange(11, 43, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -165,15 +179,15 @@ def _undelta(b: bytes) -> np.ndarray:
 
 def key_counts(src: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], columns: int,
                reduce: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str, text: int = 0,
-               held: int = 1 << 20, uniform_bits: int = 0) -> DataFrame:
+               held: int = 1 << 20, uniform_bits: int = 0, shards: int = 0) -> DataFrame:
     """Count 64-bit keys over a whole table.
 
     `keys_of` gives the keys of a few rows and their counts (keys x `columns`, uint32). Counts are merged within a task while they fit
     in `held` keys, then travel as sorted arrays, one row for each key range; `reduce` gets the distinct keys of one range with
     their totals and returns columns of `schema`. Ranges are of hashed keys, so a frequent key is no hot task, and their number follows
-    spark.sql.shuffle.partitions. `uniform_bits`: keys are themselves hashes of so many bits, so ranges may be of the keys.
+    spark.sql.shuffle.partitions unless `shards` says more. `uniform_bits`: keys are themselves hashes of so many bits, so ranges may be of the keys.
     """
-    shards = 4 * max(1, int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shards = max(shards, 4 * max(1, int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def pack(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         spread = keys >> np.uint64(uniform_bits - 32) if uniform_bits else mix(keys) >> np.uint64(32)
