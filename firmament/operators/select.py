@@ -222,7 +222,7 @@ def capped_fetch(cone: DataFrame, part: list[str], order: list, n: int | None =
 
 def fluxes_join(
     basic: DataFrame, fluxes: DataFrame, ident: DataFrame, frames: DataFrame, star_mag_max: float = 6.0,
-    curated_ids=tuple(NICKNAMES), limits: tuple[int | None, ...] = (None, None, None, None), zone_deg: float = 2.0,
+    curated_ids=tuple(NICKNAMES), limits: tuple[int | None, ...] = (None, None, None, None),
 ) -> DataFrame:
     """The four sub-queries of a catalogue cone (sized, bright, exciting, curated), merged in order, with proper names.
 
@@ -237,7 +237,7 @@ def fluxes_join(
         F.max(F.col("id").isin(*curated_ids)).alias("_cur"),
         F.min_by(F.when(F.col("id").like("NAME %"), F.trim(F.regexp_replace("id", r"^NAME\s+", ""))),
                  F.when(F.col("id").like("NAME %"), F.col("id_ord"))).alias("proper_name"))
-    rows = cone_search_join(frames, basic.join(fluxes, "oid", "left").join(by_id, "oid", "left"), zone_deg)
+    rows = cone_search_join(frames, basic.join(fluxes, "oid", "left").join(by_id, "oid", "left"))
     sub = [
         (F.col("size_major").isNotNull(), [F.desc("size_major"), "oid"]),
         (F.col("v_mag") < star_mag_max, ["v_mag", "oid"]),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmament.functions import geo
@@ -14,33 +14,61 @@ from firmament.session import cut_lineage, pin
 EPS = 1e-7
 
 
-def dec_zone(dec: Column, zone_deg: float) -> Column:
-    """Declination band of a point: the column to cluster a catalogue by."""
-    return F.floor((dec + 90.0) / zone_deg).cast("int")
+#: Side in degrees of a base cell. Depth k halves it k times; a base cell holds 4**k cells of depth k.
+BASE_DEG = 8.0
+DEEPEST = 8
 
 
-def _bands(zone: Column, zone_deg: float) -> Column:
-    """Number of right-ascension buckets of a declination band."""
-    mid = F.radians((zone + 0.5) * zone_deg - 90.0)
-    return F.greatest(F.lit(1), F.floor(F.cos(mid) * 360.0 / zone_deg)).cast("int")
+def _bands(zone: Column) -> Column:
+    """Number of right-ascension buckets of a base declination band."""
+    mid = F.radians((zone + 0.5) * BASE_DEG - 90.0)
+    return F.greatest(F.lit(1), F.floor(F.cos(mid) * 360.0 / BASE_DEG)).cast("int")
 
 
-def _with_cells(catalog: DataFrame, zone_deg: float) -> DataFrame:
-    out = catalog.withColumn("_zone", dec_zone(F.col("dec_deg"), zone_deg))
-    n = _bands(F.col("_zone"), zone_deg)
-    return out.withColumn(
-        "_ra", F.least(F.floor(F.pmod("ra_deg", F.lit(360.0)) / 360.0 * n), n - 1).cast("int")
-    )
+def _row(dec: Column, depth: Column | int) -> Column:
+    """Row of cells of a depth. Halving is exact, so a row's base band is its number shifted right by the depth."""
+    return F.floor((dec + 90.0) / BASE_DEG * F.pow(F.lit(2.0), depth)).cast("int")
+
+
+def _shifted(x: Column, depth: Column) -> Column:
+    return F.floor(x / F.pow(F.lit(2.0), depth)).cast("int")
+
+
+def _base_cell(row: Column, col: Column, depth: Column) -> Column:
+    return (_shifted(row, depth) * 1000 + _shifted(col, depth)).cast("int")
+
+
+def _cell(ra: Column, dec: Column, depth: Column | int) -> tuple[Column, Column]:
+    """(row, column) of a point among the cells of a depth; cells of all depths nest."""
+    depth = F.lit(depth) if isinstance(depth, int) else depth
+    row = _row(dec, depth)
+    n = _bands(_shifted(row, depth))
+    spread = F.pow(F.lit(2.0), depth)
+    col = F.floor(F.pmod(ra, F.lit(360.0)) / 360.0 * n * spread)
+    return row, F.when(ra.isNotNull(), F.least(col, n * spread - 1)).cast("int")  # a row without place lies in no cell
+
+
+def sky_cell(ra: Column, dec: Column) -> Column:
+    """Number of a point's base cell: the column to partition a stored catalogue by (at most about 650 values)."""
+    return _base_cell(*_cell(ra, dec, 0), F.lit(0))
+
 
+def _depth(radius: Column) -> Column:
+    """The deepest cells that are not smaller than a cone's radius."""
+    return F.least(F.lit(DEEPEST), F.greatest(F.lit(0), F.floor(F.log2(BASE_DEG / F.greatest(radius, F.lit(EPS)))))).cast("int")
 
-def _with_cone_cells(frames: DataFrame, radius: Column, zone_deg: float) -> DataFrame:
-    """One row per (frame, sky cell its cone touches)."""
-    f = frames.withColumn("_r", radius)
-    top = int(180.0 / zone_deg)
-    first = F.greatest(F.lit(0), dec_zone(F.col("dec0") - F.col("_r") - EPS, zone_deg))
-    last = F.least(F.lit(top), dec_zone(F.col("dec0") + F.col("_r") + EPS, zone_deg))
-    f = f.withColumn("_zone", F.explode(F.sequence(first, last)))
-    f = f.withColumn("_n", _bands(F.col("_zone"), zone_deg))
+
+def _with_cone_cells(frames: DataFrame, radius: Column) -> DataFrame:
+    """One row per (frame, cell its cone touches): _depth, _row, _col, _base.
+
+    The cells' depth follows the frame's radius, so any cone touches a handful.
+    """
+    f = frames.withColumn("_r", radius).withColumn("_depth", _depth(F.col("_r")))
+    last_row = _row(F.lit(90.0), F.col("_depth"))
+    first = F.greatest(F.lit(0), _row(F.col("dec0") - F.col("_r") - EPS, F.col("_depth")))
+    last = F.least(last_row, _row(F.col("dec0") + F.col("_r") + EPS, F.col("_depth")))
+    f = f.withColumn("_row", F.explode(F.sequence(first, last)))
+    f = f.withColumn("_n", (_bands(_shifted(F.col("_row"), F.col("_depth"))) * F.pow(F.lit(2.0), "_depth")).cast("int"))
     # Widest right-ascension half-angle of the cone; the whole circle when it holds a pole.
     half = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians("_r")) / F.cos(F.radians("dec0"))))) + EPS
     polar = F.abs("dec0") + F.col("_r") + EPS >= 90.0
@@ -51,33 +79,42 @@ def _with_cone_cells(frames: DataFrame, radius: Column, zone_deg: float) -> Data
     f = f.withColumn("_lo", F.when(everything, 0).otherwise(lo)).withColumn(
         "_hi", F.when(everything, F.col("_n") - 1).otherwise(hi)
     )
-    f = f.withColumn("_ra", F.explode(F.sequence("_lo", "_hi")))
-    return f.withColumn("_ra", F.pmod("_ra", F.col("_n")).cast("int")).drop("_n", "_lo", "_hi")
+    f = f.withColumn("_col", F.explode(F.sequence("_lo", "_hi")))
+    f = f.withColumn("_col", F.pmod("_col", F.col("_n")).cast("int")).drop("_n", "_lo", "_hi")
+    return f.withColumn("_base", _base_cell(F.col("_row"), F.col("_col"), F.col("_depth")))
+
+
+def _with_cells(catalog: DataFrame, depths: list[int]) -> DataFrame:
+    """A catalogue row in its cell of every depth that some frame looks at (at most nine)."""
+    out = catalog.withColumn("_depth", F.explode(F.array(*map(F.lit, depths)))) if len(depths) != 1 else catalog.withColumn("_depth", F.lit(depths[0]))
+    row, col = _cell(F.col("ra_deg"), F.col("dec_deg"), F.col("_depth"))
+    return out.withColumn("_row", row).withColumn("_col", col)
 
 
-def cone_search_join(
-    frames: DataFrame, catalog: DataFrame, zone_deg: float = 2.0, radius: Column | None = None
-) -> DataFrame:
+def cone_search_join(frames: DataFrame, catalog: DataFrame, radius: Column | None = None) -> DataFrame:
     """Every (frame, catalogue row) pair within the frame's field radius.
 
-    The distance predicate becomes an equi-join on (declination band, right-ascension
-    bucket) plus an exact filter, so both sides shuffle once and only rows of one cell
-    meet; hot cells are left to adaptive skew splitting.
+    The distance predicate becomes an equi-join on nested sky cells plus an exact filter: each frame chooses the cell size by its own radius,
+    both sides shuffle once and only rows of one cell meet; hot cells are left to adaptive skew splitting. A catalogue read by
+    `read_zoned_catalog` is first cut to the base cells that some cone touches, by dynamic pruning of its partitions: files of other
+    cells are not opened. The list of touched cells has a bounded size, whatever the number of frames.
     """
     radius = geo.field_radius_deg(geo.wcs_of()) if radius is None else radius
-    cones = _with_cone_cells(frames, radius, zone_deg)
-    joined = cones.join(_with_cells(catalog, zone_deg), ["_zone", "_ra"])
+    cones = _with_cone_cells(frames, radius)
+    depths = sorted(r[0] for r in frames.select(_depth(radius).alias("d")).where("d IS NOT NULL").distinct().collect())  # at most nine numbers
+    if "sky_cell" in catalog.columns:
+        touched = cones.where("_base >= 0").select(F.col("_base").alias("sky_cell")).distinct()
+        catalog = catalog.join(F.broadcast(touched), "sky_cell", "left_semi").drop("sky_cell")
+    joined = cones.drop("_base").join(_with_cells(catalog, depths or [0]), ["_depth", "_row", "_col"])
     sep = geo.ang_sep_deg(F.col("ra0"), F.col("dec0"), F.col("ra_deg"), F.col("dec_deg"))
     return (
-        pin(joined, sep_deg=sep).where(F.col("sep_deg") <= F.col("_r")).drop("_zone", "_ra", "_r")
+        pin(joined, sep_deg=sep).where(F.col("sep_deg") <= F.col("_r")).drop("_depth", "_row", "_col", "_r")
     )
 
 
-def in_frame_join(
-    frames: DataFrame, catalog: DataFrame, margin: float = 0.05, zone_deg: float = 2.0
-) -> DataFrame:
+def in_frame_join(frames: DataFrame, catalog: DataFrame, margin: float = 0.05) -> DataFrame:
     """Cone search, projection to pixels, and the in-frame test with a margin."""
-    cone = cone_search_join(frames, catalog, zone_deg)
+    cone = cone_search_join(frames, catalog)
     wcs = geo.wcs_of()
     xy = pin(cone, _xy=geo.world_to_pixel(wcs, F.col("ra_deg"), F.col("dec_deg")))
     xy = xy.withColumn("px", F.col("_xy.px")).withColumn("py", F.col("_xy.py")).drop("_xy")
@@ -85,13 +122,20 @@ def in_frame_join(
     return xy.where(geo.in_image(wcs, F.col("px"), F.col("py"), edge))
 
 
-def write_zoned_catalog(catalog: DataFrame, path: str, zone_deg: float = 2.0) -> None:
-    """Store a catalogue clustered by declination band, so cone scans prune to their bands."""
-    (
-        catalog.withColumn("dec_zone", dec_zone(F.col("dec_deg"), zone_deg))
-        .repartitionByRange("dec_zone", "ra_deg")
-        .write.mode("overwrite").partitionBy("dec_zone").parquet(path)
-    )
+def write_zoned_catalog(catalog: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store a catalogue by base cell of the sky, sorted by place within, so that cone searches open the cells they touch.
+
+    Rows are dealt by ranges of (cell, declination row, right ascension), so a crowded cell is written by several tasks as several files.
+    """
+    placed = catalog.withColumn("sky_cell", sky_cell(F.col("ra_deg"), F.col("dec_deg")))
+    place = ["sky_cell", _row(F.col("dec_deg"), DEEPEST), "ra_deg"]
+    placed.repartitionByRange(*place).sortWithinPartitions(*place).write.mode(mode).partitionBy("sky_cell").parquet(path)
+
+
+def read_zoned_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """A catalogue stored by `write_zoned_catalog`, with its sky_cell."""
+    stored = spark.read.parquet(path)
+    return stored.withColumn("sky_cell", F.col("sky_cell").cast("int"))
 
 
 def _cube(ra: Column, dec: Column, side: Column) -> list[Column]:

@@ -12,13 +12,13 @@ from firmament.session import cut_lineage, pin
 from firmament.sources.readers import union_sources
 
 
-def merged_candidates(frames: DataFrame, catalogs: list[DataFrame], zone_deg: float = 2.0) -> DataFrame:
+def merged_candidates(frames: DataFrame, catalogs: list[DataFrame]) -> DataFrame:
     """Everything catalogued in each frame's cone, duplicates merged within the frame.
 
     Catalogues are unioned before the cone join, so the sky is shuffled once.
     """
     sky = union_sources(*catalogs)
-    cone = spatial.cone_search_join(frames, sky, zone_deg)
+    cone = spatial.cone_search_join(frames, sky)
     curated = select.nickname_overlay(cone.withColumn("famous", F.lit(False)), key=("fid", "src_rank", "row_idx"))
     own = [c for c in sky.columns]
     rows = curated.withColumn("famous", F.col("curated")).select("fid", *[c for c in own if c not in ("fid", "famous")], "famous")

@@ -1,5 +1,7 @@
 """Cone search, gate, ranking and selection queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from firmament.dims import vocab as V
@@ -9,6 +11,7 @@ from firmament.operators import spatial
 from firmament.queries.kit import (
     BUBBLE_SQL, catalog, frames, gated, in_sql, query, rounded, s6, selected, sep_sql, view,
 )
+from firmament.session import shared_folder
 
 
 @query("cone_search_join", f"SELECT fid, obj_id, {s6('sep_deg')} AS sep_deg FROM q_cone")
@@ -16,6 +19,21 @@ def cone_search_join(spark, sf):
     return rounded(spatial.cone_search_join(frames(spark, sf), catalog(spark, sf)).select("fid", "obj_id", "sep_deg"))
 
 
+RADIUS = "CASE fid % 40 WHEN 0 THEN CAST(10 AS DOUBLE) WHEN 1 THEN CAST(3 AS DOUBLE) ELSE (fid % 8 + 1) * CAST(0.05 AS DOUBLE) END"
+
+
+@query("zoned_cone_search", f"""
+SELECT fid, obj_id, {s6('sep')} AS sep_deg
+FROM (SELECT fid, obj_id, {sep_sql('ra0', 'dec0', 'ra_deg', 'dec_deg')} AS sep, r FROM (SELECT *, {RADIUS} AS r FROM v_frames) f, v_cat c) WHERE sep <= r""")
+def zoned_cone_search(spark, sf):
+    """Cones from 3 arcminutes to 10 degrees against a catalogue stored by sky cell."""
+    path = f"{shared_folder(spark)}/zoned-{uuid.uuid4().hex}"
+    spatial.write_zoned_catalog(catalog(spark, sf).select("obj_id", "ra_deg", "dec_deg"), path)
+    f = frames(spark, sf).withColumn("r", F.expr(RADIUS))
+    found = spatial.cone_search_join(f, spatial.read_zoned_catalog(spark, path), radius=F.col("r"))
+    return rounded(found.select("fid", "obj_id", "sep_deg"))
+
+
 @query("in_frame_join", f"SELECT fid, obj_id, {s6('px')} AS px, {s6('py')} AS py FROM q_px")
 def in_frame_join(spark, sf):
     return rounded(spatial.in_frame_join(frames(spark, sf), catalog(spark, sf)).select("fid", "obj_id", "px", "py"))

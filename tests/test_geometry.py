@@ -63,6 +63,56 @@ def test_cone_plan_has_no_nested_loop(spark, sf):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "EvalPython" not in plan
 
 
+def test_stored_catalog_is_pruned_to_touched_cells(spark, tmp_path):
+    """Cones of 3 arcminutes and of 10 degrees in one search equal brute force, and files of other cells are not opened."""
+    rnd = random.Random(11)
+    cat = [dict(obj_id=i, ra_deg=rnd.choice([0.0, 359.999, rnd.uniform(0, 360)]), dec_deg=rnd.choice([90.0, -90.0, rnd.uniform(-90, 90)])) for i in range(3000)]
+    cat += [dict(obj_id=5000 + i, ra_deg=200.0 + rnd.uniform(-0.1, 0.1), dec_deg=33.0) for i in range(500)]
+    c = spark.createDataFrame(cat + [dict(obj_id=-1, ra_deg=None, dec_deg=1.0)])
+    path = str(tmp_path / "zoned")
+    spatial.write_zoned_catalog(c, path)
+    stored = spatial.read_zoned_catalog(spark, path)
+    rest = [(1, 200.0, 33.0, 0.05), (2, 200.05, 33.02, 10.0), (3, 0.0, 89.99, 0.05), (4, 359.99, 0.0, 10.0), (5, 10.0, -90.0, 8.0), (6, 90.0, 45.0, 0.0), (7, None, 3.0, 1.0)]
+    f = spark.createDataFrame(rest, "fid long, ra0 double, dec0 double, r double")
+    got = spatial.cone_search_join(f, stored, radius=F.col("r"))
+    pairs = f.crossJoin(c).where("ra0 IS NOT NULL AND ra_deg IS NOT NULL")
+    want = pairs.where(geo.ang_sep_deg(F.col("ra0"), F.col("dec0"), F.col("ra_deg"), F.col("dec_deg")) <= F.col("r")).select("fid", "obj_id")
+    assert sorted(map(tuple, got.select("fid", "obj_id").collect())) == sorted(map(tuple, want.collect()))
+
+    one = spatial.cone_search_join(f.where("fid = 1"), stored, radius=F.col("r"))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "sky_cell" in plan
+    assert one.count() >= 100
+    scans = [p for p in _plan_nodes(one) if p.nodeName().startswith("Scan parquet")]
+    opened = sum(int(p.metrics().apply("numFiles").value()) for p in scans)
+    assert 0 < opened < len(stored.inputFiles()) / 20
+
+
+def _plan_nodes(df):
+    """The executed plan of `df` after it ran, adaptive parts included."""
+    df.collect()
+    todo, out = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        else:
+            out.append(p)
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+    return out
+
+
+def test_cell_depth_follows_the_radius(spark):
+    f = spark.createDataFrame([(i, 200.0, dec, r) for i, (dec, r) in enumerate((d, r) for d in (0.0, 60.0, -85.0) for r in (0.01, 0.05, 0.4, 3.0, 10.0))],
+                              "fid long, ra0 double, dec0 double, r double")
+    cells = spatial._with_cone_cells(f, F.col("r")).groupBy("fid", "r").agg(F.count("*").alias("n"), F.max("_depth").alias("depth")).collect()
+    assert {round(c.r, 2): c.depth for c in cells} == {0.01: 8, 0.05: 7, 0.4: 4, 3.0: 1, 10.0: 0}
+    assert max(c.n for c in cells if c.r < 10) <= 40
+
+
 def test_graticule_labels(spark):
     g = graticule(frame(spark, A)).collect()
     assert {x.kind for x in g} == {"ra", "dec"}
