@@ -1,9 +1,8 @@
 """Image measurements over pixel tables.
 
-Two forms: a pixel table (fid, gx, gy, lum, ...) for whole-frame scans by windows and
-aggregates, and a raster row (fid, gw, gh, lum array in row order) for point sampling,
-where everything happens inside the frame's own row and nothing is shuffled. A raster is
-a coarse copy (at most 1024 x 1024 cells); reduce larger frames with downsample_pixels first.
+Two forms: a pixel table (fid, gx, gy, lum, ...), of any size, for whole-frame scans by windows and aggregates, and a raster row
+(fid, gw, gh, lum array in row order; a coarse copy of at most 1024 x 1024 cells). Points are sampled from the tiles of either
+form (`firmament.operators.tiles`); what needs one row a frame (comets) works inside that frame's own raster row.
 """
 
 from __future__ import annotations
@@ -16,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmament.functions import geo, kinds
+from firmament.operators.tiles import Pictures, background_levels, window_medians
+from firmament.session import cut_lineage
 
 MAX_CELLS = 1024 * 1024
 
@@ -86,17 +87,6 @@ def _as_list(values: np.ndarray) -> list:
     return [None if v != v else float(v) for v in values]
 
 
-def _window_medians(lum, gw, gh, width, height, xs, ys, win) -> list:
-    """7 x 7 window medians at many image points of one raster, vectorised."""
-    o = np.arange(-3, 4) * (win / 3.0)
-    x = np.asarray(xs, dtype=float)[:, None] + np.repeat(o, 7)[None, :]
-    y = np.asarray(ys, dtype=float)[:, None] + np.tile(o, 7)[None, :]
-    inside = (x >= 0) & (y >= 0) & (x < width) & (y < height)
-    gx = np.clip(np.floor(x / width * gw), 0, gw - 1).astype(int)
-    gy = np.clip(np.floor(y / height * gh), 0, gh - 1).astype(int)
-    return _as_list(_sorted_upper(np.where(inside, np.asarray(lum, dtype=float)[gy * gw + gx], np.nan)))
-
-
 def _cell_medians(lum, gw, gh, xs, ys) -> list:
     """3 x 3 cell medians at many grid cells of one raster, coordinates clamped."""
     gx = np.clip(np.asarray(xs, dtype=int)[:, None] + np.repeat([-1, 0, 1], 3)[None, :], 0, gw - 1)
@@ -104,16 +94,6 @@ def _cell_medians(lum, gw, gh, xs, ys) -> list:
     return _as_list(_sorted_upper(np.asarray(lum, dtype=float)[gy * gw + gx]))
 
 
-def local_medians(r: dict[str, Column], xs: Column, ys: Column, win: Column) -> Column:
-    """Array of window medians at arrays of points; one Arrow batch carries many frames."""
-    @F.pandas_udf("array<double>")
-    def run(lum: pd.Series, gw: pd.Series, gh: pd.Series, w: pd.Series, h: pd.Series, x: pd.Series, y: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([_window_medians(*row) if len(row[5]) else [] for row in zip(lum, gw, gh, w, h, x, y, n)])
-
-    # Marked so that the optimizer computes it once, in place, and never copies it into a lambda or a filter.
-    return run.asNondeterministic()(r["lum"], r["gw"], r["gh"], r["width"], r["height"], xs, ys, win)
-
-
 def cell_medians(r: dict[str, Column], xs: Column, ys: Column) -> Column:
     @F.pandas_udf("array<double>")
     def run(lum: pd.Series, gw: pd.Series, gh: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
@@ -123,9 +103,10 @@ def cell_medians(r: dict[str, Column], xs: Column, ys: Column) -> Column:
     return run.asNondeterministic()(r["lum"], r["gw"], r["gh"], xs, ys)
 
 
-def local_median(r: dict[str, Column], x: Column, y: Column, win: Column) -> Column:
-    """Upper median of 7 x 7 samples spaced a third of the window; NULL off the frame."""
-    return F.get(local_medians(r, F.array(x), F.array(y), win), F.lit(0))
+def local_median(points: DataFrame, pictures: Pictures, key: list[str], x: str = "px", y: str = "py", win: str = "win", out: str = "m") -> DataFrame:
+    """Adds `out`: the upper median of 7 x 7 samples spaced a third of the window; NULL where none is on the frame or the frame has no picture."""
+    here = F.array(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))
+    return window_medians(points.withColumn("_pts", here), pictures, key, win=win).withColumn(out, F.get("_m", F.lit(0))).drop("_pts", "_m")
 
 
 def vis_window(width: Column, height: Column, parts: float = 50.0) -> Column:
@@ -163,13 +144,12 @@ def glow_radius(points: Column, medians: Column, centre: Column, width: Column,
     return F.when(F.coalesce(centre > thr, F.lit(False)), F.coalesce(F.get(found, F.lit(0)), F.lit(0.0))).otherwise(0.0)
 
 
-def visible_radius(centres: DataFrame, x: str = "px", y: str = "py", max_r: str = "max_r", bg: str = "bg", win: str = "win") -> DataFrame:
-    """Adds `visible_r`: pixel radius of the glow around each point (raster columns alongside); 0 if none."""
-    r = raster_of()
-    d = centres.withColumn("_pts", ray_points(F.col(x), F.col(y), F.col(max_r)))
+def visible_radius(centres: DataFrame, pictures: Pictures, key: list[str], x: str = "px", y: str = "py", max_r: str = "max_r", bg: str = "bg",
+                   win: str = "win") -> DataFrame:
+    """Adds `visible_r`: pixel radius of the glow around each point; 0 if none. Centres carry width and height, and their frame's bg."""
     here = F.array(F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(0.0).alias("rad")))
-    d = d.withColumn("_pts", F.concat(here, F.col("_pts")))
-    d = d.withColumn("_m", local_medians(r, _fields(F.col("_pts"), "x"), _fields(F.col("_pts"), "y"), F.col(win)))
+    d = centres.withColumn("_pts", F.concat(here, ray_points(F.col(x), F.col(y), F.col(max_r))))
+    d = window_medians(d, pictures, key, win=win)
     out = glow_radius(F.slice("_pts", 2, 960), F.slice("_m", 2, 960), F.get("_m", F.lit(0)), F.col("width"), F.col("height"), F.col(bg) * 1.15)
     return d.withColumn("visible_r", out).drop("_pts", "_m")
 
@@ -195,11 +175,11 @@ def pick_rim(points: Column, medians: Column, width: Column, height: Column, win
     return F.get(best, F.lit(0))
 
 
-def brightest_rim(centres: DataFrame, avoid: Column, x: str = "px", y: str = "py", radius: str = "radius", win: str = "win") -> DataFrame:
-    """Adds `rim`: the brightest annulus point of each centre (raster columns alongside)."""
-    r = raster_of()
+def brightest_rim(centres: DataFrame, pictures: Pictures, avoid: Column, key: list[str], x: str = "px", y: str = "py", radius: str = "radius",
+                  win: str = "win") -> DataFrame:
+    """Adds `rim`: the brightest annulus point of each centre. Centres carry width and height."""
     d = centres.withColumn("_pts", rim_points(F.col(x), F.col(y), F.col(radius)))
-    d = d.withColumn("_m", local_medians(r, _fields(F.col("_pts"), "x"), _fields(F.col("_pts"), "y"), F.col(win)))
+    d = window_medians(d, pictures, key, win=win)
     return d.withColumn("rim", pick_rim(F.col("_pts"), F.col("_m"), F.col("width"), F.col("height"), F.col(win), avoid)).drop("_pts", "_m")
 
 
@@ -210,20 +190,18 @@ def rim_toward_centre(x: Column, y: Column, radius: Column, width: Column, heigh
                     geo.half_up(y + radius * F.when(m >= 1, dy / m).otherwise(-1.0)).alias("py"))
 
 
-def rim_fronts(objects: DataFrame, rasters: DataFrame) -> DataFrame:
-    """A bright rim per emission nebula of a frame: objects(fid, ord, id, category, px, py, size_major).
+def rim_fronts(objects: DataFrame, pictures: Pictures, frames: DataFrame) -> DataFrame:
+    """A bright rim per emission nebula of a frame: objects(fid, ord, id, category, px, py, size_major), frames(fid, scale_deg).
 
-    Nebulae of a frame choose in order, each steering clear of every marker placed before:
-    an ordered fold over the few objects a fact sheet lists. rasters add width, height, scale_deg.
+    Nebulae of a frame choose in order, each steering clear of every marker placed before: an ordered fold over the few objects a fact
+    sheet lists. Pictures are sampled twice, for the glow and for the rim, and never joined to the nebulae.
     """
     neb = (F.col("category") == "emission_nebula") & F.col("size_major").isNotNull()
-    n = objects.where(neb & F.col("px").isNotNull()).select("fid", F.col("ord").cast("long").alias("ord"), "id", "px", "py", "size_major").join(rasters, "fid")
-    r = raster_of()
-    n = n.withColumn("win", vis_window(F.col("width"), F.col("height"), 35.0)).withColumn("bg", background_level(r)).withColumn(
-        "max_r", geo.size_to_px(F.col("size_major"), F.col("scale_deg")))
-    n = visible_radius(n).where(F.col("visible_r") > F.col("win"))
-    n = n.withColumn("_pts", rim_points(F.col("px"), F.col("py"), F.col("visible_r")))
-    n = n.withColumn("_m", local_medians(r, _fields(F.col("_pts"), "x"), _fields(F.col("_pts"), "y"), F.col("win")))
+    n = objects.where(neb & F.col("px").isNotNull()).select("fid", F.col("ord").cast("long").alias("ord"), "id", "px", "py", "size_major")
+    n = n.join(pictures.grids.select("fid", "width", "height"), "fid").join(background_levels(pictures), "fid").join(frames.select("fid", "scale_deg"), "fid")
+    n = n.withColumn("win", vis_window(F.col("width"), F.col("height"), 35.0)).withColumn("max_r", geo.size_to_px(F.col("size_major"), F.col("scale_deg")))
+    n = cut_lineage(visible_radius(n, pictures, ["ord", "id"]).where(F.col("visible_r") > F.col("win")))
+    n = window_medians(n.withColumn("_pts", rim_points(F.col("px"), F.col("py"), F.col("visible_r"))), pictures, ["ord", "id"])
     per = n.groupBy("fid").agg(
         F.array_sort(F.collect_list(F.struct("ord", "id", "_pts", "_m"))).alias("_neb"),
         *[F.first(c).alias(c) for c in ("width", "height", "win", "bg")])

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmament.functions import geo
 from firmament.functions.names import is_exciting_star, is_wind_bubble
+from firmament.operators.tiles import fill_holes, label_regions
 
 
 def histogram_threshold(pixels: DataFrame, bins: int = 256, value: str = "lum") -> DataFrame:
@@ -40,61 +39,6 @@ def percentile_mask(pixels: DataFrame, p: float, footprint: DataFrame | None = N
     return out.join(footprint.select("fid", "gx", "gy"), ["fid", "gx", "gy"], "left_semi") if footprint is not None else out
 
 
-def _components(mask: np.ndarray) -> np.ndarray:
-    """4-connected component numbers of a small grid: union of row runs that touch."""
-    h, w = mask.shape
-    labels = np.zeros((h, w), dtype=np.int64)
-    parent = [0]
-
-    def find(a: int) -> int:
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        return a
-
-    for y in range(h):
-        row = np.flatnonzero(mask[y])
-        for run in np.split(row, np.flatnonzero(np.diff(row) > 1) + 1) if row.size else ():
-            parent.append(len(parent))
-            labels[y, run] = me = len(parent) - 1
-            if y:
-                for other in np.unique(labels[y - 1, run]):
-                    if other:
-                        a, b = find(me), find(int(other))
-                        parent[max(a, b)] = min(a, b)
-    roots = np.array([find(i) for i in range(len(parent))])
-    return roots[labels]
-
-
-def label_regions(mask: DataFrame, min_size: int = 1, fill_below: int = 0) -> DataFrame:
-    """(fid, gx, gy, label) of 4-connected regions of at least `min_size` cells.
-
-    Background components that do not touch the border and are smaller than `fill_below`
-    become part of the mask first. mask(fid, gx, gy, gw, gh) lists the set cells. One frame's
-    grid is one group: a raster of bounded size, spread over the cluster by frame.
-    """
-    def per_frame(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, h = int(pdf.gw.iloc[0]), int(pdf.gh.iloc[0])
-        grid = np.zeros((h, w), dtype=bool)
-        grid[pdf.gy.to_numpy(), pdf.gx.to_numpy()] = True
-        if fill_below:
-            holes = _components(~grid)
-            edge = np.unique(np.concatenate([holes[0], holes[-1], holes[:, 0], holes[:, -1]]))
-            ids, counts = np.unique(holes, return_counts=True)
-            grid |= np.isin(holes, ids[(ids > 0) & ~np.isin(ids, edge) & (counts < fill_below)])
-        lab = _components(grid)
-        # Number regions by their first cell in row order.
-        first = {}
-        for v in lab[lab > 0]:
-            first.setdefault(int(v), len(first) + 1)
-        ids, counts = np.unique(lab, return_counts=True)
-        keep = np.isin(lab, ids[(ids > 0) & (counts >= min_size)])
-        y, x = np.nonzero(keep)
-        return pd.DataFrame({"fid": pdf.fid.iloc[0], "gx": x, "gy": y, "label": [first[int(v)] for v in lab[y, x]]})
-
-    return mask.groupBy("fid").applyInPandas(per_frame, "fid long, gx int, gy int, label int")
-
-
 def region_moments(labels: DataFrame, area_min: int = 180, area_max: int = 9000) -> DataFrame:
     """Area, centroid, axes, elongation and orientation of each region of a fitting size."""
     m = labels.groupBy("fid", "label").agg(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from firmament.functions import geo, names
 from firmament.operators import annotate, atlas, factsheet, merge, select, spatial
 from firmament.operators import pixels as px
+from firmament.operators.tiles import Pictures, background_levels
 from firmament.session import cut_lineage, pin
 from firmament.sources.readers import union_sources
 
@@ -35,17 +36,9 @@ def gated_candidates(frames: DataFrame, merged: DataFrame) -> DataFrame:
 
 def with_brightness(gated: DataFrame, rasters: DataFrame) -> DataFrame:
     """Local median and background of each candidate, sampled from its frame's raster."""
-    sampled = gated.join(rasters.select("fid", "gw", "gh", "lum"), "fid", "left")
-    r = px.raster_of()
-    win = px.vis_window(F.col("width"), F.col("height"))
-    bg = F.when(F.col("lum").isNotNull(), px.background_level(r))
-    sampled = pin(sampled.withColumnRenamed("lum", "_lum").withColumn("lum", F.coalesce("_lum", F.array().cast("array<double>"))).withColumn(
-        "gw", F.coalesce("gw", F.lit(1))).withColumn("gh", F.coalesce("gh", F.lit(1))), background=bg, _win=win)
-    known = sampled.where(F.col("_lum").isNotNull())
-    unknown = sampled.where(F.col("_lum").isNull()).drop("lum", "_lum", "gw", "gh", "_win").withColumn("lum", F.lit(None).cast("double"))
-    known = known.withColumn("_m", px.local_median(r, F.col("px"), F.col("py"), F.col("_win")))
-    known = known.drop("lum", "_lum", "gw", "gh", "_win").withColumnRenamed("_m", "lum")
-    return known.unionByName(unknown)
+    pictures = Pictures.of_rasters(rasters.join(gated.select("fid", "width", "height").distinct(), "fid") if "width" not in rasters.columns else rasters)
+    told = gated.join(background_levels(pictures).withColumnRenamed("bg", "background"), "fid", "left").withColumn("_win", px.vis_window(F.col("width"), F.col("height")))
+    return px.local_median(told, pictures, ["src_rank", "row_idx"], win="_win", out="lum").drop("_win")
 
 
 def identify(

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from firmament.operators import pixels as P
 from firmament.operators import regions as RG
+from firmament.operators import tiles as T
 from firmament.queries.facts import objects
 from firmament.session import pin
 from firmament.queries.kit import define_view, half_up_sql, query, r6, rounded, s6, sep_sql, table, view
@@ -58,7 +59,9 @@ def background_level(spark, sf):
 
 @query("local_median", f"SELECT fid, {s6(lm('x', 'y', 90))} AS m FROM (SELECT *, {XY} FROM q_ras)")
 def local_median(spark, sf):
-    return rounded(rasters(spark, sf).select("fid", P.local_median(P.raster_of(), C("x"), C("y"), L(90.0)).alias("m")))
+    r = rasters(spark, sf)
+    d = P.local_median(r.select("fid", "x", "y", L(90.0).alias("win")), T.Pictures.of_rasters(r), ["x", "y"], "x", "y")
+    return rounded(d.select("fid", "m"))
 
 
 RAYS = f"""WITH b AS (SELECT *, {XY}, {BG} AS bg FROM q_ras), c AS (SELECT *, {lm('x', 'y', 90)} > bg * 1.15 AS lit FROM b),
@@ -73,17 +76,17 @@ r AS (SELECT fid, list_sort(list(edge) FILTER (edge > 0)) AS es FROM e GROUP BY
 
 @query("visible_radius", RAYS + f"SELECT fid, {s6('CASE WHEN lit AND len(es) >= 12 THEN es[CAST(floor(len(es) * 0.7) AS BIGINT) + 1] ELSE 0 END')} AS r FROM c JOIN r USING (fid)")
 def visible_radius(spark, sf):
-    d = rasters(spark, sf).withColumn("bg", P.background_level(P.raster_of()))
-    d = P.visible_radius(d.withColumn("max_r", L(400.0)).withColumn("win", L(90.0)), "x", "y")
+    r = rasters(spark, sf)
+    d = r.select("fid", "width", "height", "x", "y", P.background_level(P.raster_of()).alias("bg"), L(400.0).alias("max_r"), L(90.0).alias("win"))
+    d = P.visible_radius(d, T.Pictures.of_rasters(r), ["x", "y"], "x", "y")
     return rounded(d.select("fid", C("visible_r").alias("r")))
 
 
 @query("ray_runs", RAYS + "SELECT fid, k AS ray, max(CASE WHEN bright AND broken = 0 THEN i END) AS extent FROM g GROUP BY fid, k")
 def ray_runs(spark, sf):
-    d = rasters(spark, sf).withColumn("bg", P.background_level(P.raster_of()))
-    d = d.withColumn("pts", P.ray_points(C("x"), C("y"), L(400.0)))
-    med = P.local_medians(P.raster_of(), F.transform("pts", lambda p: p["x"]), F.transform("pts", lambda p: p["y"]), L(90.0))
-    s = d.select("fid", "bg", F.posexplode(med).alias("i", "m"))
+    r = rasters(spark, sf)
+    d = r.select("fid", P.background_level(P.raster_of()).alias("bg"), L(90.0).alias("win"), "x", P.ray_points(C("x"), C("y"), L(400.0)).alias("pts"))
+    s = T.window_medians(d, T.Pictures.of_rasters(r), ["x"], "pts").select("fid", "bg", F.posexplode("_m").alias("i", "m"))
     s = s.select("fid", F.floor(C("i") / 40).alias("ray"), (C("i") % 40 + 1).alias("step"), F.coalesce(C("m") > C("bg") * 1.15, L(False)).alias("bright"))
     return rounded(P.ray_runs(s, 4))
 
@@ -95,16 +98,87 @@ m AS (SELECT fid, o, px, py, {lm('px', 'py', 90)} AS lum FROM s WHERE px >= 0 AN
 SELECT fid, {half_up_sql('px')} AS px, {half_up_sql('py')} AS py, {s6('lum')} AS lum FROM m WHERE lum IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fid ORDER BY lum DESC, o) = 1""")
 def brightest_rim(spark, sf):
     avoid = F.array(F.struct(L(400.0).alias("x"), L(400.0).alias("y")))
-    d = P.brightest_rim(rasters(spark, sf).withColumn("radius", L(300.0)).withColumn("win", L(90.0)), avoid, "x", "y")
+    r = rasters(spark, sf)
+    d = r.select("fid", "width", "height", "x", "y", L(300.0).alias("radius"), L(90.0).alias("win"))
+    d = P.brightest_rim(d, T.Pictures.of_rasters(r), avoid, ["x", "y"], "x", "y")
     return rounded(d.where("rim IS NOT NULL").select("fid", "rim.px", "rim.py", "rim.lum"))
 
 
-@query("rim_fronts")
+FRACS_SQL = ", ".join(f"({j}, CAST({f} AS DOUBLE))" for j, f in enumerate(P.FRACS))
+CLEAR = "sqrt(power(p.px - {x}, 2) + power(p.py - {y}, 2)) >= 23 * 1.6"
+
+
+@query("rim_fronts", f"""
+WITH b AS (SELECT fid, a, ord, CAST((fid * 37 % 800 + 150 * ord) % 800 AS DOUBLE) AS x, CAST(fid * 53 % 800 AS DOUBLE) AS y, {BG} AS bg FROM q_ras, (VALUES (1), (2)) t(ord)),
+c AS (SELECT *, {lm('x', 'y', 23)} > bg * 1.15 AS lit FROM b),
+s AS (SELECT fid, ord, k, i, x + 5000.0 * i / 40.0 * cos(k / 24.0 * (2 * pi())) AS px, y + 5000.0 * i / 40.0 * sin(k / 24.0 * (2 * pi())) AS py, bg, a FROM c, (SELECT unnest(generate_series(0, 23)) AS k), (SELECT unnest(generate_series(1, 40)) AS i)),
+m AS (SELECT fid, ord, k, i, px < 0 OR py < 0 OR px >= 800 OR py >= 800 AS off, coalesce({lm('px', 'py', 23)} > bg * 1.15, FALSE) AS bright FROM s),
+o AS (SELECT *, max(CAST(off AS INTEGER)) OVER w AS gone, coalesce(max(CASE WHEN bright THEN i END) OVER w, 0) AS last FROM m WINDOW w AS (PARTITION BY fid, ord, k ORDER BY i ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, max(CAST(NOT bright AND i - last >= 4 AS INTEGER)) OVER (PARTITION BY fid, ord, k ORDER BY i ROWS UNBOUNDED PRECEDING) AS broken FROM o),
+e AS (SELECT fid, ord, k, max(CASE WHEN bright AND gone = 0 AND broken = 0 THEN 5000.0 * i / 40.0 END) AS edge FROM g GROUP BY fid, ord, k),
+r AS (SELECT fid, ord, list_sort(list(edge) FILTER (edge > 0)) AS es FROM e GROUP BY fid, ord),
+v AS (SELECT c.*, es[CAST(floor(len(es) * 0.7) AS BIGINT) + 1] AS vr FROM c JOIN r USING (fid, ord) WHERE lit AND len(es) >= 12),
+q AS (SELECT fid, ord, a, bg, k * 6 + j AS o, x + vr * fr * cos(k / 48.0 * (2 * pi())) AS px, y + vr * fr * sin(k / 48.0 * (2 * pi())) AS py
+ FROM v, (SELECT unnest(generate_series(0, 47)) AS k), (VALUES {FRACS_SQL}) t(j, fr) WHERE vr > 23),
+p AS (SELECT p.fid, p.ord, p.o, p.bg, p.px, p.py, {lm('p.px', 'p.py', 23)} AS lum FROM q p WHERE p.px >= 0 AND p.py >= 0 AND p.px < 800 AND p.py < 800
+ AND NOT EXISTS (SELECT 1 FROM b WHERE b.fid = p.fid AND NOT ({CLEAR.format(x='b.x', y='b.y')}))),
+one AS (SELECT fid, ord, bg, {half_up_sql('px')} AS hx, {half_up_sql('py')} AS hy, lum FROM (
+ SELECT * FROM p WHERE ord = 1 AND lum IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fid ORDER BY lum DESC, o) = 1) WHERE lum > bg * 1.25),
+two AS (SELECT fid, ord, bg, {half_up_sql('px')} AS hx, {half_up_sql('py')} AS hy, lum FROM (
+ SELECT p.* FROM p LEFT JOIN one USING (fid) WHERE p.ord = 2 AND p.lum IS NOT NULL AND (one.hx IS NULL OR {CLEAR.format(x='one.hx', y='one.hy')})
+ QUALIFY row_number() OVER (PARTITION BY p.fid ORDER BY p.lum DESC, p.o) = 1) WHERE lum > bg * 1.25),
+hits AS (SELECT * FROM one UNION ALL SELECT * FROM two)
+SELECT fid, concat('bcv', row_number() OVER (PARTITION BY fid ORDER BY ord)) AS id, concat('obj', ord) AS parent_object_id, 'ionization_front' AS feature_type,
+  {s6('hx')} AS px, {s6('hy')} AS py, {s6('lum')} AS lum,
+  {s6("greatest(0.3, " + half_up_sql("CASE WHEN bg <> 0 THEN least(0.7, lum / (bg * 2.0)) ELSE 0.5 END * 100.0") + " / 100.0)")} AS confidence, 'cv' AS detection_source FROM hits""")
 def rim_fronts(spark, sf):
     r = rasters(spark, sf)
     o = r.select("fid", F.explode(F.array(L(1).cast("long"), L(2).cast("long"))).alias("ord"), L("emission_nebula").alias("category"), "x", "y", L(6000.0).alias("size_major"))
     o = o.select("fid", "ord", F.concat(L("obj"), C("ord").cast("string")).alias("id"), "category", F.pmod(C("x") + 150 * C("ord"), L(800.0)).alias("px"), C("y").alias("py"), "size_major")
-    return rounded(P.rim_fronts(o, r.drop("x", "y")))
+    return rounded(P.rim_fronts(o, T.Pictures.of_rasters(r), r))
+
+
+# 64 vectors of 64 numbers make one frame of 64 x 64 cells (the last frame may have fewer rows).
+define_view("q_big", "SELECT vec_id // 64 AS fid, vec_id % 64 AS gy, i AS gx, (CAST(embedding[i + 1] AS DOUBLE) + 0.6) * 200 AS lum FROM embeddings, (SELECT unnest(generate_series(0, 63)) AS i)")
+BIG_SIDE = 1600.0
+
+
+def big_pictures(spark, sf, tile):
+    e = table(spark, sf, "embeddings").select(F.floor(C("vec_id") / 64).alias("fid"), (C("vec_id") % 64).cast("int").alias("gy"), F.posexplode("embedding").alias("gx", "v"))
+    cells = e.select("fid", "gx", "gy", ((C("v").cast("double") + 0.6) * 200).alias("lum"))
+    frames = cells.select("fid").distinct().select("fid", L(BIG_SIDE).alias("width"), L(BIG_SIDE).alias("height"))
+    return T.Pictures.of_pixels(cells, frames, tile)
+
+
+@query("tiled_medians", f"""
+WITH size AS (SELECT fid, max(gy) + 1 AS gh FROM q_big GROUP BY fid),
+pts AS (SELECT fid, n, gh, CAST((fid * 131 + n * 17) % 1700 AS DOUBLE) - 50 AS x, CAST((fid * 71 + n * 29) % 1700 AS DOUBLE) - 50 AS y, CAST(20 + n % 90 AS DOUBLE) AS win FROM size, (SELECT unnest(generate_series(0, 199)) AS n)),
+near AS (SELECT *, x + (o // 7 - 3) * (win / 3.0) AS sx, y + (o % 7 - 3) * (win / 3.0) AS sy FROM pts, (SELECT unnest(generate_series(0, 48)) AS o)),
+smp AS (SELECT p.fid, p.n, list_sort(list(b.lum)) AS v FROM near p JOIN q_big b ON b.fid = p.fid AND b.gx = floor(sx / {BIG_SIDE} * 64) AND b.gy = floor(sy / {BIG_SIDE} * gh)
+ WHERE sx >= 0 AND sy >= 0 AND sx < {BIG_SIDE} AND sy < {BIG_SIDE} GROUP BY p.fid, p.n)
+SELECT fid, n, {s6('v[CAST(floor(len(v) / 2.0) AS BIGINT) + 1]')} AS m FROM pts LEFT JOIN smp USING (fid, n)""")
+def tiled_medians(spark, sf):
+    """200 windows a frame of 64 x 64 cells, read from tiles of 16 x 16."""
+    pictures = big_pictures(spark, sf, 16)
+    n = C("n")
+    d = pictures.grids.select("fid", F.explode(F.sequence(L(0), L(199))).alias("n"))
+    d = d.select("fid", "n", ((C("fid") * 131 + n * 17) % 1700 - 50).cast("double").alias("px"), ((C("fid") * 71 + n * 29) % 1700 - 50).cast("double").alias("py"), (n % 90 + 20).cast("double").alias("win"))
+    return rounded(P.local_median(d, pictures, ["n"]).select("fid", "n", "m"))
+
+
+@query("tiled_labels", """
+WITH RECURSIVE cell AS (SELECT fid, gx, gy, gy * 64 + gx AS me FROM q_big WHERE lum > 150),
+grow(fid, gx, gy, root) AS (
+ SELECT fid, gx, gy, me FROM cell
+ UNION
+ SELECT c.fid, c.gx, c.gy, g.root FROM grow g JOIN cell c ON c.fid = g.fid AND abs(c.gx - g.gx) + abs(c.gy - g.gy) = 1 AND g.root < c.me),
+low AS (SELECT fid, gx, gy, min(root) AS root FROM grow GROUP BY ALL),
+num AS (SELECT fid, root, row_number() OVER (PARTITION BY fid ORDER BY root) AS label, n FROM (SELECT fid, root, count(*) AS n FROM low GROUP BY fid, root))
+SELECT fid, gx, gy, label FROM low JOIN num USING (fid, root) WHERE n >= 3""")
+def tiled_labels(spark, sf):
+    pictures = big_pictures(spark, sf, 16)
+    cells = pictures.pixels.where("lum > 150").join(pictures.grids.select("fid", L(64).alias("gw"), "gh"), "fid")
+    return rounded(RG.label_regions(cells, min_size=3, tile=16))
 
 
 @query("bright_centroid", f"""

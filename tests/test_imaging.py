@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from firmament.operators import pixels as P
 from firmament.operators import regions as RG
+from firmament.operators import tiles as T
 
 
 def comet_grid(kind):
@@ -56,9 +57,10 @@ def glow(spark, lit=True):
 
 def test_rim_front_lands_on_the_knot(spark):
     o = spark.createDataFrame([(1, 1, "obj1", "emission_nebula", 2000.0, 1500.0, 120.0)], "fid long, ord long, id string, category string, px double, py double, size_major double")
-    r = P.rim_fronts(o, glow(spark)).collect()
+    fronts = lambda r: P.rim_fronts(o, T.Pictures.of_rasters(r), r)
+    r = fronts(glow(spark)).collect()
     assert len(r) == 1 and abs(r[0].px - 2400) < 200 and abs(r[0].py - 1500) < 200
-    assert P.rim_fronts(o, glow(spark, False)).count() == 0
+    assert fronts(glow(spark, False)).count() == 0
 
 
 def test_holes_fill_and_small_regions_drop(spark):
