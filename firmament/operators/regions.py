@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from firmament.functions import geo
 from firmament.functions.names import is_exciting_star, is_wind_bubble
 from firmament.operators.tiles import fill_holes, label_regions
+from firmament.session import cut_lineage
+
+__all__ = ["fill_holes", "label_regions"]  # beside what is defined here
 
 
 def histogram_threshold(pixels: DataFrame, bins: int = 256, value: str = "lum") -> DataFrame:
@@ -32,9 +35,40 @@ def histogram_threshold(pixels: DataFrame, bins: int = 256, value: str = "lum")
     return best.select("fid", (F.col("mn") + at / F.col("sc")).alias("threshold"))
 
 
+def exact_percentile(pixels: DataFrame, p: float, value: str = "lum", bins: int = 256, few: int = 4096) -> DataFrame:
+    """(fid, cut): the interpolated percentile of each frame's values, exactly, whatever the frame's size.
+
+    Selection by counted histograms: a pass counts the values of the open range in equal bins and goes on with the bin that holds the
+    sought rank, between its least and largest value, until that bin holds one value or at most `few` of them, which are sorted.
+    So no more than `few` values of a frame meet in one place. Unknown and non-finite values do not count.
+    """
+    known = pixels.select("fid", F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND abs(v) < double('inf')")
+    rank = (F.col("n") - 1) * (p / 100.0)
+    state = known.groupBy("fid").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    state = cut_lineage(state.select("fid", "lo", "hi", F.col("n").alias("c"), F.floor(rank).alias("k"), F.floor(rank).alias("at"), (rank - F.floor(rank)).alias("part")))
+    wide = (F.col("lo") < F.col("hi")) & (F.col("c") > few)
+    while not (open_ := state.where(wide)).isEmpty():
+        # Halved, so that no range overflows.
+        bin_ = F.least(F.lit(bins - 1), F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins))
+        inside = known.join(open_.drop("c"), "fid").where("v BETWEEN lo AND hi")
+        counts = inside.groupBy("fid", "k", "at", "part", bin_.alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        upto = counts.withColumn("s", F.sum("c").over(Window.partitionBy("fid").orderBy("b")))
+        hit = upto.where((F.col("s") > F.col("k")) & (F.col("s") - F.col("c") <= F.col("k"))).withColumn("k", F.col("k") - F.col("s") + F.col("c"))
+        state = cut_lineage(hit.select(*state.columns).unionByName(state.where(~wide)))
+    single = state.where("lo = hi").select("fid", F.col("lo").alias("x"), "at", "part")
+    short = known.join(state.where("lo < hi"), "fid").where("v BETWEEN lo AND hi").groupBy("fid", "k", "at", "part").agg(F.array_sort(F.collect_list("v")).alias("s"))
+    found = single.unionByName(short.select("fid", F.get("s", F.col("k").cast("int")).alias("x"), "at", "part"))
+    # The value of the next rank: the same one if it is repeated, else the least above it.
+    above = known.join(found.select("fid", "x"), "fid").groupBy("fid").agg(
+        F.count_if(F.col("v") <= F.col("x")).alias("upto"), F.min(F.when(F.col("v") > F.col("x"), F.col("v"))).alias("next"))
+    after = F.when(F.col("upto") >= F.col("at") + 2, F.col("x")).otherwise(F.coalesce("next", "x"))
+    return found.join(above, "fid").select("fid", F.when(F.col("part") == 0, F.col("x")).otherwise(
+        (1 - F.col("part")) * F.col("x") + F.col("part") * after).alias("cut"))
+
+
 def percentile_mask(pixels: DataFrame, p: float, footprint: DataFrame | None = None, value: str = "lum") -> DataFrame:
     """Cells above the frame's exact interpolated percentile (and inside the footprint)."""
-    cut = pixels.groupBy("fid").agg(F.percentile(value, p / 100.0).alias("_cut"))
+    cut = exact_percentile(pixels, p, value).withColumnRenamed("cut", "_cut")
     out = pixels.join(cut, "fid").where(F.col(value) > F.col("_cut")).drop("_cut")
     return out.join(footprint.select("fid", "gx", "gy"), ["fid", "gx", "gy"], "left_semi") if footprint is not None else out
 

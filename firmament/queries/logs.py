@@ -1,5 +1,7 @@
 """Edit-log, streaming-twin, model I/O and contract queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from firmament.dims import vocab as V
@@ -7,8 +9,11 @@ from firmament.operators import contracts as CT
 from firmament.operators import edits as E
 from firmament.operators import frames as FR
 from firmament.operators import modelio as MI
-from firmament.queries.kit import case_sql, define_view, frames, in_sql, query, r6, rounded, s6, table, view
+from firmament.queries.kit import ORACLES, case_sql, define_view, frames, in_sql, query, r6, rounded, s6, table, view
+from firmament.session import shared_folder
+from firmament.sources import sinks as K
 from firmament.streaming import jobs as J
+from firmament.streaming.state import StateTable
 
 C = F.col
 L = F.lit
@@ -148,6 +153,37 @@ def review_stream(spark, sf):
     return J.review_batch(c).select("anno_id", "status", "reviewed_by")
 
 
+def halves(spark, d, path):
+    """The rows of `d` as files that arrive in two deliveries, the later half of the keys' versions first. Yields after each delivery."""
+    for half in (1, 0):
+        d.where(C("event_id") % 2 == half).repartition(2).write.mode("append").parquet(path)
+        yield spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("write_job_status", f"SELECT user_id AS job, max_by({case_sql('event_type', STATE)}, event_id) AS state, max(event_id) AS seq FROM events GROUP BY 1")
+def write_job_status(spark, sf):
+    """The stream runs, stops, is started again on new files, and its state table is read back."""
+    base = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", C("ts").cast("timestamp").alias("ts"))
+    st = F.create_map(*[L(x) for kv in STATE.items() for x in kv])
+    for stream in halves(spark, e, f"{base}/in"):
+        changes = stream.select(C("user_id").alias("job"), st[C("event_type")].alias("state"), C("event_id").alias("seq"), "ts")
+        J.write_job_status(changes, f"{base}/table", f"{base}/offsets", 16).awaitTermination()
+    return StateTable(spark, f"{base}/table", "job", 16).read().select("job", "state", "seq")
+
+
+@query("review_table", ORACLES["review_stream"])
+def review_table(spark, sf):
+    """As write_job_status, for the review state."""
+    base = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", C("ts").cast("timestamp").alias("ts"))
+    st = F.create_map(*[L(x) for kv in STATUSES.items() for x in kv])
+    for stream in halves(spark, e, f"{base}/in"):
+        c = stream.select((C("event_id") % 100).alias("anno_id"), C("event_id").alias("seq"), "ts", st[C("event_type")].alias("status"), F.concat(L("u"), C("user_id").cast("string")).alias("user"))
+        J.start_review(c, f"{base}/table", f"{base}/offsets", 16).awaitTermination()
+    return StateTable(spark, f"{base}/table", "anno_id", 16).read().select("anno_id", "status", "reviewed_by")
+
+
 # --- model input and output ----------------------------------------------------------------------
 
 
@@ -185,6 +221,15 @@ def build_prompts(spark, sf):
     return p.select("reading_id", lines.alias("lines"), F.contains("prompt", L("Tone and audience:\nkids")).alias("has_tone"))
 
 
+@query("write_prompts", "SELECT conv_id AS reading_id, string_agg(text, chr(10) ORDER BY turn) AS prompt FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations) GROUP BY 1")
+def write_prompts(spark, sf):
+    """Prompts written and read back."""
+    path = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    turns = table(spark, sf, "conversations").groupBy(C("conv_id").alias("reading_id")).agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", L("")).alias("text")))).alias("t"))
+    K.write_prompts(turns.select("reading_id", F.array_join(F.transform("t", lambda t: t["text"]), "\n").alias("prompt")), path)
+    return spark.read.parquet(path)
+
+
 @query("retry_prompts", "SELECT conv_id AS reading_id, min(turn) + 2 AS attempt FROM conversations GROUP BY 1 HAVING min(turn) + 1 < 3 AND conv_id % 2 = 0")
 def retry_prompts(spark, sf):
     c = table(spark, sf, "conversations").groupBy(C("conv_id").alias("reading_id")).agg((F.min("turn") + 1).alias("attempt"))
@@ -240,9 +285,12 @@ def validate_rows(spark, sf):
     return bad.select("obj_id", F.array_join("reasons", "|").alias("reasons")).unionByName(good.select("obj_id", L("").alias("reasons")))
 
 
-@query("roundtrip_check", "SELECT l_orderkey AS k FROM lineitem WHERE FALSE")
+@query("roundtrip_check", "SELECT l_orderkey AS k, l_linenumber AS n FROM lineitem WHERE l_linenumber = 1")
 def roundtrip_check(spark, sf):
-    return CT.roundtrip_check(table(spark, sf, "lineitem").select(C("l_orderkey").alias("k"), "l_quantity", "l_returnflag", F.array("l_tax", "l_discount").alias("a"))).select("k")
+    """Every order's first line carries a day that JSON cannot hold, so these rows, and no others, change."""
+    rows = table(spark, sf, "lineitem").select(C("l_orderkey").alias("k"), C("l_linenumber").alias("n"), "l_quantity", "l_returnflag", F.array("l_tax", "l_discount").alias("a"),
+                                               F.when(C("l_linenumber") == 1, F.to_timestamp(L("2020-01-01 00:00:00.123456"))).otherwise(F.to_timestamp(L("2020-01-01 00:00:00"))).alias("at"))
+    return CT.roundtrip_check(rows).select("k", "n")
 
 
 __all__ = ["r6"]

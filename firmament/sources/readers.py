@@ -219,10 +219,10 @@ def scan_wcsinfo(spark: SparkSession, path: str) -> DataFrame:
     return wcsinfo(files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
 
 
-def object_page(texts: DataFrame, text: str = "text", reach: int | None = 400) -> DataFrame:
+def object_page(texts: DataFrame, text: str = "text", reach: int | None = None) -> DataFrame:
     """Plain-text object page -> size_arcmin and distance_ly.
 
-    A distance counts within `reach` characters of the first mention of the word (the pages' section; None: to the page's end).
+    A distance is looked for from the first mention of the word to the page's end, or over `reach` characters if given.
     """
     size = F.regexp_extract(text, r"(?i)Angular size:\s*([\d.]+)", 1).try_cast("double")
     at = F.instr(F.lower(F.col(text)), "distance")

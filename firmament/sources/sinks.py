@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmament.operators import atlas as A
+from firmament.streaming.state import StateTable
 
 
 def documents(rows: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:
@@ -102,19 +103,17 @@ def write_draw_list(rows: DataFrame, path: str, mode: str = "overwrite") -> None
     rows.write.mode(mode).parquet(path)
 
 
-def write_atlas(spark: SparkSession, entries: DataFrame, path: str, bad: Column | None = None) -> None:
-    """Whole-store write: validate and stage beside the store, then swap the folder names (on a file system that renames folders).
+def write_atlas(spark: SparkSession, entries: DataFrame, path: str, bad: Column | None = None, key: str | None = None) -> int:
+    """Whole-store write as the next version of a state table; `read_atlas` gives the last one. Returns the version.
 
-    Nothing is replaced when a row breaks the contract (`bad` is true for it).
+    Rows are validated and written before the store's log points to them: nothing is replaced when a row breaks the contract (`bad` is true
+    for it) or the job ends half way, and at any moment some version can be read. `key` (the first column by default) spreads rows.
     """
-    staged = f"{path}.staging"
     if bad is not None:
         entries = entries.withColumn("_bad", F.assert_true(~F.coalesce(bad, F.lit(True)), "atlas row breaks its contract")).where(F.col("_bad").isNull()).drop("_bad")
-    entries.write.mode("overwrite").parquet(staged)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = hadoop(f"{path}.previous")
-    if fs.exists(hadoop(path)):
-        fs.delete(old, True)
-        fs.rename(hadoop(path), old)
-    fs.rename(hadoop(staged), hadoop(path))
+    return StateTable(spark, path, key or entries.columns[0], 16).replace(entries)
+
+
+def read_atlas(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last version of a store written by `write_atlas`; None where nothing was ever written."""
+    return StateTable(spark, path, "").read()

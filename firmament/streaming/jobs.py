@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from firmament.functions.names import normalize_id
+from firmament.operators.scans import running
 from firmament.operators.spatial import union_all
 from firmament.session import cut_lineage
+from firmament.streaming.state import StateTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -111,15 +113,18 @@ def start_job_status(events: DataFrame, path: str, checkpoint: str, watermark: s
     return _start(job_status(events, watermark), path, checkpoint)
 
 
-def write_job_status(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Latest status per job, kept as one versioned table folder per batch; the version before the last is deleted."""
+def latest_status(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """The last status of each job; of equal sequence numbers a final one counts."""
+    rows = batch.select("job", "state", "seq", "ts")
+    rows = rows if old is None else rows.unionByName(old.select("job", "state", "seq", "ts"))
+    final = F.when(F.col("state") == "running", 0).otherwise(1)
+    return rows.groupBy("job").agg(F.max(F.struct("seq", final.alias("o"), "state", "ts")).alias("s")).select("job", "s.state", "s.seq", "s.ts")
+
+
+def write_job_status(changes: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Latest status per job in a state table; read it with `StateTable(spark, path, "job").read()`."""
     def upsert(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = [spark.read.parquet(f"{path}/v{epoch - 1}")] if epoch > 0 else []
-        latest = union_all([batch.select("job", "state", "seq", "ts"), *old]).groupBy("job").agg(F.max(F.struct("seq", F.when(F.col("state") == "running", 0).otherwise(1).alias("o"), "state", "ts")).alias("s"))
-        latest.select("job", "s.state", "s.seq", "s.ts").write.mode("overwrite").parquet(f"{path}/v{epoch}")
-        stale = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{epoch - 2}")
-        stale.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(stale, True)
+        StateTable(batch.sparkSession, path, "job", buckets).apply(batch, epoch, latest_status)
 
     return changes.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -161,24 +166,37 @@ def optimistic_saves(saves: DataFrame) -> DataFrame:
 def optimistic_saves_batch(saves: DataFrame) -> DataFrame:
     """The same decisions in batch, without replaying a key's log in one task.
 
-    Accepted saves of a key carry revisions any, 1, 2, 3 ...: each round finds, for all keys at
-    once, the first save after the last accepted one that names the current revision.
+    If a save that names revision r is accepted, the next accepted one is the first later save that names r + 1: one backward scan gives every
+    save this pointer. Pointer doubling then marks the saves on the path from a key's first: after t rounds the first 2**t of
+    them, so rounds grow with the logarithm of the longest history. Scans split a key that holds any share of the rows.
     """
-    keyed = saves.withColumn("entry_key", normalize_id(F.col("entry_key").cast("string"))).select("entry_key", "seq", "rev")
-    last = cut_lineage(keyed.groupBy("entry_key").agg(F.min("seq").alias("seq")).withColumn("cur", F.lit(1).cast("long")))
-    accepted = [last]
+    keyed = saves.withColumn("entry_key", normalize_id(F.col("entry_key").cast("string"))).select(
+        "entry_key", F.col("seq").cast("long").alias("seq"), F.col("rev").cast("long").alias("rev"))
+    first = keyed.groupBy("entry_key").agg(F.min("seq").alias("seq")).withColumn("_first", F.lit(True))
+    named = keyed.join(first, ["entry_key", "seq"], "left")
+    # The first save is accepted whatever it names: it stands for revision 0, and nothing points to it.
+    named = cut_lineage(named.withColumn("_rev", F.when(F.col("_first"), F.lit(0).cast("long")).otherwise(F.col("rev"))))
+    none = F.lit(None).cast("long")
+    sought = named.select("entry_key", (F.col("_rev") + 1).alias("r"), "seq", none.alias("at"))
+    found = named.where("_first IS NULL").select("entry_key", F.col("rev").alias("r"), "seq", F.col("seq").alias("at"))
+    scanned = running(sought.unionByName(found), ["entry_key", "r"], "seq", F.col("at"), "min", "next", backward=True)
+    jump = cut_lineage(scanned.where("at IS NULL AND next IS NOT NULL").select("entry_key", "seq", "next").distinct())
+
+    reached = cut_lineage(first.select("entry_key", "seq"))
+    accepted = [reached]
     while True:
-        nxt = keyed.join(last.select("entry_key", F.col("seq").alias("_s"), "cur"), "entry_key").where((F.col("seq") > F.col("_s")) & (F.col("rev") == F.col("cur")))
-        last = cut_lineage(nxt.groupBy("entry_key", "cur").agg(F.min("seq").alias("seq")).select("entry_key", "seq", (F.col("cur") + 1).alias("cur")))
-        if last.isEmpty():
+        new = union_all(accepted).join(jump, ["entry_key", "seq"]).select("entry_key", F.col("next").alias("seq"))
+        new = cut_lineage(new)
+        if new.isEmpty():
             break
-        accepted.append(last)
-    ok = union_all(accepted)
-    # Revision in force at a save: one more accepted save each time, so a count of the ones up to it.
-    steps = ok.groupBy("entry_key").agg(F.array_sort(F.collect_list("seq")).alias("_acc"))
-    out = keyed.join(steps, "entry_key")
-    return out.select("entry_key", "seq", "rev", F.array_contains("_acc", F.col("seq")).alias("accepted"),
-                      F.size(F.filter("_acc", lambda s: s <= F.col("seq"))).cast("long").alias("new_rev"))
+        accepted.append(new)
+        onward = jump.select("entry_key", F.col("seq").alias("next"), F.col("next").alias("_far"))
+        jump = cut_lineage(jump.join(onward, ["entry_key", "next"]).select("entry_key", "seq", F.col("_far").alias("next")))
+    ok = union_all(accepted).withColumn("accepted", F.lit(True))
+    out = named.join(ok, ["entry_key", "seq"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    # An accepted save sets the revision; a rejected one finds the last that was set.
+    out = running(out, ["entry_key"], "seq", F.when(F.col("accepted"), F.col("_rev") + 1), "max", "new_rev")
+    return out.select("entry_key", "seq", "rev", "accepted", "new_rev")
 
 
 def start_optimistic_saves(saves: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -242,17 +260,19 @@ def review_batch(changes: DataFrame) -> DataFrame:
         F.max_by("user", approved).alias("reviewed_by"), F.max(approved).alias("approved_seq"))
 
 
-def start_review(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Review state as one versioned table folder per batch: earlier state joins as older changes."""
+def merge_review(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """Earlier state joins as older changes."""
+    state = review_batch(batch)
+    if old is None:
+        return state
+    return state.unionByName(old.select(*state.columns)).groupBy("anno_id").agg(
+        F.max_by("status", "seq").alias("status"), F.max("seq").alias("_s"), F.max_by("updated_at", "seq").alias("updated_at"),
+        F.max_by("reviewed_by", "approved_seq").alias("reviewed_by"), F.max("approved_seq").alias("approved_seq")).withColumnRenamed("_s", "seq")
+
+
+def start_review(changes: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Review state in a state table; read it with `StateTable(spark, path, "anno_id").read()`."""
     def apply(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        state = review_batch(batch)
-        if epoch > 0:
-            old = spark.read.parquet(f"{path}/v{epoch - 1}")
-            both = state.unionByName(old)
-            state = both.groupBy("anno_id").agg(
-                F.max_by("status", "seq").alias("status"), F.max("seq").alias("_s"), F.max_by("updated_at", "seq").alias("updated_at"),
-                F.max_by("reviewed_by", "approved_seq").alias("reviewed_by"), F.max("approved_seq").alias("approved_seq")).withColumnRenamed("_s", "seq")
-        state.write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        StateTable(batch.sparkSession, path, "anno_id", buckets).apply(batch, epoch, merge_review)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from firmament.operators import pixels as P
@@ -82,3 +83,19 @@ def test_illumination_prior(spark):
     anchors = spark.createDataFrame([(1, 0, 100.0, 0.0)], "fid long, anchor_ord int, ax double, ay double")
     assert sorted(r.rid for r in RG.illumination_prior(reg, anchors).select("rid").collect()) == [1, 3]
     assert F is not None
+
+
+@pytest.mark.parametrize("p", [0.0, 37.5, 100.0])
+def test_percentile_by_counting_is_exact(spark, p):
+    rng = np.random.default_rng(3)
+    frames = {1: rng.normal(size=5000), 2: np.round(rng.exponential(2, 4000)), 3: np.array([7.0]), 4: np.array([1.0, 2.0]), 5: 10.0 ** rng.uniform(-300, 300, 999), 6: np.full(50, 3.25),
+              7: np.array([-1.7e308, 1.7e308, 0.0])}
+    d = spark.createDataFrame(pd.DataFrame([(f, float(v)) for f, vs in frames.items() for v in vs], columns=["fid", "lum"]))
+    d = d.unionByName(spark.createDataFrame([(1, None), (2, float("nan")), (8, None)], "fid long, lum double"))
+    got = {r.fid: r.cut for r in RG.exact_percentile(d, p, few=1000).collect()}
+    assert set(got) == set(frames)
+    for f, vs in frames.items():
+        s = np.sort(vs)
+        k = (len(s) - 1) * (p / 100.0)
+        a, b = s[int(k)], s[min(int(k) + 1, len(s) - 1)]
+        assert got[f] == pytest.approx(a if k == int(k) else (1 - (k - int(k))) * a + (k - int(k)) * b, rel=1e-12)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from firmament.streaming import jobs as J
+from firmament.streaming.state import StateTable
 
 
 @pytest.fixture()
@@ -82,9 +83,8 @@ def test_review_stream_equals_batch(spark, run):
     ch = lambda d: d.select((F.col("event_id") % 50).alias("anno_id"), F.col("event_id").alias("seq"), "ts", F.when(F.col("event_type") == "click", "approved").otherwise("draft").alias("status"), F.col("user_id").cast("string").alias("user"))
     q = J.start_review(ch(stream()), f"{base}/r", f"{base}/rc")
     q.awaitTermination()
-    last = q.lastProgress["batchId"]
     cols = ("anno_id", "status", "reviewed_by", "seq")
-    assert rows(spark.read.parquet(f"{base}/r/v{last}").select(*cols)) == rows(J.review_batch(ch(batch)).select(*cols))
+    assert rows(StateTable(spark, f"{base}/r", "anno_id").read().select(*cols)) == rows(J.review_batch(ch(batch)).select(*cols))
 
 
 def test_solve_plan_stream(spark, run):
@@ -93,3 +93,91 @@ def test_solve_plan_stream(spark, run):
     solves.write.parquet(f"{base}/solves")
     J.start_solve_plan(stream().select(F.col("event_id").alias("hash")), f"{base}/solves", f"{base}/plan", f"{base}/pc").awaitTermination()
     assert rows(spark.read.parquet(f"{base}/plan").select("hash")) == rows(batch.where("event_id % 2 = 1").select("event_id"))
+
+
+def saves_by_hand(saves):
+    out, current = [], {}
+    for key, seq, rev in sorted(saves, key=lambda s: (s[0], s[1])):
+        ok = key not in current or rev == current[key]
+        if ok:
+            current[key] = current.get(key, 0) + 1
+        out.append((key, seq, rev, ok, current[key]))
+    return sorted(out)
+
+
+def test_long_histories_take_few_rounds(spark, monkeypatch):
+    """One key holds most rows and 5,000 accepted saves in a row; rounds follow the logarithm."""
+    import random
+
+    rnd = random.Random(6)
+    saves, rev = [("HOT", 0, 77)], 1
+    for seq in range(1, 15000):
+        if seq % 3 == 0:
+            saves.append(("HOT", seq, rev))
+            rev += 1
+        else:
+            saves.append(("HOT", seq, rnd.choice([0, rev - 1, rev + 1, 3])))
+    saves += [(f"K{rnd.randrange(40)}", 20000 + i, rnd.randrange(4)) for i in range(2000)] + [("ALONE", 5, 9)]
+    rounds, checkpoint = [], J.cut_lineage
+    monkeypatch.setattr(J, "cut_lineage", lambda d: (rounds.append(1), checkpoint(d))[1])
+    got = rows(J.optimistic_saves_batch(spark.createDataFrame(saves, "entry_key string, seq long, rev long").repartition(16)))
+    assert got == saves_by_hand(saves)
+    assert len(rounds) <= 3 + 2 * 14
+
+
+@pytest.mark.parametrize("how, backward", [("max", False), ("min", True), ("sum", False), ("sum", True)])
+def test_running_aggregates_over_a_hot_group(spark, how, backward):
+    import random
+
+    from firmament.operators.scans import running
+
+    rnd = random.Random(1)
+    data = [("hot" if rnd.random() < 0.7 else f"g{rnd.randrange(5)}", rnd.randrange(400), rnd.choice([None, rnd.randrange(1000)])) for _ in range(1500)]
+    found = running(spark.createDataFrame(data, "g string, o long, v long").repartition(8), ["g"], "o", F.col("v"), how, backward=backward).collect()
+    assert len(found) == len(data)
+    for r in found:
+        seen = [v for g, o, v in data if g == r.g and v is not None and (o >= r.o if backward else o <= r.o)]
+        assert r.running == ({"max": max, "min": min, "sum": sum}[how](seen) if seen else None)
+
+
+def test_state_table_survives_a_crash_between_any_two_steps(spark, run, monkeypatch):
+    base, _, _ = run
+    table = StateTable(spark, f"{base}/state", "job", 8)
+    assert table.read() is None and table.version() is None
+    batch = lambda pairs, seq: spark.createDataFrame([(j, s, seq) for j, s in pairs], "job long, state string, seq long").withColumn("ts", F.timestamp_seconds(F.col("seq")))
+    now = lambda: {r.job: r.state for r in table.read().collect()}
+    table.apply(batch([(j, "queued") for j in range(40)], 1), 0, J.latest_status)
+    before = now()
+    assert before == {j: "queued" for j in range(40)}
+    point = StateTable._point
+
+    def broken(self, version, folders):
+        raise RuntimeError("lost before the log was written")
+
+    monkeypatch.setattr(StateTable, "_point", broken)
+    with pytest.raises(RuntimeError):
+        table.apply(batch([(3, "running")], 2), 1, J.latest_status)
+    assert now() == before and table.version() == 0
+    monkeypatch.setattr(StateTable, "_point", point)
+    old = table.folders()
+    touched = table.apply(batch([(3, "running")], 2), 1, J.latest_status)
+    assert len(touched) == 1 and {b for b, f in table.folders().items() if f != old[b]} == set(touched)  # only the changed bucket is written
+    assert now() == before | {3: "running"}
+    assert table.apply(batch([(3, "failed")], 9), 1, J.latest_status) == []  # a repeated batch changes nothing
+    table.apply(batch([(3, "done"), (4, "done")], 3), 2, J.latest_status)
+    assert now() == before | {3: "done", 4: "done"}
+    table.vacuum(keep=1)
+    assert now() == before | {3: "done", 4: "done"}
+
+
+def test_job_table_after_a_restart(spark, run):
+    base, batch, _ = run
+    changes = lambda d: d.select(F.col("user_id").alias("job"), F.col("event_type").alias("state"), F.col("event_id").alias("seq"), "ts")
+    src = f"{base}/halves"
+    stream = lambda: changes(spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(src))
+    for half in (1, 0):  # later events first: older ones that arrive late change nothing
+        batch.where(F.col("event_id") % 2 == half).repartition(2).write.mode("append").parquet(src)
+        J.write_job_status(stream(), f"{base}/table", f"{base}/table-cp", 8).awaitTermination()
+    got = StateTable(spark, f"{base}/table", "job", 8).read().select("job", "state", "seq")
+    want = batch.groupBy(F.col("user_id").alias("job")).agg(F.max_by("event_type", "event_id").alias("state"), F.max("event_id").alias("seq"))
+    assert rows(got) == rows(want)
