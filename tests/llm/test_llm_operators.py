@@ -471,6 +471,38 @@ def test_alignment_generalises():
     assert hw.fold(["h", "p", "h", "p", "q"]) == [[["h", "p"], True], [["q"], False]]
 
 
+@pytest.mark.parametrize("fault", ["hidden block", "title attribute", "form around", "two makes", "constant first", "related work", "two layouts", "long page"])
+def test_one_page_empties_no_other(spark, fault):
+    """Ways in which one page, attribute or class word used to cost whole hosts their text."""
+    said = lambda i: f"Story number {i} tells of a day unlike any other, with its own words {i * 7}."
+    body = {i: f"<article><h1>Day {i}</h1><p>{said(i)}</p></article>" for i in range(9)}
+    want = {i: f"Day {i}\n{said(i)}" for i in range(9)}
+    if fault == "hidden block":
+        body[4] = body[4].replace("<p>", '<p style="display:none">secret</p><p>', 1)
+    elif fault == "title attribute":
+        body = {i: b.replace("<article>", '<article title="a hidden valley">') for i, b in body.items()}
+    elif fault == "form around":
+        body = {i: f"<form id=aspnetForm>{b}</form>" for i, b in body.items()}
+    elif fault == "two makes":
+        body = {i: b if i == 0 else b.replace("article>", "div>").replace("<div>", "<div class=post>", 1) for i, b in body.items()}
+    elif fault == "constant first":
+        body = {i: f"<div class=hero><b>Welcome to our site</b></div><div class=post><p>{said(i)}</p>{'<p>more ' + str(i) + '</p>' * (i % 2)}</div>" for i in body}
+        want = {i: said(i) + (f"\nmore {i}" if i % 2 else f"\nmore {i}") for i in body}
+    elif fault == "related work":
+        body = {i: b.replace("</article>", f"<section class=related-work><p>Others wrote {i}.</p></section><div class=related-posts>Next</div></article>") for i, b in body.items()}
+        want = {i: t + f"\nOthers wrote {i}." for i, t in want.items()}
+    elif fault == "two layouts":
+        body = {i: f"<div class={'post' if i < 6 else 'entry'}><p>{said(i)}</p></div>" for i in body}
+        want = {i: said(i) for i in body}
+    else:
+        body[3] = "<article>" + "".join(f"<p>part {k} of it</p>" for k in range(20000)) + "</article>"
+        want[3] = "\n".join(f"part {k} of it" for k in range(20000))
+    rows = [(i, f"http://h.example/{i}", f"<html><body><nav>Menu</nav>{b}<footer>Foot</footer></body></html>") for i, b in body.items()]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in hw.extract_text(pages, hw.infer_wrappers(pages)).collect()}
+    assert got == want
+
+
 # 10. Decontamination
 
 def distance(a, b):
