@@ -40,7 +40,11 @@ NONE = -np.inf
 
 
 class Pieces(dict):
-    """The vocabulary, and a bounded memory of words: word -> ids of its best segmentation as int32 bytes."""
+    """The vocabulary, and a bounded memory of words: word -> ids of its best segmentation as int32 bytes.
+
+    The memory has two generations of at most `room` words each; a full one becomes the older, and words met again come back from it. It
+    outlives a task, as the worker does.
+    """
 
     def __init__(self, path: str, room: int = 120_000):
         import sentencepiece
@@ -48,6 +52,7 @@ class Pieces(dict):
         super().__init__()
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.room, self.score, self.ids, self.scores = room, {}, {}, {}
+        self.older: dict[str, bytes] = {}
         self.raw: list[bytes] = []
         self.trie: dict = {}  # character -> node; None -> score of the piece that ends here
         for i in range(sp.vocab_size()):
@@ -111,6 +116,10 @@ class Pieces(dict):
         return list(chain.from_iterable(reversed(out)))
 
     def __missing__(self, word: str) -> bytes:
+        known = self.older.get(word)
+        if known is not None:
+            self[word] = known
+            return known
         _, back = self.forward(word, 0, len(word))
         ids = np.array(self.trace(word, back, 0, len(word)), np.int32).tobytes()
         if len(word) <= 20:
@@ -129,9 +138,11 @@ class Pieces(dict):
         """The ids of a text that starts with its space, as int32 bytes."""
         return b"".join(map(self.__getitem__, SEGMENT.findall(spaced)))
 
-    def tidy(self, room: int | None = None) -> None:
-        if len(self) + len(self.scores) > (self.room if room is None else room):
+    def tidy(self) -> None:
+        if len(self) > self.room:
+            self.older = dict(self)
             self.clear()
+        if len(self.scores) > self.room:
             self.scores.clear()
 
     def value(self, ids: list[int]) -> float:
@@ -263,7 +274,6 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
             ids = id_lists([vocabulary.encode(t) if len(t) > 1 else b"" for t in part.column(1).to_pylist()])
             vocabulary.tidy()
             yield pa.RecordBatch.from_arrays([part.column(0), ids], ["_row", "ids"])
-        vocabulary.tidy(0)  # the worker lives on
 
     size = F.length("_text")
     small = src.where(size <= chunk).mapInArrow(whole, plain)
@@ -281,7 +291,6 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
             made = [vocabulary.transfer(t, n).tobytes() for t, n in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
             vocabulary.tidy()
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.binary())], ["_rid", "_k", "_matrix"])
-        vocabulary.tidy(0)
 
     def states(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_k")
@@ -298,7 +307,6 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
             ids = [vocabulary.backtrace(*x) for x in zip(*(part.column(c).to_pylist() for c in (3, 4, 5, 6)))]
             vocabulary.tidy()
             yield pa.RecordBatch.from_arrays([*part.columns[:3], id_lists(ids)], ["_row", "_rid", "_k", "ids"])
-        vocabulary.tidy(0)
 
     found = parts.join(known, ["_rid", "_k"]).select("_row", "_rid", "_k", "_part", "_len", "_enter", "_leave").mapInArrow(
         traces, T.StructType([row, T.StructField("_rid", T.LongType()), T.StructField("_k", T.IntegerType()),
