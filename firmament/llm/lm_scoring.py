@@ -13,7 +13,8 @@ hot task, and what a task holds is a chunk or a range; ranges follow spark.sql.s
 `fit` and `score` are the small variant, for models that are to be kept and sent to other tables: words and bigrams under relative
 frequency floors become one unknown word and back off to P(w). The query does not use them.
 
-Target ids meet their texts in a join behind a bitmap filter, so only (nearly) target texts are shuffled. Null and empty texts
+Target ids meet their texts in a join behind a bitmap filter, so only (nearly) target texts are shuffled; they are then cut and counted once, for
+both models. Null and empty texts
 have no tokens and a null score. With no target rows the target model is uniform over the vocabulary. Repeated rows count
 and score each; a label repeated for a document counts once, and good only if all its labels are.
 """
@@ -216,23 +217,29 @@ class Chunk:
         return keys[order], counts[order], h, w, place, event, first
 
 
-def score_all(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", strength: float = 64.0,
-              held: int = 1 << 20) -> DataFrame:
+SCORED, TARGET, BOTH = 0, 1, 2  # rows of `docs` alone, of `target` alone, and rows of `docs` that are target documents
+
+
+def score_all(docs: DataFrame, target: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", strength: float = 64.0,
+              held: int = 1 << 20, target_col: str | None = None) -> DataFrame:
     """id, n_tokens, loss_target, loss_background (nats per token), loss_difference of every row, under whole models of both.
 
-    `target` holds the texts of the target documents, which `docs` holds too.
+    Target documents are the rows of `docs` whose `target_col` is true, which are cut and counted once for both models, or the texts of
+    `target`, which need not be among `docs`.
     """
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType
     kind = id_type.simpleString()
-    both = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).alias("corpus")).unionByName(
-        target.select(F.lit(None).cast(id_type).alias("id"), F.col(text_col).alias("text"), F.lit(1).alias("corpus")))
+    corpus = F.when(F.col(target_col), BOTH).otherwise(SCORED) if target_col else F.lit(SCORED)
+    both = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), corpus.alias("corpus"))
+    if target is not None:
+        both = both.unionByName(target.select(F.lit(None).cast(id_type).alias("id"), F.col(text_col).alias("text"), F.lit(TARGET).alias("corpus")))
     shards = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     def cut(corpus: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts)
         hashes, bounds = words(table.column("text").combine_chunks())
         n = np.diff(bounds)
         names, numbers = np.unique(hashes & ~np.uint64(1), return_inverse=True)
-        ids = table.column("id").combine_chunks() if not corpus else table.column("id").combine_chunks()[:0]
+        ids = table.column("id").combine_chunks() if corpus != TARGET else table.column("id").combine_chunks()[:0]
         return pa.RecordBatch.from_arrays([
             pa.array([uuid.uuid4().int >> 65]), pa.array([corpus], pa.int32()), pa.array([int(n.sum())]), pa.array([int((n > 0).sum())]),
             pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([_planes(n.astype(np.uint64))], pa.binary()),
@@ -246,8 +253,8 @@ def score_all(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_c
         return shard[at].tolist(), at.tolist(), [*at[1:].tolist(), len(keys)]
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, list] = {0: [], 1: []}
-        size = {0: 0, 1: 0}
+        waiting: dict[int, list] = {SCORED: [], TARGET: [], BOTH: []}
+        size = dict.fromkeys(waiting, 0)
         for part in slices(batches, text=1):
             for corpus in part.column(2).unique().to_pylist():
                 own = part.filter(pc.equal(part.column(2), corpus))
@@ -277,7 +284,7 @@ def score_all(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_c
     distinct = written.select("names").mapInArrow(word_ranges, "shard int, names binary").groupBy("shard").applyInArrow(
         distinct_words, "n long").agg(F.sum("n")).first()[0] or 0
     sums = {r.corpus: r for r in written.groupBy("corpus").agg(F.sum("n_words").alias("n"), F.sum("n_filled").alias("d")).collect()}
-    n_words, n_docs = (np.array([float(sums[c][k]) if c in sums else 0.0 for c in (1, 0)]) for k in ("n", "d"))
+    n_words, n_docs = (np.array([float(sum(sums[c][k] for c in own if c in sums)) for own in ((TARGET, BOTH), (SCORED, BOTH))]) for k in ("n", "d"))
     everything = n_words + n_docs + distinct + 3  # unknown, start and end are in the vocabulary, as in `fit`
 
     def chunk_of(row: dict) -> Chunk:
@@ -300,10 +307,11 @@ def score_all(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_c
         """The totals of a range for each chunk of documents, in the order of the chunk's keys."""
         rows = list(zip(*(group.column(c).to_pylist() for c in ("chunk", "corpus", "keys", "counts"))))
         keys = [_undelta(k) for *_, k, _ in rows]
-        counts = np.zeros((sum(map(len, keys)), 2), np.uint64)
-        counts[np.arange(len(counts)), np.repeat([1 - c for _, c, *_ in rows], [len(k) for k in keys])] = np.concatenate([_unplane(c, np.uint64) for *_, c in rows])
+        corpora = np.repeat([c for _, c, *_ in rows], [len(k) for k in keys])
+        said = np.concatenate([_unplane(c, np.uint64) for *_, c in rows])
+        counts = np.stack([np.where(corpora != SCORED, said, 0), np.where(corpora != TARGET, said, 0)], axis=1).astype(np.uint64)
         known, totals = merge_counts(np.concatenate(keys), counts)
-        wanted = [(c, k) for (c, corpus, *_), k in zip(rows, keys) if not corpus]
+        wanted = [(c, k) for (c, corpus, *_), k in zip(rows, keys) if corpus != TARGET]
         return pa.table({"chunk": pa.array([c for c, _ in wanted], pa.int64()), "shard": pa.array([group.column("shard")[0].as_py()] * len(wanted), pa.int32()),
                          "totals": pa.array([_planes(totals[np.searchsorted(known, k)].T.ravel()) for _, k in wanted], pa.binary())})
 
@@ -327,7 +335,7 @@ def score_all(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_c
         return pa.table([ids, pa.array(n), *(pa.array(x, mask=~filled) for x in (t, b, t - b))],
                         [id_col, "n_tokens", "loss_target", "loss_background", "loss_difference"])
 
-    bodies = written.where("corpus = 0").select("chunk", F.lit(-1).alias("shard"), F.lit(None).cast("binary").alias("totals"), "ids", "sizes", "names", "numbers")
+    bodies = written.where(F.col("corpus") != TARGET).select("chunk", F.lit(-1).alias("shard"), F.lit(None).cast("binary").alias("totals"), "ids", "sizes", "names", "numbers")
     replies = replies.select("chunk", "shard", "totals", F.lit(None).cast(f"array<{kind}>").alias("ids"),
                              *(F.lit(None).cast("binary").alias(c) for c in ("sizes", "names", "numbers")))
     return bodies.unionByName(replies).groupBy("chunk").applyInArrow(
@@ -344,9 +352,17 @@ def texts_of(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col:
     return near.where("_maybe").drop("_maybe").join(wanted.hint("merge"), id_col, "left_semi")
 
 
+def flagged(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", flag: str = "_target") -> DataFrame:
+    """id, text and whether the id is among `ids`. Texts that the bitmap rules out are not shuffled; as in `texts_of`, the rest is merged."""
+    wanted = ids.select(id_col).where(F.col(id_col).isNotNull()).distinct()
+    near = marked(docs.select(id_col, text_col), F.col(id_col), marks(wanted, F.col(id_col)))
+    out = near.where("not _maybe").select(id_col, text_col, F.lit(False).alias(flag))
+    told = near.where("_maybe").select(id_col, text_col).join(wanted.withColumn(flag, F.lit(True)).hint("merge"), id_col, "left")
+    return out.unionByName(told.select(id_col, text_col, F.coalesce(flag, F.lit(False)).alias(flag)))
+
+
 @query("op5_lm_scoring")
 def op5_lm_scoring(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("x")).where("q = 1 and coalesce(x, 0) = 0")
-    target = texts_of(docs, good).select("text")
-    return score_all(docs, target)
+    return score_all(flagged(docs, good), target_col="_target")

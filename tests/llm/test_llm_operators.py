@@ -306,6 +306,11 @@ def test_lm_whole_models_equal_counting_by_hand(spark, held):
         assert r.n_tokens == n and (r.loss_difference is None) == (n == 0)
         if n:
             assert [r.loss_target, r.loss_background] == pytest.approx(want[r.doc_id])
+    marked = lm.flagged(docs, docs.where("doc_id between 10 and 29 or doc_id is null").select("doc_id"))
+    once = {r.doc_id: r for r in lm.score_all(marked, held=held, target_col="_target").collect()}
+    assert len(once) == len(texts)
+    for r in got:
+        assert [once[r.doc_id].loss_target, once[r.doc_id].loss_background] == pytest.approx([r.loss_target, r.loss_background])
     assert lm.score_all(docs.limit(0), docs.limit(0)).count() == 0
     none = lm.score_all(docs, docs.limit(0)).where("doc_id = 5").first()
     assert none.loss_target == pytest.approx(np.log(len({w for t in texts for w in low(t).split()}) + 3))
