@@ -5,7 +5,7 @@ document's score is its per-token loss under the target model less that under th
 
 Counts cover every token of every document, and every word and every bigram keeps its counts, however rare and at any corpus size:
 P(w|h) = (c(h,w) + a P(w)) / (c(h) + a), with P(w) from add-one counts of words. No model is held or sent whole. `score_all` cuts the
-documents into chunks of about `held` words and writes each once, as numbers into its word list. A chunk sends the sorted hashed keys of its
+documents into chunks of some 1.5 `held` words and writes each once, as numbers into its word list. A chunk sends the sorted hashed keys of its
 distinct words and bigrams with their counts, by key range. Ranges are summed over the chunks and answer each chunk's keys with the
 totals of both corpora; a chunk then sums the log probabilities of its documents. A key travels once a chunk, so a frequent one is no
 hot task, and what a task holds is a chunk or a range; ranges follow spark.sql.shuffle.partitions.
@@ -260,7 +260,7 @@ def score_all(docs: DataFrame, target: DataFrame | None = None, id_col: str = "d
                 own = part.filter(pc.equal(part.column(2), corpus))
                 waiting[corpus].append(own)
                 size[corpus] += own.column(1).nbytes
-                if size[corpus] >= 6 * held:
+                if size[corpus] >= 9 * held:
                     yield cut(corpus, waiting[corpus])
                     waiting[corpus], size[corpus] = [], 0
         for corpus, parts in waiting.items():
