@@ -16,7 +16,7 @@ match when its edit distance to the item (in words) is at most max_edit * item l
 
 Items are sent to the tasks in blocks of at most `block_words` words, each block one pass over the documents, so what is sent is
 bounded for any benchmark size. Items of fewer than `min_words` words are no evidence and match nothing; null texts hold nothing;
-repeated items are one item with the least id; repeated rows match each. An empty table on either side gives no rows.
+items of equal words are one item with the least id, whatever block they fall in (`equal_items` lists them); repeated rows match each. An empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -218,11 +219,28 @@ def _within(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_keys[np.minimum(np.searchsorted(sorted_keys, x), len(sorted_keys) - 1)] == x
 
 
+def equal_items(items: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(item_id, same_as): for every item with id and text, the least id among the items of equal words, under which `find_items` reports them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text=1):
+            hashes, bounds = words(part.column(1), GAP)
+            digests = [blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:])]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary())], ["item_id", "digest"])
+
+    named = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
+    told = named.mapInArrow(run, "item_id long, digest binary").distinct()
+    return told.join(told.groupBy("digest").agg(F.min("item_id").alias("same_as")), "digest").select("item_id", "same_as")
+
+
 def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
                item_text: str = "text", max_edit: float = 0.15, min_words: int = 8, repeats: int = 20, bits: int = 3,
                block_words: int = 1 << 20, seed: int = 11) -> DataFrame:
-    """(id, item_id, first_word, n_words, edits) for every document and item that match; the window of fewest edits."""
+    """(id, item_id, first_word, n_words, edits) for every document and item that match; the window of fewest edits.
+
+    Items of equal words are sought once, under their least id; `equal_items` names the others.
+    """
     named = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text"))
+    named = named.join(equal_items(items, item_id, item_text).where("item_id = same_as").select(F.col("item_id").alias("item")), "item", "left_semi")
     # A word and its gap take two characters at least.
     total = named.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // 2 // block_words))

@@ -588,5 +588,8 @@ def test_decontamination_cases(spark):
     benchmark = spark.createDataFrame([(7, item), (6, item + " "), (8, None), (None, item)], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id, r.edits) for r in dc.find_items(docs_of(spark, rows), benchmark).collect())
     assert got == [(1, 6, 0), (1, 6, 0), (5, 6, 0), (6, 6, 0)]
+    small = sorted((r.doc_id, r.item_id, r.edits) for r in dc.find_items(docs_of(spark, rows), benchmark, block_words=4).collect())
+    assert small == got  # the least id also where equal items fall in different blocks
+    assert sorted(map(tuple, dc.equal_items(benchmark).collect())) == [(6, 6), (7, 6)]
     assert dc.find_items(docs_of(spark, rows).limit(0), benchmark).count() == 0
     assert dc.find_items(docs_of(spark, rows), benchmark.limit(0)).count() == 0
