@@ -2,8 +2,10 @@
 
 DataFrame functions only. Rules are (action, host, path prefix); a rule fits its host and all subdomains, and the longest fitting rule
 decides. Hosts linked from pages form a weighted graph (links of one host to another, counted before anything else). Trust
-is a personalised PageRank started at the hosts of allowed urls, in proportion to their share of allowed pages; distrust is one started at
-the hosts of blocked urls on the reversed graph: who links to blocked hosts is distrusted. A url without rule is blocked if its host's
+is a personalised PageRank started at the hosts of allowed urls, each with its share of allowed pages; distrust is one started at
+the hosts of blocked urls on the reversed graph: who links to blocked hosts is distrusted. Seeds keep these weights and are not scaled to a
+sum of one, so the two ranks compare host by host and hosts that no path joins to a host leave its verdict alone. What flows into a host
+without links ends there. A url without rule is blocked if its host's
 distrust exceeds `threshold` times its trust. Each iteration is a keyed join and a sum; ranks are checkpointed every few rounds.
 
 Null urls and urls without `://` have empty host and path, fit no rule, and are allowed. Null html has no links. Repeated rows are judged
@@ -54,11 +56,10 @@ def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, rank) of the hosts reached from `seeds` (host, weight) along `edges` (src, dst, n)."""
+    """(host, rank) of the hosts reached from `seeds` (host, weight) along `edges` (src, dst, n); linear in the weights."""
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     share = cut_lineage(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("p")))
-    total = seeds.agg(F.sum("weight")).first()[0] or 1.0  # one number
-    start = cut_lineage(seeds.select("host", (F.col("weight") / F.lit(total)).alias("seed")))
+    start = cut_lineage(seeds.select("host", F.col("weight").alias("seed")))
     rank = start.select("host", F.col("seed").alias("rank"))
     if share.isEmpty():
         return rank.select("host", ((1 - damping) * F.col("rank")).alias("rank"))
@@ -102,8 +103,7 @@ def _rank_sql(name: str, column: str, src: str, dst: str) -> str:
     """The iteration written out; the same sums in the same number of rounds."""
     first = f"""
     {name}_share AS MATERIALIZED (SELECT {src} AS src, {dst} AS dst, n / sum(n) OVER (PARTITION BY {src}) AS p FROM edges),
-    {name}_seed AS MATERIALIZED (SELECT host, {column} / pages / (SELECT sum({column} / pages) FROM hosts WHERE {column} > 0) AS seed
-        FROM hosts WHERE {column} > 0),
+    {name}_seed AS MATERIALIZED (SELECT host, {column} / pages AS seed FROM hosts WHERE {column} > 0),
     {name}_0 AS (SELECT host, seed AS rank FROM {name}_seed)"""
     steps = [f"""
     {name}_{k + 1} AS MATERIALIZED (SELECT host, sum(part) AS rank FROM (
