@@ -15,7 +15,8 @@ match when its edit distance to the item (in words) is at most max_edit * item l
 5. Every candidate is verified by an exact banded edit distance, from its start or to both sides of its anchor.
 
 Items are sent to the tasks in blocks of at most `block_words` words, each block one pass over the documents, so what is sent is
-bounded for any benchmark size. Items of fewer than `min_words` words are no evidence and match nothing; null texts hold nothing;
+bounded for any benchmark size. Items of up to six words allow no edit (at `max_edit` 0.15) and match where their words stand in a row. A caller
+for whom short items are no evidence sets `min_words`: items of fewer words then match nothing. Items without words match nothing; null texts hold nothing;
 items of equal words are one item with the least id, whatever block they fall in (`equal_items` lists them); repeated rows match each. An empty table on either side gives no rows.
 """
 
@@ -233,7 +234,7 @@ def equal_items(items: DataFrame, item_id: str = "item_id", item_text: str = "te
 
 
 def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
-               item_text: str = "text", max_edit: float = 0.15, min_words: int = 8, repeats: int = 20, bits: int = 3,
+               item_text: str = "text", max_edit: float = 0.15, min_words: int = 1, repeats: int = 20, bits: int = 3,
                block_words: int = 1 << 20, seed: int = 11) -> DataFrame:
     """(id, item_id, first_word, n_words, edits) for every document and item that match; the window of fewest edits.
 
@@ -254,7 +255,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         hashes, bounds = words(own.column("text").combine_chunks() if own.num_rows else pa.array([], pa.string()), GAP)
         unique: dict[bytes, tuple[int, np.ndarray]] = {}
         for i, a, b in sorted(zip(own.column("item").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()), key=lambda x: (x[0] is None, x[0] or 0)):
-            if b - a >= min_words and i is not None:
+            if b - a >= max(1, min_words) and i is not None:
                 unique.setdefault(hashes[a:b].tobytes(), (i, hashes[a:b]))
         prepared = Items(list(unique.values()), max_edit, repeats, bits, seed)
 
