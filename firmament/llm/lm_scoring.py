@@ -10,8 +10,8 @@ distinct words and bigrams with their counts, by key range. Ranges are summed ov
 totals of both corpora; a chunk then sums the log probabilities of its documents. A key travels once a chunk, so a frequent one is no
 hot task, and what a task holds is a chunk or a range; ranges follow spark.sql.shuffle.partitions.
 
-`fit` and `score` are the small variant, for models that are to be kept and sent to other tables: words and bigrams under relative
-frequency floors become one unknown word and back off to P(w). The query does not use them.
+A target document's own counts are taken out of the target model before it is scored (its chunk knows them), so it is judged, as any
+other document, by what the target documents beside it say; copies of it among them still count. The background model holds every document.
 
 Target ids meet their texts in a join behind a bitmap filter, so only (nearly) target texts are shuffled; they are then cut and counted once, for
 both models. Null and empty texts
@@ -31,148 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmament.llm.common import _deltas, _undelta, key_counts, marked, marks, merge_counts, mix, slices, table, words, write_table
+from firmament.llm.common import _deltas, _undelta, marked, marks, merge_counts, mix, slices, table, words, write_table
 from firmament.llm.registry import query
-from firmament.session import cut_lineage
 
-UNKNOWN, START, END = 0, 1, 2
 _PAIR = np.uint64(0xA24BAED4963EE407)
 _START, _END = (np.uint64(x) for x in (0x8D51C3A07F2E9B46, 0x3B9F60E7D214A5C8))  # stand for start and end in bigram keys
 
 
-@dataclass(frozen=True)
-class Models:
-    vocabulary: np.ndarray   # sorted word hashes; word k has id k + 3
-    pairs: np.ndarray        # sorted keys of the kept bigrams
-    pair_log: np.ndarray     # pairs x 2: log P(w|h) of target and background
-    word_log: np.ndarray     # ids x 2: log P(w)
-    rest_log: np.ndarray     # ids x 2: log of the share of P(w) after history h
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        return word_ids(self.vocabulary, hashes)
-
-
-def word_ids(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    if not len(vocabulary):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == hashes, at + 3, UNKNOWN)
-
-
-def _events(vocabulary: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(histories, words, row bounds) of every row that has words: start, its words, end."""
-    hashes, bounds = words(column)
-    ids = word_ids(vocabulary, hashes)
-    filled = np.flatnonzero(np.diff(bounds) > 0)
-    last = bounds[filled + 1]
-    out = np.insert(ids, last, END)
-    history = np.empty_like(out)
-    history[1:] = out[:-1]
-    n = np.diff(bounds)
-    sizes = np.where(n > 0, n + 1, 0)
-    ends = np.cumsum(sizes)
-    history[(ends - sizes)[filled]] = START
-    return history, out, np.concatenate(([0], ends))
-
-
-def fit(docs: DataFrame, target: DataFrame, text_col: str = "text", word_floor: float = 1e-5, pair_floor: float = 1e-6,
-        strength: float = 64.0) -> Models:
-    """Count both corpora. `target` holds the texts of the target documents, which `docs` holds too."""
-    both = docs.select(F.col(text_col).alias("text"), F.lit(0).alias("corpus")).unionByName(
-        target.select(F.col(text_col).alias("text"), F.lit(1).alias("corpus")))
-
-    def tally(keys: np.ndarray, corpus: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        counts = np.zeros((len(keys), 2), np.uint32)
-        counts[np.arange(len(keys)), corpus] = 1
-        return keys, counts
-
-    def word_keys(part: pa.RecordBatch):
-        hashes, bounds = words(part.column(0))
-        return tally(hashes, np.repeat(part.column(1).to_numpy(), np.diff(bounds)))
-
-    def all_words(keys: np.ndarray, counts: np.ndarray) -> dict:
-        return {"keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()),
-                "t": pa.array([int(counts[:, 1].sum())]), "b": pa.array([int(counts[:, 0].sum())])}
-
-    counted = cut_lineage(key_counts(both, word_keys, 2, all_words, "keys binary, counts binary, t long, b long"))
-    sums = counted.agg(F.sum("t").alias("t"), F.sum("b").alias("b")).first()
-    n_t, n_b = sums.t or 0, sums.b or 0
-    least = word_floor * n_b
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys, counts = np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint64).reshape(-1, 2)
-                top = counts[:, 0] >= least
-                yield pa.RecordBatch.from_arrays([pa.array(keys[top].view(np.int64)), pa.array(counts[top, 1].astype(np.int64)),
-                                                  pa.array(counts[top, 0].astype(np.int64))], ["word", "t", "b"])
-
-    known = counted.select("keys", "counts").mapInArrow(frequent, "word long, t long, b long").toArrow()  # at most 1 / word_floor rows
-    hashes = known.column("word").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    vocabulary = hashes[order]
-    size = len(vocabulary) + 3
-    word_counts = np.zeros((size, 2))
-    word_counts[3:, 0], word_counts[3:, 1] = known.column("t").to_numpy()[order], known.column("b").to_numpy()[order]
-    word_counts[UNKNOWN] = np.array([n_t, n_b]) - word_counts[3:].sum(axis=0)
-
-    def pair_keys(part: pa.RecordBatch):
-        history, word, bounds = _events(vocabulary, part.column(0))
-        return tally((history * size + word).astype(np.uint64), np.repeat(part.column(1).to_numpy(), np.diff(bounds)))
-
-    def frequent_pairs(keys: np.ndarray, counts: np.ndarray) -> dict:
-        top = (counts[:, 0] >= pair_floor * n_b) | (counts[:, 1] >= np.maximum(1, pair_floor * n_t))
-        start = keys // np.uint64(size) == START  # start histories are needed whole for the number of documents
-        t, b = (np.where(start, counts[:, c], 0).sum() for c in (1, 0))
-        return {"pair": pa.array(np.append(keys[top].view(np.int64), -1)), "t": pa.array(np.append(counts[top, 1], t).astype(np.int64)),
-                "b": pa.array(np.append(counts[top, 0], b).astype(np.int64))}
-
-    kept = key_counts(both, pair_keys, 2, frequent_pairs, "pair long, t long, b long").toArrow()  # at most 2 / pair_floor rows, one more a range
-    pair = kept.column("pair").to_numpy()
-    counts = np.stack([kept.column(c).to_numpy() for c in ("t", "b")], axis=1).astype(float)
-    word_counts[START] = word_counts[END] = counts[pair < 0].sum(axis=0)
-    counts, pair = counts[pair >= 0], pair[pair >= 0]
-    order = np.argsort(pair)
-    pair, counts = pair[order], counts[order]
-    predicted = word_counts.copy()
-    predicted[START] = 0
-    word_p = (predicted + 1) / (predicted + 1).sum(axis=0)
-    history = pair // size
-    explicit = np.stack([np.bincount(history, counts[:, c], size) for c in (0, 1)], axis=1)
-    whole = word_counts + strength
-    rest = np.maximum(whole - explicit, 1e-9)
-    pair_p = (counts + rest[history] * word_p[pair % size]) / whole[history]
-    return Models(vocabulary, pair, np.log(pair_p).astype(np.float32), np.log(word_p), np.log(rest / whole))
-
-
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, loss_target, loss_background (nats per token), loss_difference of every row."""
-    size = len(models.vocabulary) + 3
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text=1):
-            history, word, bounds = _events(models.vocabulary, part.column(1))
-            log = models.rest_log[history] + models.word_log[word]
-            if len(models.pairs) and len(word):
-                key = history * size + word
-                at = np.minimum(np.searchsorted(models.pairs, key), len(models.pairs) - 1)
-                hit = models.pairs[at] == key
-                log[hit] = models.pair_log[at[hit]]
-            n = np.diff(bounds)
-            filled = n > 0
-            loss = np.full((len(n), 2), np.nan)
-            if len(log):
-                loss[filled] = -np.add.reduceat(log, bounds[:-1][filled], axis=0) / n[filled][:, None]
-            t, b = loss[:, 0], loss[:, 1]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(np.maximum(n - 1, 0)), *(pa.array(x, mask=~filled) for x in (t, b, t - b))],
-                [id_col, "n_tokens", "loss_target", "loss_background", "loss_difference"])
-
-    src = docs.select(id_col, F.col(text_col).alias("_text"))
-    kind = src.schema[id_col].dataType.simpleString()
-    return src.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, loss_target double, loss_background double, loss_difference double")
-
-
 _CODEC = pa.Codec("zstd", compression_level=1)
 
 
@@ -225,7 +90,7 @@ def score_all(docs: DataFrame, target: DataFrame | None = None, id_col: str = "d
     """id, n_tokens, loss_target, loss_background (nats per token), loss_difference of every row, under whole models of both.
 
     Target documents are the rows of `docs` whose `target_col` is true, which are cut and counted once for both models, or the texts of
-    `target`, which need not be among `docs`.
+    `target`, which need not be among `docs`; only the former are scored without their own counts.
     """
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType
     kind = id_type.simpleString()
@@ -285,7 +150,7 @@ def score_all(docs: DataFrame, target: DataFrame | None = None, id_col: str = "d
         distinct_words, "n long").agg(F.sum("n")).first()[0] or 0
     sums = {r.corpus: r for r in written.groupBy("corpus").agg(F.sum("n_words").alias("n"), F.sum("n_filled").alias("d")).collect()}
     n_words, n_docs = (np.array([float(sum(sums[c][k] for c in own if c in sums)) for own in ((TARGET, BOTH), (SCORED, BOTH))]) for k in ("n", "d"))
-    everything = n_words + n_docs + distinct + 3  # unknown, start and end are in the vocabulary, as in `fit`
+    everything = n_words + n_docs + distinct + 3  # unknown, start and end are in the vocabulary
 
     def chunk_of(row: dict) -> Chunk:
         return Chunk(_undelta(row["names"]), _unplane(row["numbers"], np.uint32), _unplane(row["sizes"], np.uint64).astype(np.int64))
@@ -317,6 +182,18 @@ def score_all(docs: DataFrame, target: DataFrame | None = None, id_col: str = "d
 
     replies = asked.groupBy("shard").applyInArrow(answer, "chunk long, shard int, totals binary")
 
+    def without_own(chunk: Chunk, pairs: np.ndarray, said: np.ndarray, h: np.ndarray, w: np.ndarray, event: np.ndarray) -> np.ndarray:
+        """Log probabilities of events under the target model less what their own document counted in it."""
+        n = chunk.sizes[chunk.sizes > 0] + 1
+        doc = np.repeat(np.arange(len(n)), n)
+
+        def own(x: np.ndarray) -> np.ndarray:
+            _, at, times = np.unique(doc * (int(x.max()) + 1) + x, return_inverse=True, return_counts=True)
+            return times[at]
+
+        p = (said[w] - own(w) + 1) / (everything[0] - n[doc])
+        return np.log((pairs[event] - own(event) + strength * p) / (said[h] - own(h) + strength))
+
     def judge(group: pa.Table) -> pa.Table:
         group = group.sort_by("shard")
         chunk = chunk_of(group.select(["sizes", "names", "numbers"]).slice(0, 1).to_pylist()[0])
@@ -329,14 +206,17 @@ def score_all(docs: DataFrame, target: DataFrame | None = None, id_col: str = "d
         filled = n > 0
         loss = np.full((len(n), 2), np.nan)
         if filled.any():
-            loss[filled] = -np.add.reduceat(log[event], first, axis=0) / (n[filled] + 1)[:, None]
+            said_by_all = log[event]
+            if group.column("corpus")[0].as_py() == BOTH:
+                said_by_all[:, 0] = without_own(chunk, totals[len(chunk.names):, 0], said[:, 0], h[event], w[event], event)
+            loss[filled] = -np.add.reduceat(said_by_all, first, axis=0) / (n[filled] + 1)[:, None]
         t, b = loss[:, 0], loss[:, 1]
         ids = group.column("ids").combine_chunks().slice(0, 1).flatten()
         return pa.table([ids, pa.array(n), *(pa.array(x, mask=~filled) for x in (t, b, t - b))],
                         [id_col, "n_tokens", "loss_target", "loss_background", "loss_difference"])
 
-    bodies = written.where(F.col("corpus") != TARGET).select("chunk", F.lit(-1).alias("shard"), F.lit(None).cast("binary").alias("totals"), "ids", "sizes", "names", "numbers")
-    replies = replies.select("chunk", "shard", "totals", F.lit(None).cast(f"array<{kind}>").alias("ids"),
+    bodies = written.where(F.col("corpus") != TARGET).select("chunk", F.lit(-1).alias("shard"), F.lit(None).cast("binary").alias("totals"), "corpus", "ids", "sizes", "names", "numbers")
+    replies = replies.select("chunk", "shard", "totals", F.lit(None).cast("int").alias("corpus"), F.lit(None).cast(f"array<{kind}>").alias("ids"),
                              *(F.lit(None).cast("binary").alias(c) for c in ("sizes", "names", "numbers")))
     return bodies.unionByName(replies).groupBy("chunk").applyInArrow(
         judge, f"`{id_col}` {kind}, n_tokens long, loss_target double, loss_background double, loss_difference double")

@@ -4,6 +4,7 @@ import collections
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -240,54 +241,28 @@ def test_lm_scoring(spark):
     good = ["the cat sat on the mat"] * 20
     other = ["zz yy xx ww vv"] * 20
     rows = [(i, t, None) for i, t in enumerate(good + other + ["", None, "the cat sat", "zz yy xx", "never seen words"])]
-    docs = docs_of(spark, rows)
-    target = lm.texts_of(docs, docs.where("doc_id < 20").select("doc_id"))
-    assert target.count() == 20
-    models = lm.fit(docs, target, word_floor=1e-4, pair_floor=1e-4)
-    size = len(models.vocabulary) + 3
-    for h in range(size):  # every history's distribution sums to one
-        p = np.exp(models.rest_log[h])[None] * np.exp(models.word_log)
-        own = models.pairs // size == h
-        p[models.pairs[own] % size] = np.exp(models.pair_log[own])
-        assert p.sum(axis=0) == pytest.approx([1, 1], abs=1e-5)
-    got = {r.doc_id: r for r in lm.score(docs, models).collect()}
+    docs = docs_of(spark, rows).withColumns({c: F.lit("clash") for c in ("n_tokens", "loss_target", "chunk", "corpus", "_target")})
+    marked = lm.flagged(docs, docs.where("doc_id < 20").select("doc_id"))
+    assert marked.where("_target").count() == 20
+    got = {r.doc_id: r for r in lm.score_all(marked, target_col="_target").collect()}
     assert len(got) == len(rows) and got[42].loss_difference < 0 < got[43].loss_difference
     assert got[40].n_tokens == got[41].n_tokens == 0 and got[40].loss_difference is None
-    assert got[0].loss_difference == got[1].loss_difference
-    empty = lm.fit(docs.limit(0), docs.limit(0))
-    assert lm.score(docs, empty).count() == len(rows) and lm.score(docs.limit(0), models).count() == 0
+    assert got[0].loss_difference == got[1].loss_difference < 0
+    alone = {r.doc_id: r for r in lm.score_all(lm.flagged(docs, docs.where("doc_id = 44").select("doc_id")), target_col="_target").collect()}
+    assert alone[44].loss_target == pytest.approx(np.log(13 + 3))  # its own counts do not speak for it: 13 words, and nothing counted
 
 
-def test_lm_counts_equal_counting_by_hand(spark):
-    texts = ["a b a", "b b", "a b c d"]
-    docs = docs_of(spark, [(i, t, None) for i, t in enumerate(texts)])
-    m = lm.fit(docs, docs.where("doc_id = 0"), word_floor=1e-6, pair_floor=1e-9, strength=2.0)
-    hashes, _ = words(pa.array(["a b c d"]))
-    ids = dict(zip("abcd", m.ids(hashes).tolist()))
-    size = len(m.vocabulary) + 3
-    c = collections.Counter()
-    for t in texts:
-        w = [lm.START, *(ids[x] for x in t.split()), lm.END]
-        c.update(zip(w, w[1:]))
-    assert sorted(m.pairs.tolist()) == sorted(h * size + w for h, w in c)
-    n = collections.Counter(w for (_, w), k in c.items() for _ in range(k))
-    p_b = (n[ids["b"]] + 1) / (sum(n.values()) + size)
-    h = sum(k for (x, _), k in c.items() if x == ids["a"])
-    at = m.pairs.tolist().index(ids["a"] * size + ids["b"])
-    assert np.exp(m.pair_log[at, 1]) == pytest.approx((c[ids["a"], ids["b"]] + 2 * p_b) / (h + 2), rel=1e-4)
-
-
-def lm_by_hand(texts, good, strength=64.0):
-    """(loss_target, loss_background) of every text that has words, by counting everything."""
+def lm_by_hand(texts, good, strength=64.0, left_out=True):
+    """(loss_target, loss_background) of every text that has words, by counting everything; good texts without themselves in the first."""
     runs = [["<s>", *low(t).split(), "</s>"] for t in texts]
     vocabulary = {w for r in runs for w in r[1:-1]}
     out = [[] for _ in runs]
-    for own in ([runs[k] for k in good], runs):
-        own = [r for r in own if len(r) > 2]
-        pairs = collections.Counter(p for r in own for p in zip(r, r[1:]))
-        said, after = collections.Counter(w for r in own for w in r[1:]), collections.Counter(w for r in own for w in r[:-1])
-        whole = sum(said.values()) + len(vocabulary) + 3
+    for corpus in (list(good), range(len(runs))):
         for k, r in enumerate(runs):
+            own = [runs[j] for j in corpus if len(runs[j]) > 2 and not (left_out and len(corpus) < len(runs) and j == k)]
+            pairs = collections.Counter(p for r in own for p in zip(r, r[1:]))
+            said, after = collections.Counter(w for r in own for w in r[1:]), collections.Counter(w for r in own for w in r[:-1])
+            whole = sum(said.values()) + len(vocabulary) + 3
             p = [(pairs[h, w] + strength * (said[w] + 1) / whole) / (after[h] + strength) for h, w in zip(r, r[1:])]
             out[k].append(-sum(np.log(p)) / len(p))
     return out
@@ -299,7 +274,8 @@ def test_lm_whole_models_equal_counting_by_hand(spark, held):
     texts = [" ".join(draw.choice("aBcdefgh") * draw.randint(1, 3) for _ in range(draw.randint(1, 30))) for _ in range(60)] + [None, "", " \n"]
     docs = docs_of(spark, [(k, t, None) for k, t in enumerate(texts)] + [(0, texts[0], None)])
     got = lm.score_all(docs, docs.where("doc_id between 10 and 29"), held=held).collect()
-    want = lm_by_hand([t or "" for t in [*texts, texts[0]]], range(10, 30))
+    every = [t or "" for t in [*texts, texts[0]]]
+    want = lm_by_hand(every, range(10, 30), left_out=False)
     assert len(got) == len(texts) + 1 and sum(r.doc_id == 0 for r in got) == 2
     for r in got:
         n = len((texts[r.doc_id] or "").split())
@@ -309,8 +285,10 @@ def test_lm_whole_models_equal_counting_by_hand(spark, held):
     marked = lm.flagged(docs, docs.where("doc_id between 10 and 29 or doc_id is null").select("doc_id"))
     once = {r.doc_id: r for r in lm.score_all(marked, held=held, target_col="_target").collect()}
     assert len(once) == len(texts)
+    want = lm_by_hand(every, range(10, 30))
     for r in got:
-        assert [once[r.doc_id].loss_target, once[r.doc_id].loss_background] == pytest.approx([r.loss_target, r.loss_background])
+        if r.n_tokens:
+            assert [once[r.doc_id].loss_target, once[r.doc_id].loss_background] == pytest.approx(want[r.doc_id])
     assert lm.score_all(docs.limit(0), docs.limit(0)).count() == 0
     none = lm.score_all(docs, docs.limit(0)).where("doc_id = 5").first()
     assert none.loss_target == pytest.approx(np.log(len({w for t in texts for w in low(t).split()}) + 3))
@@ -371,6 +349,33 @@ def test_url_rules_and_link_graph(spark):
     assert len(uf.judge_urls(pages).collect()) == len(rows) and uf.judge_urls(pages.limit(0)).count() == 0
 
 
+def linked_pages():
+    """Hosts whose links cross: rows (page_id, url, html)."""
+    link = '<a href="http://{}/x">'
+    return [(1, "http://good.com/a", link.format("x.org") * 3), (2, "http://x.org/a", link.format("bad.net")), (3, "http://bad.net/es/", None),
+            (4, "http://y.org/a", link.format("bad.net") + link.format("good.com")), (5, "http://z.org/a", link.format("x.org")),
+            (6, "http://bad.net/de/", link.format("w.org")), (7, "http://w.org/", link.format("y.org")), (8, "http://good.com/b", link.format("z.org")),
+            (9, "http://q.org/", link.format("bad.net"))]
+
+
+def test_url_verdicts_do_not_depend_on_unrelated_hosts(spark):
+    schema = "page_id long, url string, html string"
+    alone = {r.page_id: r for r in uf.judge_urls(spark.createDataFrame(linked_pages(), schema)).collect()}
+    assert {r.verdict for r in alone.values() if r.rule is None} == {"allow", "block"}
+    apart = [(100 + k, f"http://s{k}.com/", None) for k in range(9)] + [(200 + k, f"http://t{k}.net/fr/", f'<a href="//s{k}.com/">') for k in range(4)]
+    more = {r.page_id: r for r in uf.judge_urls(spark.createDataFrame(linked_pages() + apart, schema)).collect()}
+    assert all((more[k].verdict, more[k].trust, more[k].distrust) == (r.verdict, r.trust, r.distrust) for k, r in alone.items())
+
+
+def test_url_sql_on_links_across_hosts(spark, tmp_path):
+    """The given pages hold no link to another host; here the check SQL itself meets edges."""
+    spark.createDataFrame(linked_pages(), "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in QUERIES["op7_url_filter"](spark, str(tmp_path)).collect())
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        assert sorted(con.execute(uf.SQL).fetchall()) == got
+
+
 def test_pagerank_equals_power_iteration(spark):
     edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 3)]
     got = {r.host: r["rank"] for r in uf.personalised_pagerank(spark.createDataFrame(edges, "src string, dst string, n long"),
@@ -593,3 +598,13 @@ def test_decontamination_cases(spark):
     assert sorted(map(tuple, dc.equal_items(benchmark).collect())) == [(6, 6), (7, 6)]
     assert dc.find_items(docs_of(spark, rows).limit(0), benchmark).count() == 0
     assert dc.find_items(docs_of(spark, rows), benchmark.limit(0)).count() == 0
+
+
+def test_decontamination_of_short_items(spark):
+    """Items of one word and more match exactly, in one place or many, across no border of documents."""
+    rows = [(1, "so the Answer is 42, they say", None), (2, "the answer is", None), (3, "42 is the answer", None), (4, "yes", None), (5, "", None), (6, "the answer is 42 " * 400, None)]
+    items = [(1, "the answer is 42"), (2, "yes"), (3, "?!"), (4, "answer is"), (5, ""), (6, "one two three four five six seven")]
+    benchmark, docs = spark.createDataFrame(items, "item_id long, text string"), docs_of(spark, [*rows, (7, "one two THREE five six seven", None)])
+    got = sorted((r.doc_id, r.item_id, r.n_words, r.edits) for r in dc.find_items(docs, benchmark).collect())
+    assert got == [(1, 1, 4, 0), (1, 4, 2, 0), (2, 4, 2, 0), (4, 2, 1, 0), (6, 1, 4, 0), (6, 4, 2, 0), (7, 6, 6, 1)]
+    assert dc.find_items(docs, benchmark, min_words=8).count() == 0
