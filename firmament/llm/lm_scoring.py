@@ -82,6 +82,7 @@ class Chunk:
         return keys[order], counts[order], h, w, place, event, first
 
 
+BLOCK = 1 << 17  # events of a chunk that are scored at a time; a longer document is one block
 SCORED, TARGET, BOTH = 0, 1, 2  # rows of `docs` alone, of `target` alone, and rows of `docs` that are target documents
 
 
@@ -182,17 +183,10 @@ def score_all(docs: DataFrame, target: DataFrame | None = None, id_col: str = "d
 
     replies = asked.groupBy("shard").applyInArrow(answer, "chunk long, shard int, totals binary")
 
-    def without_own(chunk: Chunk, pairs: np.ndarray, said: np.ndarray, h: np.ndarray, w: np.ndarray, event: np.ndarray) -> np.ndarray:
-        """Log probabilities of events under the target model less what their own document counted in it."""
-        n = chunk.sizes[chunk.sizes > 0] + 1
-        doc = np.repeat(np.arange(len(n)), n)
-
-        def own(x: np.ndarray) -> np.ndarray:
-            _, at, times = np.unique(doc * (int(x.max()) + 1) + x, return_inverse=True, return_counts=True)
-            return times[at]
-
-        p = (said[w] - own(w) + 1) / (everything[0] - n[doc])
-        return np.log((pairs[event] - own(event) + strength * p) / (said[h] - own(h) + strength))
+    def own(doc: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """How often each x is said in its document."""
+        _, at, times = np.unique(doc * (int(x.max()) + 1) + x, return_inverse=True, return_counts=True)
+        return times[at]
 
     def judge(group: pa.Table) -> pa.Table:
         group = group.sort_by("shard")
@@ -205,11 +199,18 @@ def score_all(docs: DataFrame, target: DataFrame | None = None, id_col: str = "d
         n = chunk.sizes
         filled = n > 0
         loss = np.full((len(n), 2), np.nan)
-        if filled.any():
-            said_by_all = log[event]
+        sizes, whole = n[filled] + 1, np.full((int(filled.sum()), 2), np.nan)
+        last = np.cumsum(sizes)
+        starts = np.flatnonzero(np.diff((last - 1) // BLOCK, prepend=-1))
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(sizes)]):  # a block of documents, so that what is held beside the chunk is small
+            e = event[first[i]:last[j - 1]]
+            said_here = log[e]
             if group.column("corpus")[0].as_py() == BOTH:
-                said_by_all[:, 0] = without_own(chunk, totals[len(chunk.names):, 0], said[:, 0], h[event], w[event], event)
-            loss[filled] = -np.add.reduceat(said_by_all, first, axis=0) / (n[filled] + 1)[:, None]
+                doc, hist, word = np.repeat(np.arange(j - i), sizes[i:j]), h[e], w[e]
+                p = (said[word, 0] - own(doc, word) + 1) / (everything[0] - sizes[i:j][doc])
+                said_here[:, 0] = np.log((totals[len(chunk.names) + e, 0] - own(doc, e) + strength * p) / (said[hist, 0] - own(doc, hist) + strength))
+            whole[i:j] = -np.add.reduceat(said_here, first[i:j] - first[i], axis=0) / sizes[i:j, None]
+        loss[filled] = whole
         t, b = loss[:, 0], loss[:, 1]
         ids = group.column("ids").combine_chunks().slice(0, 1).flatten()
         return pa.table([ids, pa.array(n), *(pa.array(x, mask=~filled) for x in (t, b, t - b))],
