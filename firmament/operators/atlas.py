@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from firmament.functions import geo, kinds
 from firmament.functions.names import annotation_name, normalize_id
+from firmament.operators.textindex import search_substring, write_substring_index
 from firmament.session import pin
 
 
@@ -178,19 +179,33 @@ def unclaimed_entries(entries: DataFrame, claimed: DataFrame) -> DataFrame:
     return entries.join(claimed.select("entry_ord").distinct(), "entry_ord", "left_anti")
 
 
-def search_targets(targets: DataFrame, text: str = "", status: str = "all") -> DataFrame:
-    """Case-insensitive substring over the names, plus a status filter."""
+def target_text() -> Column:
+    """What a search looks through: names, kinds and identities of a target."""
+    fields = [F.coalesce(c, F.lit("")) for c in ("designation", "name_en", "name_zh", "kind_en", "kind_zh", "primary_id")]
+    return F.concat_ws(" ", *fields, F.array_join("match", " "))
+
+
+def with_status(targets: DataFrame, status: str = "all") -> DataFrame:
     column = {"none": "annotations", "draft": "draft", "review": "in_review", "approved": "approved"}.get(status)
     if status == "none":
-        targets = targets.where(F.col("annotations") == 0)
-    elif column:
-        targets = targets.where(F.col(column) > 0)
-    needle = text.strip().lower()
-    if not needle:
-        return targets
-    fields = [F.coalesce(c, F.lit("")) for c in ("designation", "name_en", "name_zh", "kind_en", "kind_zh", "primary_id")]
-    hay = F.lower(F.concat_ws(" ", *fields, F.array_join("match", " ")))
-    return targets.where(F.contains(hay, F.lit(needle)))
+        return targets.where(F.col("annotations") == 0)
+    return targets.where(F.col(column) > 0) if column else targets
+
+
+def search_targets(targets: DataFrame, text: str = "", status: str = "all") -> DataFrame:
+    """Case-insensitive substring over the names, plus a status filter."""
+    targets, needle = with_status(targets, status), text.strip().lower()
+    return targets.where(F.contains(F.lower(target_text()), F.lit(needle))) if needle else targets
+
+
+def write_target_index(targets: DataFrame, path: str) -> None:
+    """Store the targets with a trigram index over what a search looks through."""
+    write_substring_index(targets, target_text(), path)
+
+
+def search_target_index(spark: SparkSession, path: str, text: str = "", status: str = "all") -> DataFrame:
+    """`search_targets` over stored targets: needles of three characters or more read the postings of their rarest grams, not the table."""
+    return with_status(search_substring(spark, path, text.strip()), status)
 
 
 def coverage_totals(targets: DataFrame) -> DataFrame:

@@ -1,11 +1,16 @@
 """Annotation-atlas queries."""
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmament.dims import vocab as V
 from firmament.operators import atlas as A
 from firmament.queries.geometry import p2w_sql
 from firmament.queries.kit import case_sql, catalog, define_view, frames, half_up_sql, query, rounded, s6, table, view
+from firmament.session import shared_folder
 
 C = F.col
 L = F.lit
@@ -154,6 +159,8 @@ def seeds(spark, sf):
                     F.array(L("pillar")).alias("features"), L("").alias("note_en"), L("").alias("note_zh"))
 
 
+# Needle and what is asked of a target beside it.
+NEEDLES = {"ngc1": "approved > 0", "0007": "annotations >= 0", "neb": "annotations > 0", "c2": "annotations > 0", "星云": "annotations > 0"}
 ENT = "(SELECT entry_ord, primary_id, any_value(alias) AS alias, count(*) AS annotations, count_if(status = 'draft') AS draft, count_if(status = 'approved') AS approved FROM v_registry GROUP BY entry_ord, primary_id)"
 TARGETS = f"""WITH e AS {ENT}, s AS (SELECT s.*, e.* FROM supplier s LEFT JOIN e ON e.primary_id = concat('NGC', s_suppkey * 8)),
 t AS (SELECT CAST(s_suppkey AS VARCHAR) AS key, s_name AS designation, TRUE AS seed, primary_id, coalesce(annotations, 0) AS annotations, coalesce(approved, 0) AS approved, concat_ws(' ', s_name, s_name, s_name, 'Nebula', '星云', coalesce(primary_id, ''), concat('ngc ', s_suppkey * 8), s_name) AS hay FROM s
@@ -178,6 +185,16 @@ def search_targets(spark, sf):
     return A.search_targets(A.seed_target_list(seeds(spark, sf), entries(spark, sf)), " NGC1", "approved").select("key")
 
 
+@query("search_target_index", " UNION ALL ".join(f"SELECT '{n}' AS needle, key FROM ({TARGETS} SELECT key FROM t WHERE contains(lower(hay), '{n}') AND {asked})" for n, asked in NEEDLES.items()))
+def search_target_index(spark, sf):
+    """Stored targets, searched by needles that are rare, frequent, too short for a gram, and of another script."""
+    path = f"{shared_folder(spark)}/targets-{uuid.uuid4().hex}"
+    A.write_target_index(A.seed_target_list(seeds(spark, sf), entries(spark, sf)), path)
+    return reduce(DataFrame.unionByName, [
+        A.search_target_index(spark, path, f" {n.upper()}", "approved" if asked.startswith("approved") else "all").where(asked).select(L(n).alias("needle"), "key")
+        for n, asked in NEEDLES.items()])
+
+
 @query("coverage_totals", TARGETS + "SELECT count_if(annotations > 0) AS covered, count(*) AS total FROM t")
 def coverage_totals(spark, sf):
     return A.coverage_totals(A.seed_target_list(seeds(spark, sf), entries(spark, sf)))
