@@ -10,8 +10,10 @@ the cluster. A chunk, with a look-ahead of one piece, yields a transfer matrix:
 from i characters past its start to j past its end. Matrices combine associatively under (max, +) in a doubling scan per document,
 which fixes the state at every chunk boundary; then each chunk is backtraced on its own. Only slim matrices are gathered per document.
 
-Null and empty texts have no tokens and decode to the empty text. Equal scores take the longer earlier piece. Repeated rows are
-encoded each; only the text and the columns asked for are read.
+Null and empty texts have no tokens and decode to the empty text. Of segmentations of equal score the one whose last piece is longest
+wins, then its last piece but one, and so on; chunks carry that order beside their matrices, so ids do not depend on `chunk` as long as
+sums of scores are exact (whole or float32 scores, sums below 2**53 of their steps). Repeated rows are encoded each; an empty table gives
+an empty result; only the text and the columns asked for are read.
 """
 
 from __future__ import annotations
@@ -156,10 +158,14 @@ class Pieces(dict):
                 total += self.unknown if self.raw[i][0] & 0xC0 != 0x80 else 0.0
         return total
 
-    def transfer(self, text: str, length: int) -> np.ndarray:
-        """The matrix of a chunk: `text` is its characters and, after `length`, those of the look-ahead."""
+    def transfer(self, text: str, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The matrix of a chunk and its tie order: `text` is the chunk's characters and, after `length`, those of the look-ahead.
+
+        Order (i, j) is the place of entry state i among all that lead to j at equal score: paths are compared from their ends, the
+        longer last piece first, and a path that has come to its entry precedes one that goes on, as its next piece starts before the chunk.
+        """
         m = self.longest
-        out = np.full((m, m), NONE)
+        out, order = np.full((m, m), NONE), np.zeros((m, m), np.int16)
         cuts = [x.start() for x in re.finditer(r"(?<=[^ ]) ", text[:length])]
         first = next((c for c in cuts if c >= m - 1), None)
         last = cuts[-1] if cuts else None
@@ -167,27 +173,44 @@ class Pieces(dict):
             first = last = None
         stop = length if first is None else first
         best = np.full((len(text) + 1, m), NONE)
+        back = np.full((len(text) + 1, m), -1, np.int32)
+        place = np.zeros((len(text) + 1, m), np.int16)
+        entry = np.arange(m)
         for s in range(min(m, length + 1)):
             best[s, s] = 0.0
+
+        def reach(at: int, k: int, score: float) -> None:  # starts come in ascending order, so the longest piece stays on ties
+            have = best[at] + score
+            better = have > best[k]
+            best[k][better] = have[better]
+            back[k][better] = at
+
+        def rank(at: int) -> None:
+            came = back[at]
+            place[at][np.argsort(np.where(came < 0, -1, came.astype(np.int64) * m + place[came, entry]), kind="stable")] = entry
+
         for at in range(stop):
+            rank(at)
             alone = True
             node, k = self.trie, at
             while k < len(text) and (node := node.get(text[k])) is not None:
                 k += 1
                 if None in node:
                     alone &= k > at + 1
-                    np.maximum(best[k], best[at] + node[None], out=best[k])
+                    reach(at, k, node[None])
             if alone:
-                np.maximum(best[at + 1], best[at] + self.unknown, out=best[at + 1])
+                reach(at, at + 1, self.unknown)
         if first is None:
             for j in range(min(m, len(text) - length + 1)):
-                out[:, j] = best[length + j]
-            return out
+                rank(length + j)
+                out[:, j], order[:, j] = best[length + j], place[length + j]
+            return out, order
+        rank(first)  # every path is cut there, so nothing behind it tells entries apart
         middle = sum(map(self.word_score, SEGMENT.findall(text[first:last])))
         tail, _ = self.forward(text[last:], 0, length - last)
         for j in range(min(m, len(text) - length + 1)):
-            out[:, j] = best[first] + middle + tail[length - last + j]
-        return out
+            out[:, j], order[:, j] = best[first] + middle + tail[length - last + j], place[first]
+        return out, order
 
     def backtrace(self, text: str, length: int, enter: int, leave: int) -> bytes:
         """The ids of a chunk whose boundary states are known."""
@@ -249,12 +272,14 @@ def scan(matrices: np.ndarray) -> np.ndarray:
     return out
 
 
-def boundary_states(matrices: np.ndarray) -> np.ndarray:
-    """The state at every boundary (before the first chunk, between chunks, after the last) on the best path."""
+def boundary_states(matrices: np.ndarray, orders: np.ndarray) -> np.ndarray:
+    """The state at every boundary (before the first chunk, between chunks, after the last) on the best path; `orders` settle ties."""
     reach = scan(matrices)[:, 0, :]
     states = np.zeros(len(matrices) + 1, np.int64)
     for k in range(len(matrices) - 1, 0, -1):
-        states[k] = (reach[k - 1] + matrices[k][:, states[k + 1]]).argmax()
+        total = reach[k - 1] + matrices[k][:, states[k + 1]]
+        tied = np.flatnonzero(total == total.max())
+        states[k] = tied[orders[k][tied, states[k + 1]].argmin()]
     return states
 
 
@@ -262,6 +287,8 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
            chunk: int = 32768) -> DataFrame:
     """The columns in `keep`, and ids array<int>, for every row of `docs`."""
     look = pieces(model).longest - 1
+    if chunk <= look:
+        raise ValueError(f"a chunk must hold the longest piece, {look + 1} characters")
     text = F.concat(F.lit(" "), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     src = docs.select(F.struct(*keep).alias("_row"), text.alias("_text"))
     fields = [docs.schema[c] for c in keep]
@@ -288,17 +315,18 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(model)
         for part in slices(batches, text=2, max_bytes=1 << 21):
-            made = [vocabulary.transfer(t, n).tobytes() for t, n in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            made = [vocabulary.transfer(t, n) for t, n in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
             vocabulary.tidy()
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.binary())], ["_rid", "_k", "_matrix"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([x.tobytes() for x in y], pa.binary()) for y in zip(*made))],
+                                             ["_rid", "_k", "_matrix", "_order"])
 
     def states(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_k")
         side = pieces(model).longest
-        s = boundary_states(np.stack([np.frombuffer(b, np.float64).reshape(side, side) for b in group["_matrix"]]))
+        s = boundary_states(*(np.stack([np.frombuffer(b, t).reshape(side, side) for b in group[c]]) for c, t in (("_matrix", np.float64), ("_order", np.int16))))
         return pd.DataFrame({"_rid": group["_rid"], "_k": group["_k"], "_enter": s[:-1], "_leave": s[1:]})
 
-    matrices = parts.select("_rid", "_k", "_part", "_len").mapInArrow(transfers, "_rid long, _k int, _matrix binary")
+    matrices = parts.select("_rid", "_k", "_part", "_len").mapInArrow(transfers, "_rid long, _k int, _matrix binary, _order binary")
     known = matrices.groupBy("_rid").applyInPandas(states, "_rid long, _k int, _enter long, _leave long")
 
     def traces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -127,8 +127,8 @@ def test_chunks_equal_one_pass(text):
     for chunk in (17, 64, 250):
         cuts = list(range(0, len(spaced), chunk))
         parts = [(spaced[c:c + chunk + p.longest - 1], min(chunk, len(spaced) - c)) for c in cuts]
-        matrices = np.stack([p.transfer(t, n) for t, n in parts])
-        states = sp.boundary_states(matrices)
+        matrices, orders = (np.stack(x) for x in zip(*(p.transfer(t, n) for t, n in parts)))
+        states = sp.boundary_states(matrices, orders)
         assert sp.scan(matrices)[-1][0, 0] == pytest.approx(best[-1])
         ids = [i for (t, n), a, b in zip(parts, states, states[1:]) for i in ids_of(p.backtrace(t, n, int(a), int(b)))]
         assert b"".join(p.raw[i] for i in ids).decode() == spaced
@@ -159,10 +159,33 @@ def test_encode_decode_round_trip(spark):
     for r in tokens.collect():
         assert p.value(r.ids) == pytest.approx(p.value(small[r.doc_id]))
     assert sp.encode(docs.limit(0)).count() == 0
+    assert {r.doc_id: r.ids for r in tokens.collect()} == small
     odd = spark.createDataFrame([(1, None), (2, [p.byte[0xC3]]), (3, [p.ids["x"], p.ids[" a"]]), (4, [])], "doc_id long, ids array<int>")
     assert {r.doc_id: r.text for r in sp.decode(odd).collect()} == {1: "", 2: "\ufffd", 3: "x a", 4: ""}
 
 
+def test_ids_do_not_depend_on_the_chunk():
+    """Ties at chunk borders too: chunks give the ids of the whole text, and those of the stated rule by plain search."""
+    p = sp.pieces(sp.MODEL)
+    draw = random.Random(9)
+    kinds = ["ab", "aab ", "the  cat ", "xyzzy -=", "aaaa", "一é🙂 a", "=-_ .,", "nananas "]
+    ties = 0
+    for _ in range(100):
+        text = " " + "".join(draw.choice(draw.choice(kinds)) for _ in range(draw.randint(18, 400)))
+        want = p.encode(text)
+        _, back = p.forward(text, 0, len(text))
+        assert p.trace(text, back, 0, len(text)) == np.frombuffer(want, np.int32).tolist()
+        for chunk in (17, 37, 64, 250):
+            starts = range(0, len(text), chunk)
+            sizes = [min(chunk, len(text) - a) for a in starts]
+            parts = [text[a:a + chunk + p.longest - 1] for a in starts]
+            matrices, orders = (np.stack(x) for x in zip(*map(p.transfer, parts, sizes)))
+            s = sp.boundary_states(matrices, orders)
+            ties += any(((t := sp.scan(matrices)[i - 1, 0] + matrices[i][:, s[i + 1]]) == t.max()).sum() > 1 for i in range(1, len(parts)))
+            assert b"".join(map(p.backtrace, parts, sizes, s[:-1].tolist(), s[1:].tolist())) == want, (text, chunk)
+    assert ties > 20
+
+
 # 4. N-gram Jaccard join
 
 def groups_by_hand(rows):
