@@ -1,9 +1,10 @@
 """Self-join of documents on the Jaccard similarity of their word shingles, by T-occurrence search with DivideSkip.
 
 Two sets of n and m shingles are similar at 3/4 when they share at least T = ceil(3 (n + m) / 7). Every document looks for the
-others in the inverted lists of its shingles. DivideSkip sets the longest lists aside: of the n lists of a document only the
-n - ceil(3 n / 4) + 1 shortest are merged, as any partner must occur in one of these; partners met are kept while the
-positions still allow T, and the lists set aside are then probed by binary search in the partner's sorted set.
+others in the inverted lists of its shingles. DivideSkip sets the L longest lists aside, merges the others, keeps the partners met T - L
+times and probes the lists set aside for these alone. Here a document merges at most its n - ceil(3 n / 4) + 1 shortest lists, and L is
+chosen for each pair: T - L is five, or what the merged lists can tell if that is less (`threshold`). A long list is probed from
+its other side, by binary search of its shingle in the partner's sorted set; posting lists of set-aside shingles are never written.
 
 In Spark:
 
@@ -14,13 +15,14 @@ In Spark:
 3. `short_lists` picks every class's lists to merge. Star links: classes that share a shingle minimum are compared, exactly, with the
    most central of them, and carry its label if linked, so a large group of near copies is one label instead of all its pairs. This only
    saves work: step 4 misses no link between labels.
-4. Short lists travel to ranges of shingle hashes and are merged there: pairs of different labels that pass size and positions
-   come out with their occurrences. No pair within a label, of equal sets, or from a list that was set aside is ever formed.
+4. Short lists travel to groups of shingle hashes and are merged there, hot ones in pairs of blocks: pairs of different labels that pass
+   size and positions come out with their occurrences, and go on if these reach T - L. No pair within a label, of equal sets, or from
+   a list that was set aside is ever formed.
 5. Candidates are verified on whole sets; components of all links (reliable checkpoints each round) name the groups.
 
 Sets travel as sorted 64-bit hashes; within a pair of sets a chance collision has odds of n m / 2**64. No cap on lists, partners or
-candidates. A list whose documents mostly carry other labels costs its square in comparisons in one range; that takes many documents
-made of the same few passages whose rest is too small to tell them apart, yet dissimilar.
+candidates. A merged list whose documents mostly carry other labels costs its square in comparisons, spread over its blocks; that takes
+many documents made of the same few passages whose rest is too small to tell them apart, yet dissimilar.
 
 Empty and null texts have an empty set, n_shingles 0 and no link. A text of fewer words than the shingle width is one shingle.
 Rows that repeat an id are one node: each row is returned, and links of any of its texts count. Rows without id link to nothing
@@ -45,6 +47,8 @@ KEY_BITS = 40      # bits of a shingle hash that name its inverted list
 LONG = 16          # documents from which a list's order of magnitude is kept
 FILTER_BITS = 26   # bitmap of the shingles of two documents or more
 CELL_BITS = 22     # cells for the lengths of long lists
+MOST = 5           # occurrences asked for before a pair's long lists are probed
+BLOCK_BITS = 12    # lists of twice 2**12 documents or more are merged in blocks of so many
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -57,6 +61,15 @@ def overlap(n, m):
     return -(-3 * (n + m) // 7)
 
 
+def threshold(n, m, most: int):
+    """Occurrences that a pair needs in the lists merged for it: T - L, where the L lists set aside are as many as still leave `most`.
+
+    Of T shared shingles, all but the last T - c lie among the n - T + c shortest lists of one set, so c of them lie there in both sets. A set
+    merges n - ceil(3 n / 4) + 1 lists, which bounds c by T - ceil(3 n / 4) + 1.
+    """
+    return np.minimum(most, overlap(n, m) - needed(np.maximum(n, m)) + 1)
+
+
 def _digest(s: np.ndarray) -> int:
     return int(mix(s).sum(dtype=np.uint64).view(np.int64))
 
@@ -160,8 +173,8 @@ def _spot(keys: np.ndarray) -> np.ndarray:
 
 
 def short_lists(src: DataFrame, classes: DataFrame, lengths: tuple[np.ndarray, np.ndarray], width: int, bands: int = 8) -> DataFrame:
-    """Per class, the keys of its shortest lists that other documents are in, and their places among its shortest lists; own: how many
-    of those no other document is in; minima: the least shingle hash of each of `bands` ranges (null where there is none)."""
+    """Per class, the keys of its shortest lists that other documents are in, their places among its shortest lists, and their orders of
+    magnitude; own: how many of those no other document is in; minima: the least shingle hash of each of `bands` ranges (null where there is none)."""
     bitmap, cells = lengths
     drop = np.uint64(64 - KEY_BITS)
     if bands > 8:
@@ -169,7 +182,7 @@ def short_lists(src: DataFrame, classes: DataFrame, lengths: tuple[np.ndarray, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            out, where, size, d1, own, low = [], [], [], [], [], []
+            out, where, tall, size, d1, own, low = [], [], [], [], [], [], []
             for s in shingle_sets(part.column(1), width):
                 n = len(s)
                 keys = s >> drop
@@ -179,16 +192,17 @@ def short_lists(src: DataFrame, classes: DataFrame, lengths: tuple[np.ndarray, n
                 met = np.flatnonzero((bitmap[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1)
                 out.append(keys[order[met]])
                 where.append(met.astype(np.uint32))
+                tall.append(level[order[met]])
                 size.append(n)
                 d1.append(_digest(s))
                 own.append(len(order) - len(met))
                 at = np.searchsorted(s, np.arange(bands, dtype=np.uint64) << np.uint64(61))
                 low.append([int(s[a].view(np.int64)) if a < b else None for a, b in zip(at.tolist(), [*at[1:].tolist(), n])])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), *(pa.array(x, pa.int64()) for x in (size, d1, own)), pa.array(low, pa.list_(pa.int64())), packed(out), packed(where)],
-                ["id", "n", "d1", "own", "minima", "keys", "at"]).filter(pa.array([len(k) > 0 for k in out], pa.bool_()))
+                [part.column(0), *(pa.array(x, pa.int64()) for x in (size, d1, own)), pa.array(low, pa.list_(pa.int64())), *map(packed, (out, where, tall))],
+                ["id", "n", "d1", "own", "minima", "keys", "at", "level"]).filter(pa.array([len(k) > 0 for k in out], pa.bool_()))
 
-    lists = src.mapInArrow(run, "id long, n long, d1 long, own long, minima array<long>, keys binary, at binary")
+    lists = src.mapInArrow(run, "id long, n long, d1 long, own long, minima array<long>, keys binary, at binary, level binary")
     return cut_lineage(lists.join(classes.select("id", "n", "d1"), ["id", "n", "d1"], "left_semi"))
 
 
@@ -206,27 +220,36 @@ def star_links(lists: DataFrame, src: DataFrame, width: int) -> DataFrame:
     return cut_lineage(_verify(cut_lineage(best), src, width))
 
 
-def candidates(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes of different labels that meet in a merged list and may reach T."""
+def candidates(lists: DataFrame, labels: DataFrame, most: int = MOST, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """Pairs (a, b) of classes of different labels that meet in T - L merged lists (in `most`, where that is less).
+
+    A hot list is dealt into blocks by document, and every pair of its blocks is merged as a list of its own, anywhere in the cluster. A list
+    has at most 4096 blocks, so that their two numbers fit beside the key; still longer lists have longer blocks.
+    """
     shards = 2 * max(1, int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    lists = lists.join(labels, "id", "left").select("id", "n", F.coalesce("label", "id").alias("label"), "keys", "at")
+    lists = lists.join(labels, "id", "left").select("id", "n", F.coalesce("label", "id").alias("label"), "keys", "at", "level")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text=3, max_bytes=1 << 22):
             cols = [batch.column(c).to_numpy() for c in range(3)]
-            keys = [np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(3)]
-            at = [np.frombuffer(v.as_buffer(), np.uint32) for v in batch.column(4)]
+            keys, at, level = ([np.frombuffer(v.as_buffer(), t) for v in batch.column(c)] for c, t in ((3, np.uint64), (4, np.uint32), (5, np.uint8)))
             if not keys:
                 continue
             row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            key, at = np.concatenate(keys), np.concatenate(at)
-            shard = (key >> np.uint64(KEY_BITS - 32)) * np.uint64(shards) >> np.uint64(32)
+            key, at, level = np.concatenate(keys), np.concatenate(at).astype(np.int64), np.concatenate(level).astype(np.int64)
+            blocks = 1 << np.clip(level - block_bits, 0, 12)
+            mine = (mix(cols[0][row].astype(np.uint64)) & (blocks - 1).astype(np.uint64)).astype(np.int64)
+            again = np.repeat(np.arange(len(key)), blocks)  # once for each block to meet
+            other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            row, key, at, mine = row[again], key[again], at[again], mine[again]
+            low, high = (f(mine, other).astype(np.uint64) for f in (np.minimum, np.maximum))
+            key, at = key | low << np.uint64(KEY_BITS) | high << np.uint64(KEY_BITS + 12), 2 * at + (mine > other)
+            shard = (mix(key) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
             order = np.argsort(shard, kind="stable")
             row, key, at, shard = row[order], key[order], at[order], shard[order]
             first = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
             ends = [*first[1:], len(shard)]
-            made = [pa.array(shard[first].astype(np.int32)), packed([key[a:b] for a, b in zip(first, ends)]),
-                    packed([at[a:b].astype(np.int64) for a, b in zip(first, ends)])]
+            made = [pa.array(shard[first].astype(np.int32)), packed([key[a:b] for a, b in zip(first, ends)]), packed([at[a:b] for a, b in zip(first, ends)])]
             made += [packed([c[row[a:b]] for a, b in zip(first, ends)]) for c in cols]
             yield pa.RecordBatch.from_arrays(made, ["shard", "key", "at", "id", "n", "label"])
 
@@ -235,29 +258,41 @@ def candidates(lists: DataFrame, labels: DataFrame) -> DataFrame:
                                   for c in ("key", "at", "id", "n", "label"))
         order = np.argsort(key, kind="stable")
         key, at, doc, n, label = key[order], at[order], doc[order], n[order], label[order]
+        at, second = at >> 1, (at & 1).astype(bool)
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         ends = np.append(first[1:], len(key))
         pairs: list[np.ndarray] = []
+
+        def meet(x: int, y: np.ndarray) -> None:
+            room = np.minimum(n[x] - at[x], n[y] - at[y])
+            least = threshold(n[x], n[y], most)
+            fit = (room > overlap(n[x], n[y]) - least) & (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y]))
+            y, least = y[fit], least[fit]
+            if len(y):
+                pairs.append(np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y]), least], axis=1))
+
         for a, b in zip(first[ends - first > 1].tolist(), ends[ends - first > 1].tolist()):
+            low, high = (int(key[a]) >> KEY_BITS) & 4095, int(key[a]) >> KEY_BITS + 12
+            if low != high:  # two blocks of a hot list
+                here, there = (a + np.flatnonzero(second[a:b] == side) for side in (False, True))
+                for x in here.tolist():
+                    meet(x, there[label[there] != label[x]])
+                continue
             names, which, size = np.unique(label[a:b], return_inverse=True, return_counts=True)
             if len(names) == 1:
                 continue
             # The largest label meets the others; it is never compared with itself.
             rank = np.argsort(np.argsort(size, kind="stable"), kind="stable")[which]
             for i in np.flatnonzero(rank < len(names) - 1).tolist():
-                x = a + i
-                y = a + np.flatnonzero(rank > rank[i])
-                room = np.minimum(n[x] - at[x], n[y] - at[y])
-                y = y[(room >= overlap(n[x], n[y])) & (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y]))]
-                if len(y):
-                    pairs.append(np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])], axis=1))
-        found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+                meet(a + i, a + np.flatnonzero(rank > rank[i]))
+        found = np.concatenate(pairs) if pairs else np.zeros((0, 3), np.int64)
         found, times = np.unique(found, axis=0, return_counts=True)
-        return pa.table({"a": found[:, 0], "b": found[:, 1], "met": times.astype(np.int64)})
+        return pa.table({"a": found[:, 0], "b": found[:, 1], "least": found[:, 2], "met": times.astype(np.int64)})
 
     met = lists.mapInArrow(deal, "shard int, key binary, at binary, id binary, n binary, label binary").groupBy("shard").applyInArrow(
-        merge, "a long, b long, met long")
-    return met.groupBy("a", "b").agg(F.sum("met").alias("met"))
+        merge, "a long, b long, least long, met long")
+    # An id that repeats with other texts has several sizes: the least threshold holds for all of them.
+    return met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("least").alias("least")).where("met >= least")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
