@@ -250,36 +250,6 @@ def test_ngram_join_forms_no_pairs_within_a_group(spark):
     assert {r.component_id for r in nj.similar_groups(docs_of(spark, rows)).collect()} == {0}
 
 
-def test_ngram_join_counts_occurrences_and_splits_hot_lists(spark):
-    """Pairs fall with the occurrences asked for, links do not; blocks of a hot list find the same pairs with the same counts."""
-    draw = random.Random(11)
-    vocabulary = ["v%d" % k for k in range(400)]
-    passages = [[draw.choice(vocabulary) for _ in range(9)] for _ in range(6)]
-    rows = []
-    for g in range(60):
-        base = [draw.choice(vocabulary) for _ in range(draw.randint(6, 30))] + draw.choice(passages)
-        for _ in range(4):
-            text = list(base)
-            for _ in range(draw.randint(0, 1)):
-                text[draw.randrange(len(text))] = draw.choice(vocabulary)
-            rows.append((len(rows), " ".join(text), None))
-    src = nj._sources(docs_of(spark, rows), "doc_id", "text")
-    classes = nj.profiles(src, 5).groupBy("n", "d1", "d2").agg(F.min("id").alias("id"))
-    lists = nj.short_lists(src, classes, nj.list_lengths(src, 5), 5)
-    alone = lists.select("id", F.col("id").alias("label")).limit(0)
-
-    def pairs(**how):
-        return {(r.a, r.b): r.met for r in nj.candidates(lists, alone, **how).collect()}
-
-    sets = dict(zip((r[0] for r in rows), map(set, shingle_sets(pa.array([low(r[1]) for r in rows]), 5))))
-    kept = {r.id for r in classes.collect()}
-    linked = {(a, b) for a in kept for b in kept if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
-    once, few, all_ = pairs(most=1), pairs(), pairs(most=10**6)
-    assert len(linked) > 20 and linked <= set(all_) & set(few) & set(once) and len(all_) <= len(few) < len(once)
-    assert few == pairs(block_bits=3) == pairs(block_bits=1)
-    assert lists.where("octet_length(level) > 0").count() and max(max(r.level) for r in lists.collect()) >= 4  # lists of 16 or more are there
-
-
 def test_word_hashes_follow_words():
     column = pa.array(["Ab  cd\nef", None, "", "ab cd", "\x0bEF\x0c", "é É"])
     h, b = words(column)
