@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmament.functions import coords, geo
+from firmament.session import spread
 
 
 def calibration_to_wcs(cal: DataFrame) -> DataFrame:
@@ -27,11 +28,11 @@ def _segments() -> Column:
 def graticule(frames: DataFrame) -> DataFrame:
     """RA/Dec grid lines with their projected points and label, one row per line.
 
-    All lines of a frame are built inside its own row: no shuffle.
+    All lines of a frame are built inside its own row; frames are spread first, as a row grows to thousands of points.
     """
     wcs = {**geo.wcs_of(), **{c: F.col(c) for c in geo.TRIG_FIELDS}}
     radius = geo.field_radius_deg(wcs)
-    f = geo.frame_trig(frames).withColumn("_r", radius).withColumn("_step", geo.nice_step(radius))
+    f = geo.frame_trig(spread(frames, "fid")).withColumn("_r", radius).withColumn("_step", geo.nice_step(radius))
     f = f.withColumn("_dr", F.col("_r") / F.greatest(F.lit(0.05), F.cos(F.radians("dec0"))))
 
     def lines(lo: Column, hi: Column, point) -> Column:
