@@ -19,6 +19,9 @@ def cone_search_join(spark, sf):
     return rounded(spatial.cone_search_join(frames(spark, sf), catalog(spark, sf)).select("fid", "obj_id", "sep_deg"))
 
 
+#: What a cone search reads of a frame.
+CONE = ("fid", "ra0", "dec0", "width", "height", "scale_deg")
+
 RADIUS = "CASE fid % 40 WHEN 0 THEN CAST(10 AS DOUBLE) WHEN 1 THEN CAST(3 AS DOUBLE) ELSE (fid % 8 + 1) * CAST(0.05 AS DOUBLE) END"
 
 
@@ -101,8 +104,10 @@ def bubble_star(spark, sf):
 @query("first_hit", """
 SELECT fid, obj_id FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY sep_deg, obj_id) AS n FROM q_cone WHERE size_major > 30) WHERE n = 1""")
 def first_hit(spark, sf):
-    cone = spatial.cone_search_join(frames(spark, sf), catalog(spark, sf))
-    return S.first_hit(cone, ["fid"], ["sep_deg", "obj_id"], F.col("size_major") > 30).select("fid", "obj_id")
+    large = F.col("size_major") > 30
+    # A frame's hit is among its nearest large objects: the rest of its cone is never formed.
+    cone = spatial.cone_search_join(frames(spark, sf).select(*CONE), catalog(spark, sf).where(large).select("obj_id", "ra_deg", "dec_deg", "size_major"), nearest=1)
+    return S.first_hit(cone, ["fid"], ["sep_deg", "obj_id"], large).select("fid", "obj_id")
 
 
 @query("dedup_by_key", """
@@ -126,7 +131,9 @@ def sized_objects_topn(spark, sf):
 SELECT fid, source, obj_id, fetch_rank FROM (SELECT *, row_number() OVER (PARTITION BY fid, source ORDER BY mag NULLS LAST, obj_id) AS fetch_rank
  FROM q_cone) WHERE fetch_rank <= 2""")
 def capped_fetch(spark, sf):
-    cone = spatial.cone_search_join(frames(spark, sf), catalog(spark, sf))
+    # Only rows that can be fetched are formed. An ascending sort puts nulls first: `no_mag` puts them last.
+    sky = catalog(spark, sf).select("obj_id", "source", "mag", "ra_deg", "dec_deg", F.col("mag").isNull().alias("no_mag"))
+    cone = spatial.cone_search_join(frames(spark, sf).select(*CONE), sky, first=(2, ["source"], ["no_mag", "mag", "obj_id"]))
     out = S.capped_fetch(cone, ["fid", "source"], [F.col("mag").asc_nulls_last(), "obj_id"], 2)
     return rounded(out.select("fid", "source", "obj_id", "fetch_rank"))
 

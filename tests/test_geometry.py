@@ -56,6 +56,40 @@ def test_cone_join_equals_brute_force(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def _wanted_cone(spark, seed, n=900):
+    """A crowded spot, poles, the seam, nulls and repeated rows, with every pair of the cones by brute force."""
+    rnd = random.Random(seed)
+    place = lambda: rnd.choice([(50 + rnd.uniform(0, 0.4), 20 + rnd.uniform(0, 0.4)), (rnd.choice([0.01, 359.98]), rnd.uniform(-2, 2)), (rnd.uniform(0, 360), rnd.choice([89.9, -89.7])), (rnd.uniform(0, 360), rnd.uniform(-90, 90))])
+    cat = [(i, *place(), rnd.choice(["a", "b", "b", "b", None]), rnd.choice([None, rnd.uniform(0, 12)])) for i in range(n)]
+    cat += [cat[5], (n, None, 3.0, "a", 1.0)]
+    fr = [(rnd.choice([i, None]) if i % 9 == 0 else i, *place(), rnd.choice([0.05, rnd.uniform(0.2, 9)])) for i in range(70)]
+    c = spark.createDataFrame(cat, "obj_id long, ra_deg double, dec_deg double, source string, mag double").withColumn("no_mag", F.col("mag").isNull())
+    f = spark.createDataFrame(fr, "fid long, ra0 double, dec0 double, r double")
+    sep = geo.ang_sep_deg(F.col("ra0"), F.col("dec0"), F.col("ra_deg"), F.col("dec_deg"))
+    return f, c, f.crossJoin(c.where("ra_deg IS NOT NULL")).withColumn("sep_deg", sep).where(F.col("sep_deg") <= F.col("r"))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_first_and_nearest_of_a_cone_equal_those_of_the_whole_cone(spark, seed):
+    from firmament.operators import select as S
+
+    f, c, whole = _wanted_cone(spark, seed)
+    order = ["no_mag", "mag", "obj_id"]
+    rows = lambda d, *cols: sorted(map(str, d.select("fid", "obj_id", *cols).collect()))
+    first = spatial.cone_search_join(f, c, F.col("r"), first=(2, ["source"], order))
+    assert rows(S.capped_fetch(first, ["fid", "source"], order, 2), "source", "fetch_rank") == rows(S.capped_fetch(whole, ["fid", "source"], order, 2), "source", "fetch_rank")
+    near = spatial.cone_search_join(f, c, F.col("r"), nearest=1)
+    assert rows(S.first_hit(near, ["fid"], ["sep_deg", "obj_id"], F.lit(True))) == rows(S.first_hit(whole, ["fid"], ["sep_deg", "obj_id"], F.lit(True)))
+
+
+def test_a_capped_cone_does_not_form_its_rows(spark):
+    c = spark.range(4000).selectExpr("id AS obj_id", "50 + id % 63 / 100.0D AS ra_deg", "20 + id % 61 / 100.0D AS dec_deg")
+    f = spark.range(5).selectExpr("id AS fid", "50.3D AS ra0", "20.3D AS dec0", "5D AS r")
+    assert spatial.cone_search_join(f, c, F.col("r")).count() == 20000
+    assert spatial.cone_search_join(f, c, F.col("r"), first=(2, [], ["obj_id"])).count() == 10
+    assert 5 <= spatial.cone_search_join(f, c, F.col("r"), nearest=1).count() <= 50
+
+
 def test_cone_plan_has_no_nested_loop(spark, sf):
     from firmament.queries.kit import catalog, frames
 
