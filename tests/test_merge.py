@@ -61,6 +61,27 @@ def test_large_group_path_equals_fold(spark, seed):
     assert small == large
 
 
+def test_groups_folded_side_by_side_equal_one_fold(spark):
+    """Many groups, some longer than an Arrow batch, growing survivors, null sizes: the hosts of the row-by-row fold."""
+    from firmament.operators.spatial import merge_block
+
+    cells = [[(fid, *r[1:]) for r in sky(100 + fid, 20 + 40 * (fid % 4), 0.5 + fid % 5)] for fid in range(8)]
+    d = spark.createDataFrame([r for c in cells for r in c], SCHEMA).withColumn("rid", F.col("row_idx"))
+    d = d.withColumn("key", M.prestige_sort(F.col("catalog_ids"), F.col("source"), F.lit(False), F.col("size_major"), F.col("mag"), F.col("src_rank"), F.col("row_idx")))
+    rows = merge_block(d).select("fid", "block", "rid", "key", F.col("ra_deg").alias("ra"), F.col("dec_deg").alias("dec"),
+                                 F.coalesce("size_major", F.lit(0.0)).alias("major"), "category")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        got = sorted(map(tuple, M._fold_groups(rows, ["fid", "block"], False).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    folded = rows.groupBy("fid", "block").agg(M._ordered_rows().alias("rows")).select("fid", "block", M._fold(F.col("rows"), F.array(), False).alias("f"))
+    assert got == sorted(map(tuple, folded.select("fid", "block", F.inline("f.hosts")).collect()))
+    assert any(rid != host for _, _, rid, host in got)
+    plan = M._fold_groups(rows, ["fid", "block"], False)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan  # no group is gathered in one row
+
+
 def test_components_hold_every_interacting_pair(spark):
     rnd = random.Random(5)
     rows = [row(i, f"o{i}", rnd.choice(["HII", "RNe", "DNe"]), rnd.choice([0.02, 359.97, rnd.uniform(0, 4)]), rnd.choice([89.95, rnd.uniform(-2, 2)]), rnd.choice([None, 5.0, rnd.uniform(1, 90)])) for i in range(120)]
