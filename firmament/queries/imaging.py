@@ -6,7 +6,7 @@ from firmament.operators import pixels as P
 from firmament.operators import regions as RG
 from firmament.operators import tiles as T
 from firmament.queries.facts import objects
-from firmament.session import pin
+from firmament.session import pin, spread
 from firmament.queries.kit import define_view, half_up_sql, query, r6, rounded, s6, sep_sql, table, view
 
 C = F.col
@@ -24,8 +24,11 @@ def pixels(spark, sf):
 
 
 def rasters(spark, sf):
-    """One row per frame: the vector is already the raster; 100 image pixels per cell."""
-    e = table(spark, sf, "embeddings")
+    """One row per frame: the vector is already the raster; 100 image pixels per cell.
+
+    A frame is a few hundred bytes and thousands of samples, so frames are dealt over all partitions: a small file would be one task.
+    """
+    e = spread(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id")
     return e.select(C("vec_id").alias("fid"), L(8).alias("gw"), L(8).alias("gh"), F.transform("embedding", lambda v: (v.cast("double") + 0.6) * 200).alias("lum"),
                     L(800).alias("width"), L(800).alias("height"), L(0.01).alias("scale_deg"),
                     (C("vec_id") * 37 % 800).cast("double").alias("x"), (C("vec_id") * 53 % 800).cast("double").alias("y"))

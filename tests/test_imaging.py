@@ -99,3 +99,17 @@ def test_percentile_by_counting_is_exact(spark, p):
         k = (len(s) - 1) * (p / 100.0)
         a, b = s[int(k)], s[min(int(k) + 1, len(s) - 1)]
         assert got[f] == pytest.approx(a if k == int(k) else (1 - (k - int(k))) * a + (k - int(k)) * b, rel=1e-12)
+
+
+def test_frames_of_one_small_file_are_dealt_over_all_partitions(spark, tmp_path):
+    from firmament.queries import imaging
+
+    spark.createDataFrame([(k, [0.01 * k] * 64) for k in range(40)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    r = imaging.rasters(spark, str(tmp_path))
+    assert r.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and r.count() == 40
+
+
+def test_cell_medians_are_lists_only_where_some_are_unknown():
+    known = P._cell_medians(np.arange(16.0), 4, 4, [0, 3, 9], [0, 2, 9])
+    assert isinstance(known, np.ndarray) and known.tolist() == [1.0, 11.0, 15.0]
+    assert P._cell_medians([None] * 16, 4, 4, [1], [1]) == [None]
