@@ -73,3 +73,13 @@ def test_quarantine_reasons(spark):
     d = spark.createDataFrame([(1, 0.5, "galaxy", "2.0"), (2, 1.5, "blob", "1.0")], "k int, confidence double, category string, version string")
     good, bad = CT.validate_rows(d, version=("version", "reading"))
     assert [r.k for r in good.collect()] == [1] and len(bad.first().reasons) == 3
+
+
+def test_nebula_cells_are_read_once(spark):
+    """Bad numbers are no position and no size; each cell of a row is looked up once, whatever the filters and sizes mention."""
+    cells = [{"VdB": "1", "_RAJ2000": " 10.5", "_DEJ2000": "-3", "BRadMax": "2", "RRadMax": "4"}, {"VdB": "2", "_RAJ2000": "1", "_DEJ2000": "2", "BRadMax": "NaN", "RRadMax": "x"},
+             {"VdB": "", "_RAJ2000": "1", "_DEJ2000": "2"}, {"VdB": "4", "_RAJ2000": "Infinity", "_DEJ2000": "2"}, {"VdB": "5", "_DEJ2000": "2"}, {"_RAJ2000": "1", "_DEJ2000": "2"}, None]
+    d = R.nebula_catalog(spark.createDataFrame(list(enumerate(cells)), "row_idx int, cells map<string,string>"), "vdb")
+    assert [(r.row_idx, r.main_id, r.ra_deg, r.dec_deg, r.size_major, r.size_minor) for r in d.orderBy("row_idx").collect()] == [
+        (0, "vdB 1", 10.5, -3.0, 8.0, 8.0), (1, "vdB 2", 1.0, 2.0, None, None)]
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("element_at(") == 5
