@@ -92,26 +92,47 @@ def annotation_color(source: Column, shape: Column, feature_type: Column, catego
 
 
 def parent_links(objects: DataFrame) -> DataFrame:
-    """Adds the parent's and the anchor's pixel, size and name by id within the frame."""
-    side = objects.select("fid", F.col("id").alias("_id"), F.col("px").alias("_px"), F.col("py").alias("_py"),
-                          F.col("size_major").alias("_size"), F.try_element_at("names", F.lit(1)).alias("_name"))
-    out = objects
-    for ref, prefix in (("parent_object_id", "parent"), ("anchor_ref", "anchor")):
-        look = side.select("fid", F.col("_id").alias(ref), *[F.col(f"_{c}").alias(f"{prefix}_{c}") for c in ("px", "py", "size", "name")],
-                           F.lit(True).alias(f"{prefix}_found"))
-        out = out.join(look, ["fid", ref], "left")
-    return out
+    """Adds the parent's and the anchor's pixel, size and name by id within the frame; a row for each object of that id, one if there is none.
+
+    Rows and, beside them, what others may look up of them are dealt by frame once; each reference then meets its targets by a window in place.
+    Joins would shuffle the whole rows for each reference and once more for what goes by frame.
+    """
+    refs = (("parent_object_id", "parent"), ("anchor_ref", "anchor"))
+    target = F.struct("px", "py", F.col("size_major").alias("size"), F.get("names", F.lit(0)).alias("name"))
+    targets = objects.where("fid IS NOT NULL AND id IS NOT NULL").select("fid", F.col("id").alias("_id"), target.alias("_target"))
+    rows = objects.unionByName(targets, allowMissingColumns=True).repartition("fid")
+    for ref, prefix in refs:
+        meet = Window.partitionBy("fid", F.coalesce("_id", ref)).orderBy(F.col("_id").isNull()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.withColumn(f"_{prefix}", F.collect_list("_target").over(meet))
+    rows = rows.where("_id IS NULL")
+    first = ["fid", *[ref for ref, _ in reversed(refs)]]
+    out = rows.select(*first, *[c for c in objects.columns if c not in first], *[f"_{prefix}" for _, prefix in refs])
+    for _, prefix in refs:
+        out = out.withColumn(f"_{prefix}", F.explode_outer(f"_{prefix}"))
+    found = [[F.col(f"_{prefix}.{c}").alias(f"{prefix}_{c}") for c in ("px", "py", "size", "name")] + [F.when(F.col(f"_{prefix}").isNotNull(), True).alias(f"{prefix}_found")]
+             for _, prefix in refs]
+    return out.select(*[c for c in out.columns if c not in ("_parent", "_anchor")], *found[0], *found[1])
+
+
+def drawn(objects: DataFrame) -> DataFrame:
+    """Objects that are drawn: a comet's head is a container."""
+    return objects.where(~((F.col("category") == "comet") & (F.col("tier") != "B")))
 
 
 def badge_numbers(objects: DataFrame) -> DataFrame:
-    """Drawn objects with their 1..n number; a comet's head is a container and is not drawn."""
-    head = (F.col("category") == "comet") & (F.col("tier") != "B")
+    """Drawn objects with their 1..n number."""
     w = Window.partitionBy("fid").orderBy("ord")
-    return objects.where(~head).withColumn("num", F.row_number().over(w))
+    return drawn(objects).withColumn("num", F.row_number().over(w))
 
 
 def build_annotations(objects: DataFrame, frames: DataFrame) -> DataFrame:
-    """Fact objects -> reading features, one row each. frames need width, height, pixscale."""
+    """Fact objects -> reading features, one row each. frames need width, height, pixscale.
+
+    What an object's own row decides (its label) is found before rows are dealt by frame; the names, ids and types it is made of stay behind.
+    """
+    label = display_label(F.col("common_name"), F.col("names"), F.col("designations"), F.col("catalog_ids"), F.col("category"),
+                          F.col("otype"), F.col("type_zh"), F.col("type_en"))
+    objects = objects.withColumn("label", F.when(F.col("tier") == "B", F.struct(F.col("type_zh").alias("zh"), F.col("type_en").alias("en"))).otherwise(label))
     o = badge_numbers(parent_links(objects)).join(frames.select("fid", "width", "height", "pixscale"), "fid")
     side = F.least("width", "height").cast("double")
     is_b = F.col("tier") == "B"
@@ -139,11 +160,9 @@ def build_annotations(objects: DataFrame, frames: DataFrame) -> DataFrame:
     reach = F.least(dist, F.least("width", "height") * 0.15)
     to_anchor = [geo.half_up(F.col(f"_{a}") + (F.col(f"anchor_p{a}") - F.col(f"_{a}")) / dist * reach) for a in "xy"]
     is_arrow = F.col("shape") == "arrow"
-    label = display_label(F.col("common_name"), F.col("names"), F.col("designations"), F.col("catalog_ids"), F.col("category"),
-                          F.col("otype"), F.col("type_zh"), F.col("type_en"))
     return o.select(
         "fid", "id", "ord", "num", "shape", "r", "bubble_r", "width", "height",
-        F.when(is_b, F.struct(F.col("type_zh").alias("zh"), F.col("type_en").alias("en"))).otherwise(label).alias("label"),
+        "label",
         annotation_color(F.col("detection_source"), F.col("shape"), F.col("feature_type"), F.col("category")).alias("color_key"),
         F.coalesce("_top.x", "_tail.x", "_x").alias("cx"), F.coalesce("_top.y", "_tail.y", "_y").alias("cy"),
         F.when(is_arrow, F.coalesce(F.col("_tail.to_x"), to_anchor[0])).when(F.col("_asked") == "polygon", F.col("arrow_x")).alias("arrow_x"),

@@ -4,6 +4,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from firmament.operators import annotate as AN
 from firmament.operators import contracts as CT
 from firmament.operators import modelio as MI
 from firmament.sources import readers as R
@@ -75,6 +76,34 @@ def test_quarantine_reasons(spark):
     assert [r.k for r in good.collect()] == [1] and len(bad.first().reasons) == 3
 
 
+OBJECT = "fid long, id string, parent_object_id string, anchor_ref string, px double, py double, size_major double, names array<string>, ord int"
+
+
+def test_links_meet_in_the_frame(spark):
+    """Repeated, null and missing ids and refs give the rows of two left joins, from rows dealt by frame alone."""
+    rows = [(1, "a", None, "b", 1.0, 2.0, 3.0, ["A", "x"], 0), (1, "b", "a", "a", 4.0, None, None, [], 1), (1, "b", "zz", None, 6.0, 7.0, 8.0, None, 2),
+            (1, None, "b", "b", 9.0, 1.0, 1.0, ["N"], 3), (2, "a", "a", "b", None, None, None, ["C"], 4), (None, "a", "a", "a", 1.0, 1.0, 1.0, ["D"], 5),
+            (1, "c", "b", "b", 2.0, 2.0, 2.0, ["E"], 6)]
+    o = spark.createDataFrame(rows, OBJECT)
+    got = AN.parent_links(o)
+    want = []
+    at = {}
+    for r in rows:
+        if r[0] is not None and r[1] is not None:
+            at.setdefault((r[0], r[1]), []).append((r[4], r[5], r[6], r[7][0] if r[7] else None, True))
+    missing = [(None,) * 5]
+    for r in rows:
+        want += [(r[8], *p, *a) for p in at.get((r[0], r[2]), missing) for a in at.get((r[0], r[3]), missing)]
+    found = [f"{p}_{c}" for p in ("parent", "anchor") for c in ("px", "py", "size", "name", "found")]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.select("ord", *found).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = AN.badge_numbers(AN.parent_links(o.withColumn("category", F.lit("star")).withColumn("tier", F.lit("B"))))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(") == 1
+
+
 def test_nebula_cells_are_read_once(spark):
     """Bad numbers are no position and no size; each cell of a row is looked up once, whatever the filters and sizes mention."""
     cells = [{"VdB": "1", "_RAJ2000": " 10.5", "_DEJ2000": "-3", "BRadMax": "2", "RRadMax": "4"}, {"VdB": "2", "_RAJ2000": "1", "_DEJ2000": "2", "BRadMax": "NaN", "RRadMax": "x"},
