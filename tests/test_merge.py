@@ -93,3 +93,22 @@ def test_components_hold_every_interacting_pair(spark):
     pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.obj_id") != F.col("b.obj_id")) & near).select(F.col("a.obj_id").alias("x"), F.col("b.obj_id").alias("y")).collect()
     assert pairs and len(comp) == 120
     assert all(comp[p.x] == comp[p.y] for p in pairs)
+
+
+def test_components_are_found_on_patches_of_cells(spark, monkeypatch):
+    """A field of many neighbouring cells is a graph of a few patches; a component is still named by the least of its cells."""
+    rows = [row(i, f"o{i}", "HII" if i < 400 else "DNe", 10 + (i % 20) * 0.25, (i // 20 % 20) * 0.25, 5.0) for i in range(400)]
+    rows += [row(400 + i, f"p{i}", "DNe", 100.0 + 90 * i, 0.0, 5.0) for i in range(3)] + [row(403, "big", "DNe", 100.3, 0.0, 400.0)]
+    d = spark.createDataFrame(rows, SCHEMA).withColumn("obj_id", F.col("row_idx"))
+    nodes = []
+    whole = spatial.connected_components
+
+    def counted(edges, **more):
+        nodes.append(edges.select("a").union(edges.select("b")).distinct().count())
+        return whole(edges, **more)
+
+    monkeypatch.setattr(spatial, "connected_components", counted)
+    comp = {r.obj_id: r.component for r in spatial.duplicate_components(d).collect()}
+    assert len(comp) == 404 and len({comp[i] for i in range(400)}) == 1
+    assert comp[400] == comp[403] and len({comp[400], comp[401], comp[402], comp[0]}) == 4
+    assert nodes[0] < 150  # of 400 cells
