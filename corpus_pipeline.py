@@ -2,7 +2,8 @@
 
 Every stage takes the rows its predecessor kept and judges them anew; `run` writes each stage's rows to the shared folder before the next reads
 them, so a lost executor costs a task and not the chain. Stages up to the last return the columns of their input. Rows that repeat a document id
-are one document; rows without id are never taken for copies. An empty table passes through as an empty one.
+are one document; rows without id are never taken for copies. An empty table passes through as an empty one. Stages that work in Python bound the
+session's Arrow batches by bytes (`small_batches`), so that a task holds a few megabytes of text on each side.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmament.llm.common import table, without, write_table
+from firmament.llm.common import small_batches, table, without, write_table
 from firmament.llm.decontaminate import find_items
 from firmament.llm.exact_dedup import exact_dedup, one_space
 from firmament.llm.language_id import UNKNOWN, fit, held_out, identify_languages
@@ -23,6 +24,7 @@ from firmament.session import cut_lineage
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in some language; null and letterless texts go. Ambiguous ones stay."""
+    small_batches(spark)
     model = fit(docs.where(~held_out()))
     rest = [c for c in docs.columns if c != "text"]
     named = identify_languages(docs.select(F.struct(*rest).alias("_doc"), F.col("text").alias("_text")), model, text_col="_text")
@@ -43,17 +45,20 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of every group tied by 5-word shingle similarity of 3/4 or more."""
+    small_batches(spark)
     groups = similar_groups(docs)
     return without(docs, groups.where("component_id <> doc_id").select("doc_id"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item of 8 words or more; shorter ones, as "the answer is 42", are no evidence that a document leaks."""
+    small_batches(spark)
     return without(docs, find_items(docs, table(spark, sf_dir, "benchmark"), min_words=8).select("doc_id"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' other columns with ids and n_tokens of the whole text."""
+    small_batches(spark)
     keep = tuple(c for c in docs.columns if c not in ("text", "ids", "n_tokens"))
     return encode(docs, keep=keep).withColumn("n_tokens", F.size("ids").cast("long"))
 

@@ -2,6 +2,8 @@
 
 import re
 
+import pyarrow as pa
+
 import corpus_pipeline as cp
 from firmament.llm import sentencepiece as sp
 from tests.llm.test_llm_operators import GAPS, distance, groups_by_hand
@@ -73,3 +75,20 @@ def test_stages_on_odd_rows(spark, sf):
 def test_stage_names_and_order():
     assert [n for n, _ in cp.STAGES] == ["language_id", "exact_dedup", "ngram_jaccard_join", "decontaminate", "sentencepiece"]
     assert distance("abc", "abd")[-1] == 1
+
+
+def test_stages_bound_their_batches_by_bytes(spark):
+    """Large rows come to Python in small batches, and all of them come."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit, None)
+    spark.conf.unset(limit)
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id as doc_id", "repeat('some words ', 500) as text", "'en' as lang")
+    try:
+        kept = cp.language_id(spark, docs, "")
+        sizes = kept.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}) for b in batches), "n long, size long").collect()
+        assert sum(r.n for r in sizes) == 4000 and max(r.size for r in sizes) < 5 << 20
+        spark.conf.set(limit, "1000000")  # a session's own limit stays
+        cp.token_ids(spark, docs, "")
+        assert spark.conf.get(limit) == "1000000"
+    finally:
+        spark.conf.unset(limit) if before is None else spark.conf.set(limit, before)
