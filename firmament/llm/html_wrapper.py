@@ -2,16 +2,16 @@
 
 A page is read as a stream of text blocks, each named by the path of block elements it lies in (with class, id and role words). The
 streams of a host are aligned pairwise into one expression without unions: a block kept on one side of a mismatch becomes optional, runs
-of equal blocks or of equal short groups become repetitions, and a block's text is a slot unless all pages of the host agree on it.
-Slots then play one of two parts. Blocks in boilerplate elements (menus, page headers, footers, sidebars, notices, adverts, forms,
+of equal blocks or of equal short groups become repetitions. Every stream is then laid on its layout's expression, which gives each block a place
+there, and a place's text is a slot unless all pages that have it agree on it. Places then play one of two parts. Blocks in boilerplate elements (menus, page headers, footers, sidebars, notices, adverts, forms,
 comments, hidden parts), judged block by block, and constant texts are template; of the rest, those in the layout's content element (article or
 main where a page has one, else the deepest element with most of the variable text) are the article. A host has a wrapper for each layout: pages
 with marked content are one, other pages go by the element that holds most of their own text. So pages of another make, or with hidden or
-template blocks of their own, change nothing for the rest. The aligned expression is reported and does not decide the blocks.
+template blocks of their own, change nothing for the rest. A block that the expression has no place for goes with its path's other such blocks.
 
-In Spark: one scan yields streams and block paths with their texts as hashes, aggregated by (host, layout, stream or path) with map-side combining, so
+In Spark: one scan yields streams and their blocks with texts as hashes, aggregated by (host, layout, stream, place in it) with map-side combining, so
 a host with a third of all pages is a few rows. Streams of a layout are merged in salted groups and then across groups; merging keeps one
-expression in memory. The table of wrappers is written to the shared folder and joined to the pages on the host: Spark broadcasts it if
+expression in memory. Only distinct streams are laid on it, and their counts are summed by place. The table of wrappers is written to the shared folder and joined to the pages on the host: Spark broadcasts it if
 its files are small and sorts both sides if not. The second scan reads the whole pages again; nothing is cut short.
 
 Null html has no text and null urls have an empty host of their own. Pages that repeat count once when texts are compared, so copies do not
@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 from firmament.llm.common import slices, table, write_table
 from firmament.llm.registry import query
 from firmament.llm.url_filter import host_of
+from firmament.session import cut_lineage
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|object|canvas|audio|video|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -203,11 +204,39 @@ def align(expression: list[list], other: list[list]) -> list[list]:
     return merged
 
 
-def written(expression: list[list], constant: set[str]) -> str:
-    """The expression as text: #text is a slot, ' a constant; ? optional, + repeated."""
-    def group(g: list[str]) -> str:
-        return " ".join(f"{p.rpartition('/')[2]}({chr(39) if p in constant else '#text'})" for p in g)
-    return " ".join(f"({group(g)}){'+' if r else ''}{'?' if o else ''}" for g, r, o in expression)
+def within(tokens: list[str], stream: list[list]) -> list[int]:
+    """The place of every block among the blocks of its folded stream; repetitions share places."""
+    out: list[int] = []
+    base = 0
+    for group, repeated in stream:
+        out += range(base, base + len(group))
+        while repeated and tokens[len(out):len(out) + len(group)] == group:
+            out += range(base, base + len(group))
+        base += len(group)
+    return out
+
+
+def laid(stream: list[list], expression: list[list]) -> list[int | None]:
+    """For every block of a folded stream, its place among the blocks of the expression; none where they do not align."""
+    a, b = (["\x1f".join(e[0]) for e in x] for x in (stream, expression))
+    at, n = [], 0
+    for e in expression:
+        at.append(n)
+        n += len(e[0])
+    found: list[int | None] = [None] * len(stream)
+    for i, j, size in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks():
+        found[i:i + size] = at[j:j + size]
+    return [None if place is None else place + k for place, e in zip(found, stream) for k in range(len(e[0]))]
+
+
+def written(expression: list[list], constant: set[int]) -> str:
+    """The expression as text: #text is a slot, ' a constant (a place in `constant`); ? optional, + repeated."""
+    out, n = [], 0
+    for g, r, o in expression:
+        said = " ".join(f"{p.rpartition('/')[2]}({chr(39) if n + k in constant else '#text'})" for k, p in enumerate(g))
+        out.append(f"({said}){'+' if r else ''}{'?' if o else ''}")
+        n += len(g)
+    return " ".join(out)
 
 
 def content_path(sizes: dict[str, int], share: float = 0.6) -> str:
@@ -241,18 +270,26 @@ def layout_of(found: list[tuple[str, str, bool]]) -> str:
     return "" if any(map(is_marked, sizes)) else "/" + content_path(sizes)
 
 
-def article_paths(stats: dict[str, tuple[int, bool]]) -> set[str]:
-    """Paths of the article in one layout. `stats`: path of free blocks -> (characters, constant)."""
-    marked = {p for p in stats if is_marked(p)}
+def article_parts(stats: list[tuple[int | None, str, int, bool]]) -> tuple[set[str], set[int | str]]:
+    """(paths of the article in one layout, its template within them). `stats`: (place, path, characters, constant) of free blocks.
+
+    The template is named by places of the expression, and by path for blocks without a place. Marked content has none.
+    """
+    marked = {p for _, p, _, _ in stats if is_marked(p)}
     if marked:
-        return marked
-    free = {p: n for p, (n, constant) in stats.items() if not constant} or {p: n for p, (n, _) in stats.items()}
+        return marked, set()
+    free: dict[str, int] = {}
+    varies = [x for x in stats if not x[3]] or stats
+    for _, path, n, _ in varies:
+        free[path] = free.get(path, 0) + n
     inside = content_path(free)
-    return {p for p in free if p == inside or p.startswith(inside + "/") or not inside}
+    paths = {p for p in free if p == inside or p.startswith(inside + "/") or not inside}
+    return paths, {p if k is None else k for k, p, _, constant in stats if constant and p in paths and varies is not stats}
 
 
 def _streams(pages: DataFrame) -> DataFrame:
-    """(host, layout, stream, page hash, path, characters, text hash): one row per page with its stream, and one per page and path of free blocks."""
+    """(host, layout, form, stream, page hash, place, path, characters, text hash): one row per page with its stream, and one per page and place of free
+    blocks in that stream. `form` is the stream's hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text=1, max_bytes=1 << 22):
             rows = []
@@ -260,29 +297,34 @@ def _streams(pages: DataFrame) -> DataFrame:
                 found = blocks(page or "")
                 layout = layout_of(found)
                 whole = xxhash.xxh64_intdigest("\x1f".join(t for _, t, _ in found)) >> 1
-                paths: dict[str, list] = {}
-                for path, said, junk in found:
+                tokens = [p for p, _, _ in found]
+                folded = fold(tokens)
+                stream = json.dumps(folded)
+                form = xxhash.xxh64_intdigest(stream) >> 1
+                places: dict[int, list] = {}
+                for place, (path, said, junk) in zip(within(tokens, folded), found):
                     if not junk:
-                        x = paths.setdefault(path, [0, xxhash.xxh64()])
-                        x[0] += len(said)
-                        x[1].update(said + "\x1f")
-                rows.append((host, layout, json.dumps(fold([p for p, _, _ in found])), whole, None, 0, 0))
-                rows += [(host, layout, None, whole, p, n, h.intdigest() >> 1) for p, (n, h) in paths.items()]
+                        x = places.setdefault(place, [path, 0, xxhash.xxh64()])
+                        x[1] += len(said)
+                        x[2].update(said + "\x1f")
+                rows.append((host, layout, form, stream, whole, None, None, 0, 0))
+                rows += [(host, layout, form, None, whole, k, p, n, h.intdigest() >> 1) for k, (p, n, h) in places.items()]
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
 
-    schema = pa.schema([("host", pa.string()), ("layout", pa.string()), ("stream", pa.string()), ("page", pa.int64()), ("path", pa.string()), ("chars", pa.int64()),
-                        ("said", pa.int64())])
-    return pages.mapInArrow(run, "host string, layout string, stream string, page long, path string, chars long, said long")
+    schema = pa.schema([("host", pa.string()), ("layout", pa.string()), ("form", pa.int64()), ("stream", pa.string()), ("page", pa.int64()), ("place", pa.int32()),
+                        ("path", pa.string()), ("chars", pa.int64()), ("said", pa.int64())])
+    return pages.mapInArrow(run, "host string, layout string, form long, stream string, page long, place int, path string, chars long, said long")
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", agree: int = 3, salts: int = 16) -> DataFrame:
-    """(host, layout, pages, wrapper, article): a row per layout of a host; its pages (about), the expression as text, and the article's paths as JSON.
+    """(host, layout, pages, wrapper, expression, article): a row per layout of a host; its pages (about), the expression as text and as JSON, and as JSON
+    the article's paths and the template within them.
 
-    A path whose free blocks say the same on all of at least `agree` different pages of the layout is template.
+    A place of the expression whose free blocks say the same on all of at least `agree` different pages of the layout is template.
     """
     seen = write_table(_streams(pages.select(host_of(F.col(url_col).cast("string")).alias("host"), F.col(html_col).cast("string").alias("html")))
-                       .groupBy("host", "layout", "stream", "path").agg(
-        F.sum("chars").alias("chars"), F.min("said").alias("low"), F.max("said").alias("high"), F.approx_count_distinct("page").alias("pages")))
+                       .groupBy("host", "layout", "form", "stream", "place", "path").agg(
+        F.sum("chars").alias("chars"), F.min("said").alias("low"), F.max("said").alias("high"), F.hll_sketch_agg("page").alias("pages")))
     group = ["host", "layout"]
 
     def merge(texts: pd.Series, loads) -> list[list] | None:
@@ -298,25 +340,57 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     def layout(g: pd.DataFrame) -> pd.DataFrame:
         return g[group].iloc[:1].assign(expression=json.dumps(merge(g["expression"], json.loads)))
 
-    streams = seen.where("stream is not null").select(*group, "stream")
+    streams = seen.where("stream is not null").select(*group, "form", "stream")
     salted = streams.withColumn("salt", F.pmod(F.xxhash64("stream"), F.lit(salts)))
     part = salted.groupBy(*group, "salt").applyInPandas(lambda g: chunk(g), "host string, layout string, expression string")
-    whole = part.groupBy(*group).applyInPandas(lambda g: layout(g), "host string, layout string, expression string")
-    stats = seen.where("path is not null").groupBy(*group).agg(F.collect_list(F.struct("path", "chars", "low", "high", "pages")).alias("paths"))
+    whole = cut_lineage(part.groupBy(*group).applyInPandas(lambda g: layout(g), "host string, layout string, expression string"))
+
+    @F.udf(T.ArrayType(T.IntegerType()))
+    def places(stream, expression):
+        return laid(json.loads(stream), json.loads(expression))
+
+    laid_out = streams.join(whole, group).select(*group, "form", F.posexplode(places("stream", "expression")).alias("place", "slot"))
+    alone = F.when(F.col("slot").isNull(), F.col("path"))  # blocks of one place have one path
+    slots = seen.where("place is not null").join(laid_out, [*group, "form", "place"]).groupBy(*group, "slot", alone.alias("alone")).agg(
+        F.min("path").alias("path"), F.sum("chars").alias("chars"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.hll_sketch_estimate(F.hll_union_agg("pages")).alias("pages"))
+    stats = slots.groupBy(*group).agg(F.collect_list(F.struct("slot", "path", "chars", "low", "high", "pages")).alias("slots"))
 
-    counts = seen.where("stream is not null").groupBy(*group).agg(F.sum("pages").alias("pages"))
+    counts = seen.where("stream is not null").groupBy(*group).agg(F.hll_sketch_estimate(F.hll_union_agg("pages")).alias("pages"))
 
     @F.udf(T.StructType([T.StructField("wrapper", T.StringType()), T.StructField("article", T.StringType())]))
     def judge(expression, rows):
-        known = {r.path: (r.chars, r.low == r.high and r.pages >= agree) for r in rows or []}
-        return written(json.loads(expression), {p for p, (_, c) in known.items() if c}), json.dumps(sorted(article_paths(known)))
-
-    return whole.join(counts, group).join(stats, group, "left").select(*group, "pages", judge("expression", "paths").alias("r")).select(*group, "pages", "r.*")
+        known = [(r.slot, r.path, r.chars, r.low == r.high and r.pages >= agree) for r in rows or []]
+        paths, template = article_parts(known)
+        return (written(json.loads(expression), {k for k, _, _, constant in known if constant and k is not None}),
+                json.dumps({"paths": sorted(paths), "template": sorted(template, key=str)}))
+
+    return whole.join(counts, group).join(stats, group, "left").select(*group, "pages", "expression", judge("expression", "slots").alias("r")).select(
+        *group, "pages", "expression", "r.*")
+
+
+@lru_cache(maxsize=256)
+def _layouts(packed: str) -> dict[str, tuple[list[list], frozenset[str], frozenset[int | str]]]:
+    """layout -> (expression, the article's paths, its template)."""
+    out = {}
+    for layout, x in json.loads(packed).items():
+        article = json.loads(x["article"])
+        out[layout] = json.loads(x["expression"]), frozenset(article["paths"]), frozenset(article["template"])
+    return out
 
 
-@lru_cache(maxsize=1024)
-def _layouts(packed: str) -> dict[str, frozenset[str]]:
-    return {layout: frozenset(json.loads(article)) for layout, article in json.loads(packed).items()}
+def by_wrapper(found: list[tuple[str, str, bool]], expression: list[list], paths: frozenset[str], template: frozenset[int | str]) -> list[str]:
+    """The texts of a page's article blocks: in one of its layout's article paths, and at no template place of the layout's expression."""
+    if not template:
+        return [said for path, said, junk in found if path in paths and not junk]
+    tokens = [p for p, _, _ in found]
+    folded = fold(tokens)
+    slots = laid(folded, expression)
+    out = []
+    for place, (path, said, junk) in zip(within(tokens, folded), found):
+        if not junk and path in paths and (path if slots[place] is None else slots[place]) not in template:
+            out.append(said)
+    return out
 
 
 def own_paths(found: list[tuple[str, str, bool]], layout: str) -> set[str]:
@@ -330,11 +404,11 @@ def own_paths(found: list[tuple[str, str, bool]], layout: str) -> set[str]:
 def extract_text(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", agree: int = 3) -> DataFrame:
     """(id, url, text): the article of every page, one row per input row.
 
-    A page of a marked layout, or of one with fewer than `agree` pages, is judged by itself; another page takes the article paths of its layout. Those
+    A page of a marked layout, or of one with fewer than `agree` pages, is judged by itself; another page is laid on the expression of its layout. Those
     of a host travel with its pages as one map, in which layouts made from random class names (of a page each) do not occur.
     """
     src = pages.select(id_col, F.col(url_col).alias("_url"), F.col(html_col).cast("string").alias("_html"), host_of(F.col(url_col).cast("string")).alias("host"))
-    by_host = wrappers.where((F.col("layout") != "") & (F.col("pages") >= agree)).groupBy("host").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("layout", "article")))).alias("layouts"))
+    by_host = wrappers.where((F.col("layout") != "") & (F.col("pages") >= agree)).groupBy("host").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("layout", F.struct("expression", "article"))))).alias("layouts"))
     joined = src.join(by_host, "host", "left").select(id_col, "_url", "_html", "layouts")
     out = T.StructType([pages.schema[id_col], T.StructField(url_col, pages.schema[url_col].dataType), T.StructField("text", T.StringType())])
 
@@ -344,8 +418,12 @@ def extract_text(pages: DataFrame, wrappers: DataFrame, id_col: str = "page_id",
             for page, layouts in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
                 found = blocks(page or "")
                 layout = layout_of(found)
-                wanted = _layouts(layouts or "{}").get(layout) or own_paths(found, layout)
-                texts.append("\n".join(said for path, said, junk in found if path in wanted and not junk))
+                wrapper = _layouts(layouts or "{}").get(layout)
+                if wrapper and wrapper[1]:
+                    texts.append("\n".join(by_wrapper(found, *wrapper)))
+                else:
+                    wanted = own_paths(found, layout)
+                    texts.append("\n".join(said for path, said, junk in found if path in wanted and not junk))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], [id_col, url_col, "text"])
 
     return joined.mapInArrow(run, out)

@@ -536,6 +536,31 @@ def test_one_page_empties_no_other(spark, fault):
     assert got == want
 
 
+def test_expression_decides_what_is_template(spark):
+    """A block of the article's own path that says the same at one place of the expression is template; so is none that varies or lies elsewhere."""
+    said = lambda i: f"Story number {i} tells of a day unlike any other, with its own words {i * 7}."
+    body = {i: f"<div class=post><p>Print this page</p><h2>Day {i}</h2><p>{said(i)}</p>{'<h3>Note</h3><p>Note ' + str(i) + '</p>' * (i % 2)}</div>" for i in range(6)}
+    body[5] = body[5].replace("</div>", "<pre>Print this page</pre></div>")
+    rows = [(i, f"http://h.example/{i}", f"<html><body>{b}</body></html>") for i, b in body.items()]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    wrappers = hw.infer_wrappers(pages).cache()
+    got = {r.page_id: r.text for r in hw.extract_text(pages, wrappers).collect()}
+    assert all(not t.startswith("Print this page") and said(i) in t and f"Day {i}" in t for i, t in got.items()), got
+    assert got[5].endswith("\nPrint this page") and got[1].endswith("\nNote 1")
+    # Laid on another expression the same pages give other rows.
+    other = wrappers.withColumn("expression", F.lit("[]"))
+    assert hw.extract_text(pages, other).where("text like 'Print%'").count() == 6
+
+
+def test_places_of_streams():
+    tokens = ["h", "p", "p", "x", "p", "f"]
+    assert hw.within(tokens, hw.fold(tokens)) == [0, 1, 1, 2, 3, 4]
+    tokens = ["h", "p", "h", "p", "q"]
+    assert hw.within(tokens, hw.fold(tokens)) == [0, 1, 0, 1, 2]
+    a, b = hw.fold(["h", "p", "f"]), hw.start(hw.fold(["h", "x", "p", "f"]))
+    assert hw.laid(a, b) == [0, 2, 3] and hw.laid(hw.fold(["z", "f"]), b) == [None, 3]
+
+
 # 10. Decontamination
 
 def distance(a, b):
