@@ -23,6 +23,16 @@ def test_cones_are_not_broadcast(spark):
     assert "strategy=merge" in plan
 
 
+def test_places_and_keys_of_frames_are_not_broadcast(spark, monkeypatch):
+    """What a nearest search knows of each frame meets the frames in merge joins, however small its bytes are."""
+    plans, cut = [], spatial.cut_lineage
+    monkeypatch.setattr(spatial, "cut_lineage", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or cut(d))
+    found = spatial.cone_search_join(_frames(spark, 5), _sky(spark, 200), nearest=2)
+    assert found.count() == 15  # of each frame the object in its middle and two as far to either side
+    joins = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line]
+    assert plans and all("BroadcastHashJoin [_cell#" in line for line in joins)  # hot cells are few
+
+
 def test_a_hot_cell_is_split_and_whole(spark):
     cones = spark.range(20).select(F.lit(2).alias("_depth"), F.lit(3).alias("_row"), F.lit(4).alias("_col"), F.col("id").alias("fid"))
     sky = spark.range(3).select(F.lit(2).alias("_depth"), F.lit(3).alias("_row"), F.lit(4).alias("_col"), F.col("id").alias("obj_id"))
