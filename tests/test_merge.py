@@ -112,3 +112,53 @@ def test_components_are_found_on_patches_of_cells(spark, monkeypatch):
     assert len(comp) == 404 and len({comp[i] for i in range(400)}) == 1
     assert comp[400] == comp[403] and len({comp[400], comp[401], comp[402], comp[0]}) == 4
     assert nodes[0] < 150  # of 400 cells
+
+
+def _cones(spark, monkeypatch=None):
+    """Frames around crowded fields, on the seam, at a pole, without a place, sharing a number or without one; rows without a place or number, or sharing one."""
+    rnd = random.Random(8)
+    at = lambda fid, ra, dec: (fid, ra, dec, 400, 300, 0.004)
+    frames = [at(i, 50 + rnd.uniform(0, 4), 20 + rnd.uniform(0, 4)) for i in range(30)] + [at(40 + i, 359.5 + i * 0.2, 89.3 - i) for i in range(6)]
+    frames += [at(60, None, 20.0), at(61, 51.0, 21.0), at(61, 53.0, 22.0), at(62, 52.0, 22.0), at(62, 52.0, 22.0), at(None, 51.0, 22.0), at(63, 120.0, -40.0)]
+    rows = [r[1:] for r in sky(9, 500, 5.0)]
+    rows += [row(600 + i, f"p{i}", rnd.choice(["HII", "G", "odd"]), rnd.choice([rnd.uniform(0, 360), 359.99, 0.01]), rnd.uniform(85, 90), rnd.uniform(1, 40), 3.0, {"ngc": f"NGC {i % 9}", "ic": ""},
+                 "VizieR:x")[1:] for i in range(300)]
+    rows += [rows[3], rows[4], rows[4], (0, None, "m", ["m"], "HII", 51.0, 21.0, 9.0, 9.0, None, {}, "SIMBAD", None), (0, 950, "q", ["q"], "HII", None, 21.0, 9.0, 9.0, None, {}, "SIMBAD", None),
+             (0, 951, "r", ["r", "r", None, "o1"], "HII", 51.0, 21.0, None, 9.0, None, {"ngc": "NGC 1", "rcw": "R", "ic": "B"}, "SIMBAD", ("z", "Great")),
+             (0, 952, None, None, "HII", 51.01, 21.0, 70.0, None, None, None, "SIMBAD", ("", "")), (0, 953, "s", [], None, 51.0, 21.0, 5.0, 5.0, None, {}, "x", None)]
+    frames = spark.createDataFrame(frames, "fid long, ra0 double, dec0 double, width int, height int, scale_deg double")
+    return frames, spark.createDataFrame(rows, ", ".join(SCHEMA.split(", ")[1:]))
+
+
+def _texts(d, columns):
+    return sorted(str([r[c] if not isinstance(r[c], dict) else list(r[c].items()) for c in columns]) for r in d.collect())
+
+
+@pytest.mark.parametrize("limits", [(8192, 250_000, 2_000_000), (3, 20, 900)])
+def test_whole_cones_merge_as_their_rows_do(spark, monkeypatch, limits):
+    """Cones merged where they are formed give what their rows give, in homes of any size; rows and ids come in the same order."""
+    for name, limit in zip(("FULL", "CROWDED", "CANDIDATES"), limits):
+        monkeypatch.setattr(spatial.Cones, name, limit)
+    frames, sky_rows = _cones(spark)
+    rows = spatial.cone_search_join(frames, sky_rows).drop("ra0", "dec0", "width", "height", "scale_deg")
+    whole = spatial.cone_search_join(frames, sky_rows, whole=True)
+    want, got = M.merge_catalogs(rows), M.merge_catalogs(whole)
+    columns = [c for c in want.columns if c != "sep_deg"]
+    assert sorted(columns) == sorted(got.columns) and want.count() > 500
+    assert _texts(got, columns) == _texts(want, columns)
+    slim = M.merge_catalogs(whole, keep=("main_id", "names"))
+    assert _texts(slim, ["fid", "main_id", "names", "cross_match"]) == _texts(want, ["fid", "main_id", "names", "cross_match"])
+    keyed = sky_rows.withColumn("rid", F.col("row_idx")).withColumn("key", M.prestige_sort(
+        F.col("catalog_ids"), F.col("source"), F.lit(False), F.col("size_major"), F.col("mag"), F.col("src_rank"), F.col("row_idx")))
+    hosts = M.assign_hosts(spatial.cone_search_join(frames, keyed)), M.assign_hosts(spatial.cone_search_join(frames, keyed, whole=True))
+    assert _texts(hosts[0], ["fid", "rid", "host"]) == _texts(hosts[1], ["fid", "rid", "host"])
+
+
+def test_pairs_of_whole_cones_are_not_shuffled(spark):
+    """Shuffled rows are frames and copies of catalogue rows; every pair comes after the last exchange."""
+    frames, sky_rows = _cones(spark)
+    alone = frames.where("fid < 60")
+    plan = M.merge_catalogs(spatial.cone_search_join(alone, sky_rows, whole=True))._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    formed = next(i for i, line in enumerate(lines) if "MapInArrow" in line)
+    assert not any("Exchange" in line for line in lines[:formed]) and "SortMergeJoin" not in plan
