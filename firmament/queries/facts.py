@@ -154,7 +154,7 @@ def tier_source_groups(spark, sf):
 
 @query("catalog_coverage", "SELECT fid, source, count(*) AS n FROM q_cone GROUP BY ROLLUP (fid, source) HAVING fid IS NOT NULL")
 def catalog_coverage(spark, sf):
-    return FS.catalog_coverage(spatial.cone_search_join(frames(spark, sf), catalog(spark, sf)))
+    return FS.catalog_coverage(spatial.cone_search_join(frames(spark, sf), catalog(spark, sf), whole=True))
 
 
 @query("selection_funnel", """

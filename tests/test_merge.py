@@ -162,3 +162,18 @@ def test_pairs_of_whole_cones_are_not_shuffled(spark):
     lines = plan.splitlines()
     formed = next(i for i, line in enumerate(lines) if "MapInArrow" in line)
     assert not any("Exchange" in line for line in lines[:formed]) and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("limits", [(8192, 250_000, 2_000_000), (3, 20, 900)])
+def test_cones_are_counted_without_their_rows(spark, monkeypatch, limits):
+    from firmament.operators.factsheet import catalog_coverage
+
+    for name, limit in zip(("FULL", "CROWDED", "CANDIDATES"), limits):
+        monkeypatch.setattr(spatial.Cones, name, limit)
+    frames, sky_rows = _cones(spark)
+    sky_rows = sky_rows.withColumn("source", F.when(F.col("row_idx") % 7 == 0, None).when(F.col("row_idx") % 5 == 0, F.concat(F.lit("s"), F.col("row_idx") % 30)).otherwise(F.col("source")))
+    wide = frames.withColumn("scale_deg", F.when(F.col("fid") == 5, 1.0).otherwise(F.col("scale_deg")))  # one cone holds the whole sky
+    want, got = catalog_coverage(spatial.cone_search_join(wide, sky_rows)), catalog_coverage(spatial.cone_search_join(wide, sky_rows, whole=True))
+    assert want.count() > 100 and _texts(got, ["fid", "source", "n"]) == _texts(want, ["fid", "source", "n"])
+    plan = catalog_coverage(spatial.cone_search_join(frames.where("fid < 60"), sky_rows, whole=True))._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "SortMergeJoin" not in plan
