@@ -26,7 +26,7 @@ def _tables(spark):
                      rnd.uniform(87, 90) if polar else 8 + rnd.uniform(0, 8), rnd.choice([None, 0.0, 4.0, 12.0, 12.0, rnd.uniform(1, 90), -3.0]), rnd.choice([None, 1.0, 3.5, 9.0]), ids, None))
     rows += [(0, 2000, "NGC 6888", ["NGC 6888"], "HII", 82.0, 12.0, 290.0, 0.0, {"messier": "M 0", "ngc": "NGC 6888"}, None), (0, 2001, "w", ["w"], "WR*", 82.0001, 12.0, None, 9.0, {}, None),
              (0, 2002, "n", ["n"], "HII", 82.1, 12.1, float("nan"), float("nan"), {}, None), (0, 2003, "n", ["n"], "G", None, 12.1, 5.0, 5.0, {}, None),
-             (0, 2004, "IC 434", ["Horsehead Nebula"], "DNe", 82.2, 12.1, 8.0, None, {"ic": "B 33"}, None), (0, 2005, None, None, "HII", 82.1, 12.1, 20.0, None, None, None)]
+             (0, 2004, "IC 434", ["Horsehead Nebula"], "DNe", 82.2, 12.1, 8.0, None, {"ic": "B 33"}, None), (0, 2006, "NGC 1", ["NGC 1"], "HII", 82.15, 12.0, 30.0, float("nan"), {"ngc": "NGC 1"}, None), (0, 2005, None, None, "HII", 82.1, 12.1, 20.0, None, None, None)]
     return spark.createDataFrame(frames, FRAMES), spark.createDataFrame(rows, ROWS).withColumn("obj_id", F.col("row_idx"))
 
 
@@ -43,6 +43,8 @@ def test_what_a_selection_may_pick_gives_the_selection(spark, monkeypatch, start
     read = lambda d: sorted(map(str, d.select(*columns).collect()))
     assert read(got) == read(want) and want.count() > 150
     assert want.where("obj_id = 2001 AND fid < 25").count() > 0  # the star of a bubble
+    assert read(S.select_objects(S.shortlist(gated), few=True)) == read(want)
+    assert S.shortlist(gated.coalesce(1).sortWithinPartitions("fid")).count() < gated.count()
     alone = F.col("fid") < 30
     assert picked.where(alone).count() < gated.where(alone).count() / (2 if start < 512 else 1)
 
